@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("sales",)
+GROUPS = ("sales", "profiling")
 
 
 def _entries():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("sales", "profiling")
+GROUPS = ("sales", "profiling", "cleaning")
 
 
 def _entries():

@@ -7,6 +7,7 @@ shares and the type rules follow. A hot value is one pair per map task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -29,6 +30,10 @@ from tablewise.functions.columns import (
     to_number,
 )
 
+NAME_FACTS = (
+    "map<string, struct<column_order: bigint, stored_as: string, date_word: boolean,"
+    " id_word: boolean, currency_word: boolean, flag_name: boolean>>"
+)
 LONG_TEXT = 200
 HEAD_ROWS = 200
 
@@ -141,34 +146,31 @@ def column_stats(df: DataFrame, match: str = "substring") -> DataFrame:
             F.col("word").isNotNull() & ~F.col("word").isin(*(w for pair in rules.BOOLEAN_SETS for w in pair))
         ).alias("outside_all"),
     )
-    meta = F.map_from_arrays(
-        F.array(*(F.lit(c) for c in df.columns)),
-        F.array(
-            *(
-                F.struct(
-                    F.lit(order).alias("column_order"),
-                    F.lit(kinds[c]).alias("stored_as"),
-                    F.lit(names.has_keyword(c, rules.DATE_WORDS, match)).alias("date_word"),
-                    F.lit(names.has_keyword(c, rules.ID_WORDS, match)).alias("id_word"),
-                    F.lit(names.has_keyword(c, rules.CURRENCY_WORDS, match)).alias("currency_word"),
-                    F.lit(c.strip().lower().startswith(rules.BOOLEAN_PREFIXES)).alias("flag_name"),
-                )
-                for order, c in enumerate(df.columns)
-            )
-        ),
-    )
+    facts = {
+        c: {
+            "column_order": order,
+            "stored_as": kinds[c],
+            "date_word": names.has_keyword(c, rules.DATE_WORDS, match),
+            "id_word": names.has_keyword(c, rules.ID_WORDS, match),
+            "currency_word": names.has_keyword(c, rules.CURRENCY_WORDS, match),
+            "flag_name": c.strip().lower().startswith(rules.BOOLEAN_PREFIXES),
+        }
+        for order, c in enumerate(df.columns)
+    }
+    meta = F.from_json(F.lit(json.dumps(facts)), NAME_FACTS)
     return stats.select("*", F.element_at(meta, F.col("column_name")).alias("m")).select("*", "m.*").drop("m")
 
 
 def _numeric_type(whole: Column) -> Column:
+    """id, currency or numeric, for a column whose values are numbers."""
     unique, filled = F.col("unique_count"), F.col("filled")
     spread = F.col("high") - F.col("low") + 1
     running_number = (
         (unique == filled)
         & F.col("low").isin(0.0, 1.0)
-        & (ratio(spread - filled, spread) <= rules.SEQUENCE_MAX_GAP)
+        & ((spread - filled) <= spread * rules.SEQUENCE_MAX_GAP)
     )
-    keyed = F.col("id_word") & (ratio(unique, F.col("total_rows")) >= rules.ID_MIN_RATIO)
+    keyed = F.col("id_word") & (F.col("share_unique") >= rules.ID_MIN_RATIO)
     return (
         F.when(whole & (keyed | running_number), "id")
         .when(F.col("currency_word"), "currency")
@@ -177,48 +179,48 @@ def _numeric_type(whole: Column) -> Column:
     )
 
 
-def semantic_type() -> Column:
-    """The type rules over one row of :func:`column_stats`, first match wins."""
+def with_semantic_type(stats: DataFrame) -> DataFrame:
+    """The type rules over the rows of :func:`column_stats`, first match wins."""
     kind, filled, unique = F.col("stored_as"), F.col("filled"), F.col("unique_count")
-    share_unique = ratio(unique, F.col("total_rows"))
+    share_unique = F.col("share_unique")
     text = kind == "text"
-    one_boolean_set = F.lit(False)
-    for i in range(len(rules.BOOLEAN_SETS)):
-        one_boolean_set = one_boolean_set | (F.col(f"outside_{i}") == 0)
+    one_boolean_set = F.least(*(F.col(f"outside_{i}") for i in range(len(rules.BOOLEAN_SETS)))) == 0
     zero_one = (kind == "whole") & (F.col("low") >= 0) & (F.col("high") <= 1)
-    dates = (
-        text & (filled >= rules.DATE_MIN_VALUES) & (ratio(F.col("moments"), filled) >= rules.DATE_MIN_SHARE)
-    )
-    numeric_text = text & (ratio(F.col("numbers"), filled) >= rules.NUMERIC_TEXT_MIN_SHARE)
+    enough = text & (filled >= rules.DATE_MIN_VALUES)
+    numeric_text = text & (F.col("numbers") >= filled * rules.NUMERIC_TEXT_MIN_SHARE)
     keyed_text = F.col("id_word") & (
         (share_unique >= rules.ID_MIN_RATIO)
         | ((unique >= rules.ID_KEYWORD_MIN_UNIQUE) & (share_unique >= rules.ID_KEYWORD_MIN_RATIO))
     )
     bare_key = (share_unique >= rules.ID_BARE_MIN_RATIO) & (unique > rules.ID_BARE_MIN_UNIQUE)
-    return (
+    whole = (kind == "whole") | (text & (F.col("whole_texts") == filled))
+    facts = (
+        stats.withColumn("share_unique", ratio(unique, F.col("total_rows")))
+        .withColumn("dates", enough & (F.col("moments") >= filled * rules.DATE_MIN_SHARE))
+        .withColumn("numeric_type", _numeric_type(whole))
+    )
+    decided = (
         F.when(filled == 0, "text")
         .when((kind == "flag") | F.col("flag_name") | zero_one | (text & one_boolean_set), "boolean")
-        .when(kind == "moment", "datetime")
-        .when(F.col("date_word") & dates, "datetime")
-        .when(kind == "whole", _numeric_type(F.lit(True)))
-        .when(kind == "real", _numeric_type(F.lit(False)))
-        .when(numeric_text, _numeric_type(F.col("whole_texts") == filled))
-        .when(dates, "datetime")
+        .when((kind == "moment") | (F.col("date_word") & F.col("dates")), "datetime")
+        .when(kind.isin("whole", "real") | numeric_text, F.col("numeric_type"))
+        .when(F.col("dates"), "datetime")
         .when(keyed_text | bare_key, "id")
         .when(
             (share_unique <= rules.CATEGORY_MAX_RATIO) | (unique <= rules.CATEGORY_MAX_UNIQUE), "category"
         )
         .otherwise("text")
     )
+    return facts.withColumn("detected_type", decided)
 
 
 def profile_frame(df: DataFrame, table_name: str, match: str = "substring") -> DataFrame:
     """Lazy profile: one row per column with counts and the semantic type."""
     nulls = F.col("total_rows") - F.col("filled")
-    return column_stats(df, match).select(
+    return with_semantic_type(column_stats(df, match)).select(
         F.lit(table_name).alias("table_name"),
         "column_name",
-        semantic_type().alias("detected_type"),
+        "detected_type",
         nulls.alias("null_count"),
         rounded(F.coalesce(ratio(nulls, F.col("total_rows")) * 100, F.lit(0.0)), 2)
         .cast("double")

@@ -13,6 +13,7 @@ def build_session(app: str = "tablewise", master: str | None = None, **conf: str
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

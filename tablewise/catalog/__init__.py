@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("sales", "profiling", "cleaning")
+GROUPS = ("sales", "profiling", "cleaning", "relations")
 
 
 def _entries():

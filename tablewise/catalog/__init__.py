@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("sales", "profiling", "cleaning", "relations")
+GROUPS = ("sales", "profiling", "cleaning", "relations", "metrics", "charting")
 
 
 def _entries():

@@ -218,18 +218,16 @@ def quality_report(
             )
         )
     )
-    facts = measured.agg(
-        F.first("total_rows").alias("total_rows"),
-        F.count("*").alias("total_columns"),
-        F.first("duplicate_rows").alias("duplicate_rows"),
-    ).select("*", F.lit(1).alias("one"))
-    found = issues.agg(ordered.alias("found")).select("*", F.lit(1).alias("one"))
     kinds = F.transform("found", lambda i: i["issue_type"])
     score = F.greatest(
         F.lit(0),
         F.lit(100) - F.aggregate("found", F.lit(0), lambda total, i: total + i["points"]),
     )
-    scored = facts.join(found, "one", "inner").select(
+    scored = measured.agg(
+        F.first("total_rows").alias("total_rows"),
+        F.count("*").alias("total_columns"),
+        F.first("duplicate_rows").alias("duplicate_rows"),
+    ).withColumn("found", issues.agg(ordered.alias("found")).scalar()).select(
         F.lit(table_name).alias("table_name"),
         score.cast("long").alias("quality_score"),
         "total_rows",

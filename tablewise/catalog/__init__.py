@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("sales", "profiling", "cleaning", "relations", "metrics", "charting")
+GROUPS = ("sales", "profiling", "cleaning", "relations", "metrics", "charting", "sessions", "streams", "models")
 
 
 def _entries():

@@ -200,3 +200,9 @@ CHURN_AFTER_DAYS = 180
 CHURN_WARN_DAYS = 90
 RFM_COLUMNS = ("days_since_last_order", "total_orders", "total_spend")
 SEGMENT_NAMES = ("Champions", "Loyal", "At Risk", "Lost")
+# texts a CSV reader takes as missing without being told
+CSV_MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+ZIP_METADATA = "__MACOSX"

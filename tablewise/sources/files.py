@@ -77,11 +77,13 @@ def read_csv(
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header) + f", {CORRUPT} string"
     rows = reader.schema(schema).csv(path)
     fields = F.size(F.split(F.col(CORRUPT), FIELD_BREAK))
-    kept = rows.filter(F.col(CORRUPT).isNull() | (fields <= len(header)))
-    columns = []
-    for c in header:
-        value = F.col("`" + c.replace("`", "``") + "`")
-        columns.append(F.when(~value.isin(*missing), value).alias(clean_header(c)))
+    values = [F.col("`" + c.replace("`", "``") + "`") for c in header]
+    # always true, but keeps a data column in the scan: Spark refuses to read the raw record alone
+    anchored = F.coalesce(F.length(values[0]), F.lit(0)) >= 0
+    kept = rows.filter((F.col(CORRUPT).isNull() | (fields <= len(header))) & anchored)
+    columns = [
+        F.when(~value.isin(*missing), value).alias(clean_header(c)) for c, value in zip(header, values)
+    ]
     return kept.select(*columns)
 
 

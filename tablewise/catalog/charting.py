@@ -14,6 +14,7 @@ from tablewise.operators import charts, insights, kpi
 from tablewise.operators.filters import DashboardFilters, apply_filters
 from tablewise.operators.profile import profile_table
 from tablewise.plans import chart_choice
+from tablewise.session import per_table
 from tablewise.sources.mart import Mart
 from tablewise.sources.tables import read_table
 
@@ -98,7 +99,7 @@ def chart_cross_table(spark, folder):
 def _choice(spark, folder):
     mart = Mart(spark, folder, text_ids=True)
     tables = {"orders": mart.orders, "items": mart.items, "products": mart.products, "customers": mart.customers}
-    profiles = {t: profile_table(df, t, samples=False) for t, df in tables.items()}
+    profiles = per_table(lambda t, df: profile_table(df, t, samples=False), tables)
     return tables, chart_choice.choose_charts(profiles, _LINKS, tables)
 
 

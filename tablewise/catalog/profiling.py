@@ -11,6 +11,7 @@ from tablewise.catalog.dirt import COLUMNS, DIRTY_SQL, dirty_orders
 from tablewise.functions import rules
 from tablewise.operators import profile as prof
 from tablewise.operators import quality
+from tablewise.session import per_table
 from tablewise.sources.mart import Mart
 from tablewise.sources.tables import read_table
 
@@ -200,16 +201,18 @@ def column_profile_dirty(spark, folder):
 
 def semantic_types(spark, folder):
     tables = {t: read_table(spark, folder, t) for t in RAW} | _keyed_tables(spark, folder)
-    frames = [_profile(df, name).select("table_name", "column_name", "detected_type") for name, df in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    frames = per_table(
+        lambda name, df: _profile(df, name).select("table_name", "column_name", "detected_type"), tables
+    )
+    return reduce(lambda a, b: a.unionByName(b), frames.values())
 
 
 def filter_metadata(spark, folder):
-    frames = []
-    for name in ("orders", "lineitem", "events", "customer"):
-        df = read_table(spark, folder, name)
-        frames.append(prof.filter_fields(df, name, prof.profile_table(df, name, samples=False)))
-    fields = reduce(lambda a, b: a.unionByName(b), frames)
+    tables = {t: read_table(spark, folder, t) for t in _FILTER_TABLES}
+    frames = per_table(
+        lambda name, df: prof.filter_fields(df, name, prof.profile_table(df, name, samples=False)), tables
+    )
+    fields = reduce(lambda a, b: a.unionByName(b), frames.values())
     return fields.withColumn("values", F.array_join("values", "|"))
 
 
@@ -245,30 +248,29 @@ def null_quality(spark, folder):
 OUTLIER_TABLES = ("customer", "orders", "lineitem", "part", "events")
 
 
-def _outliers(spark, folder):
-    tables = {t: read_table(spark, folder, t) for t in OUTLIER_TABLES}
-    tables["dirty"] = dirty_orders(spark, folder)
-    for name, df in tables.items():
-        types = prof.types_of(prof.profile_table(df, name, samples=False))
-        columns = [c for c, t in types.items() if t in ("numeric", "currency")]
-        for column, n in quality.count_outliers(df, columns).items():
-            yield (name, column, n)
+def _score_tables(spark, folder):
+    return {t: read_table(spark, folder, t) for t in OUTLIER_TABLES} | {"dirty": dirty_orders(spark, folder)}
+
+
+def _outliers(name, df):
+    profile = prof.profile_table(df, name, samples=False)
+    columns = [p.column_name for p in profile if p.detected_type in ("numeric", "currency")]
+    return [(name, c, n) for c, n in quality.count_outliers(df, columns, rows=profile[0].total_rows).items()]
 
 
 def outlier_columns(spark, folder):
     return spark.createDataFrame(
-        list(_outliers(spark, folder)), "table_name string, column_name string, outlier_count long"
+        [row for rows in per_table(_outliers, _score_tables(spark, folder)).values() for row in rows],
+        "table_name string, column_name string, outlier_count long"
     )
 
 
 def _reports(spark, folder):
-    tables = {t: read_table(spark, folder, t) for t in OUTLIER_TABLES}
-    tables["dirty"] = dirty_orders(spark, folder)
-    frames = [
-        quality.quality_report(df, name, prof.profile_table(df, name, samples=False))
-        for name, df in tables.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    reports = per_table(
+        lambda name, df: quality.quality_report(df, name, prof.profile_table(df, name, samples=False)),
+        _score_tables(spark, folder),
+    )
+    return reduce(lambda a, b: a.unionByName(b), reports.values())
 
 
 def quality_scores(spark, folder):

@@ -9,6 +9,7 @@ from tablewise.catalog.profiling import KEYED_SQL
 from tablewise.operators import joins, relate
 from tablewise.operators.profile import profile_table
 from tablewise.plans import generated
+from tablewise.session import per_table
 from tablewise.sources.mart import Mart
 
 ITEM_TYPES = {
@@ -27,7 +28,7 @@ def _keyed(spark, folder):
 
 
 def _profiled(tables):
-    return {t: profile_table(df, t, samples=False) for t, df in tables.items()}
+    return per_table(lambda t, df: profile_table(df, t, samples=False), tables)
 
 
 PAIRS = [

@@ -31,6 +31,7 @@ from tablewise.functions.columns import (
 from tablewise.operators.profile import ColumnProfile, types_of
 from tablewise.operators.quality import beyond, outlier_bounds
 from tablewise.operators.quantiles import SMALL, exact_quantiles
+from tablewise.session import per_table
 
 Types = Mapping[str, str]
 
@@ -103,7 +104,7 @@ def drop_missing_ids(df: DataFrame, types: Types) -> DataFrame:
 
 
 def imputation_values(
-    df: DataFrame, types: Types, columns: Sequence[str], limit: int = SMALL
+    df: DataFrame, types: Types, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
 ) -> dict[str, object]:
     """Median of numeric columns, most frequent value of text columns (smallest on ties)."""
     numeric = {
@@ -112,7 +113,7 @@ def imputation_values(
         if types.get(c) in ("currency", "numeric")
     }
     fills: dict[str, object] = {
-        c: q.values[0] for c, q in exact_quantiles(df, numeric, (0.5,), limit).items() if q.count
+        c: q.values[0] for c, q in exact_quantiles(df, numeric, (0.5,), limit, rows).items() if q.count
     }
     texts = [c for c in columns if types.get(c) in ("category", "text")]
     if texts:
@@ -238,21 +239,26 @@ def clean_table(
     if stage is not None:
         rows = stage(rows, f"dedupe-{table_name}")
 
-    # duplicates and missing ids, each id counted among the rows that earlier ids kept
+    # duplicates, missing ids (each counted among the rows that earlier ids kept) and gaps of
+    # the rows that stay, in one pass
     ids = _typed(rows, types, "id")
-    kept_before = [F.lit(True)]
+    kept = [F.lit(True)]
     for c in ids:
-        kept_before.append(kept_before[-1] & _col(c).isNotNull())
-    distinct = _one_row(
-        rows, {("id", c): F.count_if(kept_before[i] & _col(c).isNull()) for i, c in enumerate(ids)}
+        kept.append(kept[-1] & _col(c).isNotNull())
+    counted = _one_row(
+        rows,
+        {"kept": F.count_if(kept[-1])}
+        | {("id", c): F.count_if(kept[i] & _col(c).isNull()) for i, c in enumerate(ids)}
+        | {("gap", c): F.count_if(kept[-1] & _col(c).isNull()) for c in rows.columns},
     )
-    duplicates = original - distinct["rows"]
+    final = counted["kept"]
+    duplicates = original - counted["rows"]
     note(
         "duplicates", None, duplicates,
         f"Removed {duplicates} duplicate rows (kept first occurrence)." if duplicates else "No duplicate rows found.",
     )
     for c in ids:
-        if missing := distinct["id", c]:
+        if missing := counted["id", c]:
             note(
                 "missing_ids", c, missing,
                 f"Dropped {missing} rows with missing values in ID column '{c}' "
@@ -261,12 +267,10 @@ def clean_table(
     rows = drop_missing_ids(rows, types)
 
     # imputation, from statistics of the rows that are left
-    nulls = _one_row(rows, {c: F.count_if(_col(c).isNull()) for c in rows.columns})
-    final = nulls["rows"]
-    gaps = [c for c in rows.columns if nulls[c]]
-    fills = imputation_values(rows, types, gaps, limit)
+    gaps = [c for c in rows.columns if counted["gap", c]]
+    fills = imputation_values(rows, types, gaps, limit, final)
     for c in gaps:
-        n, kind = nulls[c], types.get(c)
+        n, kind = counted["gap", c], types.get(c)
         if kind in ("currency", "numeric") and c in fills:
             note("impute", c, n, f"Column '{c}': filled {n} missing values with median ({fills[c]:.4f}).")
         elif kind in ("category", "text"):
@@ -318,7 +322,7 @@ def clean_table(
 
     # outlier flags
     numeric = numeric_columns(rows, types)
-    bounds = outlier_bounds(rows, numeric, limit)
+    bounds = outlier_bounds(rows, numeric, limit, final)
     rows = flag_outliers(rows, types, bounds)
     outside = _one_row(rows, {c: F.count_if(_col(f"is_outlier_{c}")) for c in bounds}) if bounds else {}
     flagged = [c for c in bounds if outside[c]]
@@ -339,4 +343,4 @@ def clean_table(
 def clean_tables(
     tables: Mapping[str, DataFrame], profiles: Mapping[str, Sequence[ColumnProfile]], **options
 ) -> dict[str, CleanedTable]:
-    return {name: clean_table(df, name, profiles[name], **options) for name, df in tables.items()}
+    return per_table(lambda name, df: clean_table(df, name, profiles[name], **options), tables)

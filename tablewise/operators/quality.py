@@ -42,12 +42,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def outlier_bounds(
-    df: DataFrame, columns: Sequence[str], limit: int = SMALL
+    df: DataFrame, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
 ) -> dict[str, tuple[float, float]]:
     """Lower and upper bound per column; columns with too few values or no spread have none."""
     numbers = {c: real(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
     bounds = {}
-    for c, q in exact_quantiles(df, numbers, (0.25, 0.75), limit).items():
+    for c, q in exact_quantiles(df, numbers, (0.25, 0.75), limit, rows).items():
         if q.count < rules.OUTLIER_MIN_VALUES:
             continue
         q1, q3 = q.values
@@ -64,8 +64,10 @@ def beyond(value: Column, bounds: tuple[float, float] | None) -> Column:
     return F.coalesce((value < bounds[0]) | (value > bounds[1]), F.lit(False))
 
 
-def count_outliers(df: DataFrame, columns: Sequence[str], limit: int = SMALL) -> dict[str, int]:
-    bounds = outlier_bounds(df, columns, limit)
+def count_outliers(
+    df: DataFrame, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
+) -> dict[str, int]:
+    bounds = outlier_bounds(df, columns, limit, rows)
     if not bounds:
         return {c: 0 for c in columns}
     tests = [
@@ -79,7 +81,8 @@ def count_outliers(df: DataFrame, columns: Sequence[str], limit: int = SMALL) ->
 def measure(df: DataFrame, profile: Sequence[ColumnProfile], limit: int = SMALL) -> DataFrame:
     """One metadata row per column with everything the score needs."""
     numeric = [p.column_name for p in profile if p.detected_type in ("numeric", "currency")]
-    outliers = count_outliers(df, numeric, limit)
+    known_rows = max((p.total_rows for p in profile), default=None)
+    outliers = count_outliers(df, numeric, limit, known_rows)
     total, duplicates = duplicate_count(df).first()
     rows = [
         (

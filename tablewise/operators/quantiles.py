@@ -50,26 +50,33 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], limit: int = SMALL
+    df: DataFrame,
+    columns: dict[str, Column],
+    probabilities: Sequence[float],
+    limit: int = SMALL,
+    rows: int | None = None,
 ) -> dict[str, Quantiles]:
     """Linear-interpolation quantiles of numeric expressions, nulls ignored. Runs Spark jobs;
-    only counts and the quantiles themselves reach the driver."""
+    only counts and the quantiles themselves reach the driver. ``rows``, an upper bound on the
+    number of rows, saves the counting pass on small tables."""
     if not columns:
         return {}
     aliases = {f"q{i}": name for i, name in enumerate(columns)}
     values = df.select(*(columns[name].alias(a) for a, name in aliases.items()))
-    counts = values.agg(*(F.count(a).alias(a) for a in aliases)).first().asDict()
+    counts = {}
+    if rows is None or rows > limit:
+        counts = values.agg(*(F.count(a).alias(a) for a in aliases)).first().asDict()
+    small = [a for a in aliases if counts.get(a, rows) <= limit]
     out: dict[str, Quantiles] = {}
-    small = [a for a in aliases if 0 < counts[a] <= limit]
     if small:
         probs = F.array(*(F.lit(float(p)) for p in probabilities))
-        row = values.agg(*(F.percentile(a, probs).alias(a) for a in small)).first()
-        for a in small:
-            out[aliases[a]] = Quantiles(counts[a], tuple(row[a]))
+        measures = [m for a in small for m in (F.count(a), F.percentile(a, probs))]
+        found = list(values.agg(*measures).first())
+        for i, a in enumerate(small):
+            n, at = found[2 * i], found[2 * i + 1]
+            out[aliases[a]] = Quantiles(n, tuple(at) if n else (None,) * len(probabilities))
     for a, name in aliases.items():
-        if counts[a] == 0:
-            out[name] = Quantiles(0, (None,) * len(probabilities))
-        elif counts[a] > limit:
+        if a not in small:
             out[name] = Quantiles(counts[a], _large(values, a, counts[a], probabilities, limit))
     return {name: out[name] for name in columns}
 

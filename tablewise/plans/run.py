@@ -15,7 +15,7 @@ from tablewise.operators import charts, clean, compare, insights, joins, kpi, qu
 from tablewise.operators.charts import ChartSpec
 from tablewise.operators.profile import ColumnProfile, profile_table, profiles_to_frame, types_of
 from tablewise.plans import chart_choice, generated
-from tablewise.session import configure, stage, work_folder
+from tablewise.session import configure, per_table, stage, work_folder
 from tablewise.sources.files import read_tables
 from tablewise.sources.metadata import MetadataStore, now
 
@@ -134,10 +134,9 @@ def run_session(
         if paths:
             read, facts, run.warnings = read_tables(spark, paths, run.session_id)
             raw |= read
-        run.profiles = {t: profile_table(df, t) for t, df in raw.items()}
-        reports = reduce(
-            lambda a, b: a.unionByName(b), [quality.quality_report(df, t, run.profiles[t]) for t, df in raw.items()]
-        )
+        run.profiles = per_table(lambda t, df: profile_table(df, t), raw)
+        scored = per_table(lambda t, df: quality.quality_report(df, t, run.profiles[t]), raw)
+        reports = reduce(lambda a, b: a.unionByName(b), scored.values())
         status("extracting")
         status("cleaning")
         run.cleaned = clean.clean_tables(raw, run.profiles, stage=stage)

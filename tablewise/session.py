@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+CONCURRENT_TABLES = 8
+
 
 def build_session(app: str = "tablewise", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -54,3 +61,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def per_table(work: Callable[[str, DataFrame], T], tables: Mapping[str, DataFrame]) -> dict[str, T]:
+    """The same work on several tables at once: independent jobs share the cluster instead of
+    waiting for each other's last tasks."""
+    if len(tables) < 2:
+        return {name: work(name, df) for name, df in tables.items()}
+    target = inheritable_thread_target(next(iter(tables.values())).sparkSession)(work)
+    with ThreadPoolExecutor(min(CONCURRENT_TABLES, len(tables))) as pool:
+        return dict(zip(tables, pool.map(target, tables, tables.values())))

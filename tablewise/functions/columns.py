@@ -10,12 +10,16 @@ from tablewise.functions import rules
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
-# whitespace as Unicode text tools see it; Spark's own trim removes spaces only
-BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+# fixed values: the characters Unicode text tools strip (Spark's own trim removes spaces only)
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def folded(c: Column) -> Column:
@@ -48,30 +52,34 @@ def to_moment(c: Column) -> Column:
     """Text → timestamp. ISO first, then month-first, then day-first where the month would
     exceed 12, then month names and ``yyyyMMdd``; anything else → null.
 
-    A pattern guards each attempt, so only a matching format is tried on a value.
+    One pattern per family of formats picks the only family that is tried on a value.
     """
     text = strip_blanks(c)
-    slashed = F.regexp_replace(text, r"(?<=\d)[.-](?=\d)", "/")
-    named = F.regexp_replace(F.regexp_replace(text, ",", " "), r"\s+", " ")
-
-    def attempt(value: Column, pattern: str, *formats: str) -> Column:
-        parsed = F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats))
-        return F.when(value.rlike(pattern), parsed)
-
-    day = r"^\d{1,2}/\d{1,2}/\d{4}"
-    return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), text.try_cast("timestamp")),
-        F.when(
-            text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}([ T].*)?$"),
-            F.regexp_replace(text, "/", "-").try_cast("timestamp"),
+
+    def first_of(value: Column, *formats: str) -> Column:
+        return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats))
+
+    slashed = F.translate(text, ".-", "//")
+    clock = F.when(
+        slashed.contains(" "),
+        first_of(
+            F.upper(slashed), "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm a",
+            "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm a",
         ),
-        attempt(slashed, day + "$", "M/d/yyyy", "d/M/yyyy"),
-        attempt(slashed, day + r" \d{1,2}:\d{2}$", "M/d/yyyy H:mm", "d/M/yyyy H:mm"),
-        attempt(slashed, day + r" \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss"),
-        attempt(F.upper(slashed), day + r" \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a", "d/M/yyyy h:mm a"),
-        attempt(named, r"^\p{L}+ \d{1,2} \d{4}$", "MMM d yyyy", "MMMM d yyyy"),
-        attempt(named, r"^\d{1,2} \p{L}+ \d{4}$", "d MMM yyyy", "d MMMM yyyy"),
-        attempt(text, r"^\d{8}$", "yyyyMMdd"),
+    ).otherwise(first_of(slashed, "M/d/yyyy", "d/M/yyyy"))
+    words = F.regexp_replace(F.translate(text, ",", " "), r"\s+", " ")
+    return (
+        F.when(c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), text.try_cast("timestamp"))
+        .when(c.rlike(r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{4}(\s|$)"), clock)
+        .when(
+            c.rlike(r"^\s*\d{4}/\d{1,2}/\d{1,2}([ T].*)?$"),
+            F.translate(text, "/", "-").try_cast("timestamp"),
+        )
+        .when(
+            c.rlike(r"^\s*(\p{L}{3,},? \d{1,2},?|\d{1,2},? \p{L}{3,},?) +\d{4}\s*$"),
+            first_of(words, "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy"),
+        )
+        .when(c.rlike(r"^\s*\d{8}\s*$"), first_of(text, "yyyyMMdd"))
     )
 
 

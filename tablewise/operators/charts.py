@@ -135,21 +135,17 @@ def heatmap(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame
     """Pearson correlation of every pair, pairs with a missing side left out, in one aggregate
     over all rows. Columns without any number are dropped."""
     names = list(columns)[: rules.HEATMAP_COLUMNS]
-    values = df.select(*(real(_col(c), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(names)))
-    upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    measures = [F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in upper]
-    filled = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]
-    cells = [
-        F.struct(
-            F.lit(a).alias("x"), F.lit(b).alias("grp"),
-            (F.round(f"r{min(i, j)}_{max(i, j)}", digits) + 0.0).alias("value"),
-            ((F.col(f"n{i}") > 0) & (F.col(f"n{j}") > 0)).alias("usable"),
-        )
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    cells_frame = values.agg(*measures, *filled).select(F.inline(F.array(*cells)))
-    return cells_frame.filter("usable").drop("usable")
+    numbers = {c: real(_col(c), df.schema[c].dataType) for c in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), numbers[a].alias("u"), numbers[b].alias("v")) for a, b in pairs]
+    # one short row per pair keeps the aggregate small enough to be compiled
+    found = df.select(F.inline(F.array(*cells))).groupBy("a", "b").agg(
+        F.round(F.corr("u", "v"), digits).alias("r"), F.count("u").alias("n"), F.count("v").alias("m")
+    )
+    usable = found.filter((F.col("n") > 0) & (F.col("m") > 0)).withColumn("value", F.col("r") + 0.0)
+    both = usable.select(F.col("a").alias("x"), F.col("b").alias("grp"), "value")
+    mirrored = usable.filter("a <> b").select(F.col("b").alias("x"), F.col("a").alias("grp"), "value")
+    return both.unionByName(mirrored)
 
 
 def cross_table_line(

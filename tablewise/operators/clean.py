@@ -32,6 +32,7 @@ from tablewise.operators.profile import ColumnProfile, types_of
 from tablewise.operators.quality import beyond, outlier_bounds
 from tablewise.operators.quantiles import SMALL, exact_quantiles
 from tablewise.session import per_table
+from tablewise.session import stage as write_stage
 
 Types = Mapping[str, str]
 
@@ -188,7 +189,7 @@ def clean_table(
     df: DataFrame,
     table_name: str,
     profile: Sequence[ColumnProfile],
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] | None = write_stage,
     limit: int = SMALL,
     normalise_first: bool = False,
 ) -> CleanedTable:

@@ -1,8 +1,8 @@
 """Column profiles and semantic types.
 
-All columns are turned into (column, value) pairs and counted once: one shuffle of distinct
-pairs, pre-combined on the map side, from which nulls, distinct counts, number and date
-shares and the type rules follow. A hot value is one pair per map task.
+The columns of one type are turned into (column, value) pairs and counted once: distinct pairs,
+pre-combined on the map side, are all that is shuffled, and nulls, distinct counts, number and
+date shares and the type rules follow from them. A hot value is one pair per map task.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from tablewise.functions.columns import (
     is_text,
     is_whole,
     ratio,
+    real,
     rounded,
     to_moment,
     to_number,
@@ -34,6 +36,11 @@ NAME_FACTS = (
     "map<string, struct<column_order: bigint, stored_as: string, date_word: boolean,"
     " id_word: boolean, currency_word: boolean, flag_name: boolean>>"
 )
+# measures only some kinds of columns have; null for the others
+TEXT_FACTS = {
+    "numbers": "bigint", "low": "double", "high": "double", "mean": "double", "has_fraction": "boolean",
+    "whole_texts": "bigint", "moments": "bigint", "outside_all": "bigint",
+} | {f"outside_{i}": "bigint" for i in range(len(rules.BOOLEAN_SETS))}
 LONG_TEXT = 200
 HEAD_ROWS = 200
 
@@ -91,61 +98,109 @@ def comparable_text(df: DataFrame, name: str) -> Column:
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n) for every distinct value of every column, null included."""
-    columns = list(columns or df.columns)
-    texts = df.select(*(comparable_text(df, c).alias(c) for c in columns))
-    if len(columns) == 1:
-        pairs = texts.select(F.lit(columns[0]).alias("column_name"), F.col(f"`{columns[0]}`").alias("value"))
-    else:
-        pairs = texts.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-    return pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+def group_key(df: DataFrame, name: str) -> Column:
+    """A column to group by: atomic values as they are, texts and nested values comparable."""
+    if stored_as(df.schema[name].dataType) in ("text", "other"):
+        return comparable_text(df, name)
+    return F.col(f"`{name}`")
 
 
-def _in(columns: Sequence[str]) -> Column:
-    return F.col("column_name").isin(*columns) if columns else F.lit(False)
+def value_counts(values: DataFrame) -> DataFrame:
+    """(column_name, value, n) for every distinct value of every column of one type, null
+    included."""
+    if len(values.columns) == 1:
+        name = values.columns[0]
+        pairs = values.select(F.lit(name).alias("column_name"), F.col(f"`{name}`").alias("value"))
+    else:
+        pairs = values.unpivot([], [f"`{c}`" for c in values.columns], "column_name", "value")
+    return pairs.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
-def column_stats(df: DataFrame, match: str = "substring") -> DataFrame:
-    """One row per column: counts, shares and the name flags the type rules read."""
-    kinds = {f.name: stored_as(f.dataType) for f in df.schema.fields}
-    text, numeric = _in([c for c, k in kinds.items() if k == "text"]), _in(
-        [c for c, k in kinds.items() if k in ("whole", "real")]
-    )
-    value, n = F.col("value"), F.col("n")
-    counted = value_counts(df).select(
-        "column_name",
-        "value",
-        "n",
-        F.when(numeric, value.try_cast("double")).when(text, to_number(value)).alias("number"),
-        F.when(text, to_moment(value)).alias("moment"),
-        F.when(text, folded(value)).alias("word"),
-        (text & value.rlike(WHOLE_PATTERN)).alias("is_whole"),
-    )
+def _weight(test: Column) -> Column:
+    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
 
-    def weight(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
 
-    number = F.col("number")
-    stats = counted.groupBy("column_name").agg(
+def _counts() -> list[Column]:
+    return [
         F.sum("n").alias("total_rows"),
-        weight(value.isNotNull()).alias("filled"),
+        _weight(F.col("value").isNotNull()).alias("filled"),
         F.count("value").alias("unique_count"),
-        weight(number.isNotNull()).alias("numbers"),
-        weight(F.col("is_whole")).alias("whole_texts"),
-        F.min("number").alias("low"),
-        F.max("number").alias("high"),
-        ratio(F.sum(number * n), F.sum(F.when(number.isNotNull(), n))).alias("mean"),
-        F.coalesce(F.bool_or(number % 1 != 0), F.lit(False)).alias("has_fraction"),
-        weight(F.col("moment").isNotNull()).alias("moments"),
+    ]
+
+
+def _number_facts(number: Column) -> list[Column]:
+    filled = F.when(number.isNotNull(), F.col("n"))
+    return [
+        F.coalesce(F.sum(filled), F.lit(0)).alias("numbers"),
+        F.min(number).cast("double").alias("low"),
+        F.max(number).cast("double").alias("high"),
+        ratio(F.sum(number.cast("double") * F.col("n")), F.sum(filled)).alias("mean"),
+        F.coalesce(F.bool_or(number.cast("double") % 1 != 0), F.lit(False)).alias("has_fraction"),
+    ]
+
+
+def _number_stats(values: DataFrame) -> DataFrame:
+    return value_counts(values).groupBy("column_name").agg(*_counts(), *_number_facts(F.col("value")))
+
+
+def _text_stats(values: DataFrame) -> DataFrame:
+    value = F.col("value")
+    every_flag = [w for pair in rules.BOOLEAN_SETS for w in pair]
+    read = value_counts(values).select(
+        "*",
+        to_number(value).alias("number"),
+        to_moment(value).alias("moment"),
+        folded(value).alias("word"),
+        value.rlike(WHOLE_PATTERN).alias("is_whole"),
+    )
+    word = F.col("word")
+    return read.groupBy("column_name").agg(
+        *_counts(),
+        *_number_facts(F.col("number")),
+        _weight(F.col("is_whole")).alias("whole_texts"),
+        _weight(F.col("moment").isNotNull()).alias("moments"),
         *(
-            weight(F.col("word").isNotNull() & ~F.col("word").isin(*pair)).alias(f"outside_{i}")
+            _weight(word.isNotNull() & ~word.isin(*pair)).alias(f"outside_{i}")
             for i, pair in enumerate(rules.BOOLEAN_SETS)
         ),
-        weight(
-            F.col("word").isNotNull() & ~F.col("word").isin(*(w for pair in rules.BOOLEAN_SETS for w in pair))
-        ).alias("outside_all"),
+        _weight(word.isNotNull() & ~word.isin(*every_flag)).alias("outside_all"),
     )
+
+
+def column_stats(df: DataFrame, match: str = "substring") -> DataFrame:
+    """One row per column: counts, shares and the name flags the type rules read.
+
+    Columns are counted by type, each type in one pass over its own columns, so numbers are
+    never turned into text and back."""
+    kinds = {f.name: stored_as(f.dataType) for f in df.schema.fields}
+
+    def typed(names_, convert) -> DataFrame:
+        return df.select(*(convert(c).alias(c) for c in names_))
+
+    def number(c):
+        return real(F.col(f"`{c}`"), df.schema[c].dataType)
+
+    decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+    floats = [c for c, k in kinds.items() if k == "real" and c not in decimals]
+    wholes = [c for c, k in kinds.items() if k == "whole"]
+    texts = [c for c, k in kinds.items() if k == "text"]
+    rest = [c for c, k in kinds.items() if k in ("flag", "moment", "other")]
+    frames = []
+    if wholes:
+        frames.append(_number_stats(typed(wholes, lambda c: F.col(f"`{c}`").cast("long"))))
+    if floats:
+        frames.append(_number_stats(typed(floats, number)))
+    for kind in sorted({df.schema[c].dataType.simpleString() for c in decimals}):
+        same = [c for c in decimals if df.schema[c].dataType.simpleString() == kind]
+        frames.append(_number_stats(typed(same, lambda c: F.col(f"`{c}`"))))
+    if texts:
+        frames.append(_text_stats(typed(texts, lambda c: comparable_text(df, c))))
+    if rest:
+        counted = value_counts(typed(rest, lambda c: comparable_text(df, c)))
+        frames.append(counted.groupBy("column_name").agg(*_counts()))
+    stats = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    absent = {c: t for c, t in TEXT_FACTS.items() if c not in stats.columns}
+    stats = stats.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
     facts = {
         c: {
             "column_order": order,
@@ -230,7 +285,7 @@ def profile_frame(df: DataFrame, table_name: str, match: str = "substring") -> D
         "total_rows",
         "stored_as",
         ((F.col("stored_as") == "text") & (F.col("numbers") < F.col("filled"))).alias("mixed"),
-        (F.col("outside_all") == 0).alias("flags_known"),
+        (F.coalesce("outside_all", F.lit(0)) == 0).alias("flags_known"),
     )
 
 

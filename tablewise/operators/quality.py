@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablewise.functions import rules
 from tablewise.functions.columns import ratio, real
-from tablewise.operators.profile import ColumnProfile, comparable_text
+from tablewise.operators.profile import ColumnProfile, group_key
 from tablewise.operators.quantiles import SMALL, exact_quantiles
 
 COLUMN_SCHEMA = T.StructType(
@@ -33,7 +33,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
     Partial counts collapse hot rows before the shuffle; long texts travel as digests.
     """
-    keys = [comparable_text(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
+    keys = [group_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
     groups = df.select(*keys).groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),

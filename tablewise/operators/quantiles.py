@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL = 2_000_000
-SKETCH = 10_000
+SKETCH = 1_000
 
 
 @dataclass(frozen=True)
@@ -75,45 +75,62 @@ def exact_quantiles(
         for i, a in enumerate(small):
             n, at = found[2 * i], found[2 * i + 1]
             out[aliases[a]] = Quantiles(n, tuple(at) if n else (None,) * len(probabilities))
-    for a, name in aliases.items():
-        if a not in small:
-            out[name] = Quantiles(counts[a], _large(values, a, counts[a], probabilities, limit))
+    large = {a: counts[a] for a in aliases if a not in small}
+    if large:
+        found = _large(values, large, probabilities, limit)
+        out |= {aliases[a]: Quantiles(counts[a], found[a]) for a in large}
     return {name: out[name] for name in columns}
 
 
-def _large(values: DataFrame, column: str, n: int, probabilities, limit: int) -> tuple[float, ...]:
-    places = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for place in places for r in (math.floor(place), math.ceil(place))})
-    brackets = [_Bracket(column, rank, n) for rank in ranks]
-    while open_ := [b for b in brackets if b.found is None and b.size > limit]:
+def _large(
+    values: DataFrame, sizes: dict[str, int], probabilities: Sequence[float], limit: int
+) -> dict[str, tuple[float, ...]]:
+    """All large columns together: the passes over the data do not grow with their number."""
+    places = {c: [p * (n - 1) for p in probabilities] for c, n in sizes.items()}
+    brackets = {
+        (c, rank): _Bracket(c, rank, sizes[c])
+        for c, at in places.items()
+        for place in at
+        for rank in (math.floor(place), math.ceil(place))
+    }
+    while open_ := [b for b in brackets.values() if b.found is None and b.size > limit]:
         _shrink(values, open_)
-    for bracket in brackets:
-        if bracket.found is None:
-            bracket.found = _pick(values, bracket)
-    at = {rank: b.found for rank, b in zip(ranks, brackets)}
-    out = []
-    for place in places:
-        low, high = at[math.floor(place)], at[math.ceil(place)]
-        out.append(low + (high - low) * (place - math.floor(place)))
-    return tuple(out)
+    _pick(values, [b for b in brackets.values() if b.found is None])
+
+    def between(c: str, place: float) -> float:
+        low, high = brackets[c, math.floor(place)].found, brackets[c, math.ceil(place)].found
+        return low + (high - low) * (place - math.floor(place))
+
+    return {c: tuple(between(c, place) for place in at) for c, at in places.items()}
 
 
 def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """One sketch pass and one counting pass for all open brackets."""
-    sketches = []
+    """One sketch pass and one counting pass for all open brackets; brackets with the same ends
+    share a sketch."""
+    shared: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
-        centre = b.offset / max(b.size - 1, 1)
-        edges = [max(0.0, centre - 2 / SKETCH), min(1.0, centre + 2 / SKETCH)]
-        member = F.when(b.inside(), F.col(b.column))
+        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    sketches = []
+    for group in shared.values():
+        edges = []
+        for b in group:
+            centre = b.offset / max(b.size - 1, 1)
+            edges += [max(0.0, centre - 2 / SKETCH), min(1.0, centre + 2 / SKETCH)]
+        member = F.when(group[0].inside(), F.col(group[0].column))
         sketches.append(F.percentile_approx(member, F.array(*map(F.lit, edges)), SKETCH))
-    edges_row = values.agg(*sketches).first()
+    found = values.agg(*sketches).first()
+    jobs = [
+        (b, found[g][2 * i], found[g][2 * i + 1])
+        for g, group in enumerate(shared.values())
+        for i, b in enumerate(group)
+    ]
     measures = []
-    for b, (a, z) in zip(brackets, edges_row):
+    for b, a, z in jobs:
         v = F.col(b.column)
         for test in (v < a, v == a, (v > a) & (v < z), (v == z) & F.lit(z > a)):
             measures.append(F.count_if(b.inside() & test))
     counted = list(values.agg(*measures).first())
-    for i, (b, (a, z)) in enumerate(zip(brackets, edges_row)):
+    for i, (b, a, z) in enumerate(jobs):
         under, at_a, between, at_z = counted[4 * i : 4 * i + 4]
         k = b.offset
         if k < under:
@@ -129,8 +146,18 @@ def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
             b.low, b.offset, b.size = z, k - passed, b.size - passed
 
 
-def _pick(values: DataFrame, b: _Bracket) -> float:
-    """At most ``limit`` values are left in the bracket, so one ordered running count is cheap."""
-    counts = values.filter(b.inside()).groupBy(F.col(b.column).alias("v")).agg(F.count("*").alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    return running.filter(F.col("upto") > b.offset).agg(F.min("v")).first()[0]
+def _pick(values: DataFrame, brackets: list[_Bracket]) -> None:
+    """At most ``limit`` values are left in each bracket, so one ordered running count per
+    bracket is cheap."""
+    if not brackets:
+        return
+    members = [
+        F.when(b.inside(), F.struct(F.lit(i).alias("b"), F.col(b.column).alias("v")))
+        for i, b in enumerate(brackets)
+    ]
+    inside = values.select(F.explode(F.array_compact(F.array(*members))).alias("m"))
+    counts = inside.groupBy("m.b", "m.v").agg(F.count("*").alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")))
+    offset = F.element_at(F.array(*(F.lit(b.offset) for b in brackets)), F.col("b") + 1)
+    for row in running.filter(F.col("upto") > offset).groupBy("b").agg(F.min("v").alias("v")).collect():
+        brackets[row["b"]].found = row["v"]

@@ -15,7 +15,7 @@ from tablewise.operators import charts, clean, compare, insights, joins, kpi, qu
 from tablewise.operators.charts import ChartSpec
 from tablewise.operators.profile import ColumnProfile, profile_table, profiles_to_frame, types_of
 from tablewise.plans import chart_choice, generated
-from tablewise.session import configure, per_table, stage, work_folder
+from tablewise.session import configure, per_table, work_folder
 from tablewise.sources.files import read_tables
 from tablewise.sources.metadata import MetadataStore, now
 
@@ -139,7 +139,7 @@ def run_session(
         reports = reduce(lambda a, b: a.unionByName(b), scored.values())
         status("extracting")
         status("cleaning")
-        run.cleaned = clean.clean_tables(raw, run.profiles, stage=stage)
+        run.cleaned = clean.clean_tables(raw, run.profiles)
         status("loading")
         load_tables(run, root)
         if run.status == "error":

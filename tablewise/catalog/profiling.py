@@ -225,6 +225,20 @@ def schema_nested(spark, folder):
     return nested.select("table_name", F.array_join(text, "|").alias("columns"))
 
 
+def schema_search(spark, folder):
+    frames = [_profile(read_table(spark, folder, t), t) for t in _NESTED_TABLES]
+    found = prof.search_fields(reduce(lambda a, b: a.unionByName(b), frames), "Date")
+    return found.select("table_name", "column_name", "detected_type")
+
+
+def dataset_summary(spark, folder):
+    tables = _score_tables(spark, folder)
+    profiles = per_table(lambda name, df: prof.profile_table(df, name, samples=False), tables)
+    reports = per_table(lambda name, df: quality.quality_report(df, name, profiles[name]), tables)
+    scores = reduce(lambda a, b: a.unionByName(b), reports.values())
+    return plain(prof.dataset_summary(prof.profiles_to_frame(spark, profiles), scores))
+
+
 def duplicate_rows(spark, folder):
     tables = {t: read_table(spark, folder, t) for t in RAW} | {"dirty": dirty_orders(spark, folder)}
     frames = [
@@ -405,6 +419,19 @@ QUERIES = {
 SELECT table_name, string_agg(column_order || ':' || column_name || ':' || detected_type, '|'
        ORDER BY column_order) AS columns FROM typed GROUP BY table_name""",
     ),
+    "schema_search": (
+        schema_search,
+        "WITH " + _types_sql(_NESTED_TABLES) + """
+SELECT table_name, column_name, detected_type FROM typed
+WHERE contains(lower(table_name || ' ' || column_name || ' ' || detected_type), 'date')""",
+    ),
+    "dataset_summary": (
+        dataset_summary,
+        _with_scores(f"""
+SELECT {big("COUNT(*)")} AS tables, (SELECT {big("COUNT(*)")} FROM typed) AS fields, {big("SUM(total_rows)")} AS total_rows,
+  (SELECT {rnd("100 - AVG(" + rnd("CAST(total - filled AS DOUBLE) / total * 100") + ")")} FROM typed) AS completeness,
+  {big("FLOOR(AVG(quality_score))")} AS overall_quality FROM scores"""),
+    ),
     "duplicate_rows": (duplicate_rows, "WITH " + DIRTY_SQL + "\n" + _duplicates_sql(RAW | DIRTY)),
     "null_quality": (
         null_quality,

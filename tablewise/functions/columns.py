@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +93,14 @@ def to_flag(c: Column) -> Column:
     )
 
 
+def moment_literal(value: dt.datetime | dt.date) -> Column:
+    """A zone-free timestamp literal, whatever the time zones of Python and the session are. As
+    a literal it reaches the Parquet reader and skips row groups."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def is_text(t: T.DataType) -> bool:
     return isinstance(t, (T.StringType, T.CharType, T.VarcharType))
 

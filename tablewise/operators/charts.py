@@ -108,8 +108,8 @@ def scatter(df: DataFrame, x: str, y: str, k: int = rules.CHART_POINTS, seed: in
 def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     """Exact counts of equal-width bins over all rows."""
     values = df.select(real(_col(x), df.schema[x].dataType).alias("v")).filter(F.col("v").isNotNull())
-    low = values.agg(F.min("v").alias("low")).scalar()
-    high = values.agg(F.max("v").alias("high")).scalar()
+    ends = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("ends")).scalar()
+    low, high = ends["low"], ends["high"]
     width = F.nullif((high - low) / bins, F.lit(0.0))
     number = F.least(F.coalesce(F.floor((F.col("v") - low) / width), F.lit(0)), F.lit(bins - 1))
     step = F.coalesce(width, F.lit(0.0))

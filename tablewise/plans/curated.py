@@ -8,11 +8,13 @@ shuffles (group, key) pairs, so a hot group never lands in one task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions import rules
-from tablewise.functions.columns import month_of, ratio, rounded, whole_days
+from tablewise.functions.columns import moment_literal, month_of, ratio, rounded, whole_days
 from tablewise.sources.mart import STATUS_NAMES
 
 DELIVERED = STATUS_NAMES["F"]
@@ -77,17 +79,33 @@ def revenue_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
     ).orderBy(F.desc("total_revenue"), "category")
 
 
-def latest_purchase(orders: DataFrame) -> Column:
-    """The default reporting moment: the last purchase in the data."""
-    return orders.agg(F.max("order_purchase_timestamp").alias("as_of")).scalar()
+def latest_purchase(orders: DataFrame) -> dt.datetime | None:
+    """The default reporting moment: the last purchase in the data. It is looked up first, one
+    value, so that the date conditions made from it are literals the scan can use."""
+    return orders.agg(F.max(F.col("order_purchase_timestamp").cast("timestamp_ntz"))).first()[0]
+
+
+def _as_of(orders: DataFrame, as_of: dt.datetime | None) -> dt.datetime:
+    return as_of or latest_purchase(orders) or dt.datetime(1970, 1, 1)
+
+
+def _month_start(moment: dt.datetime, months_later: int = 0) -> dt.datetime:
+    count = moment.year * 12 + moment.month - 1 + months_later
+    return dt.datetime(count // 12, count % 12 + 1, 1)
+
+
+def _bought_between(first: dt.datetime, end: dt.datetime | None = None) -> Column:
+    bought = F.col("order_purchase_timestamp")
+    since = bought >= moment_literal(first)
+    return since if end is None else since & (bought < moment_literal(end))
 
 
 def customer_summary(
-    customers: DataFrame, orders: DataFrame, items: DataFrame, as_of: Column | None = None
+    customers: DataFrame, orders: DataFrame, items: DataFrame, as_of: dt.datetime | None = None
 ) -> DataFrame:
     """One row per customer. Rows are not sorted: an ordering of all customers would cost a
     range shuffle that no reader of the view needs."""
-    as_of = latest_purchase(orders) if as_of is None else as_of
+    as_of = _as_of(orders, as_of)
     bought = (
         orders.filter(F.col("order_status") == DELIVERED)
         .select("order_id", "customer_id", "order_purchase_timestamp")
@@ -105,7 +123,7 @@ def customer_summary(
             F.max("order_purchase_timestamp").alias("last_order_date"),
         )
     )
-    quiet = whole_days(as_of, F.col("last_order_date"))
+    quiet = whole_days(moment_literal(as_of), F.col("last_order_date").cast("timestamp_ntz"))
     return (
         stats.withColumn(
             "customer_tenure_days", whole_days(F.col("last_order_date"), F.col("first_order_date"))
@@ -207,38 +225,30 @@ def delivery_status(deliveries: DataFrame, months: int = 12) -> DataFrame:
     )
 
 
-def month_vs_last_month(orders: DataFrame, items: DataFrame, as_of: Column | None = None) -> DataFrame:
+def month_vs_last_month(orders: DataFrame, items: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
     """Both months in one pass: only their two months reach the join."""
-    as_of = latest_purchase(orders) if as_of is None else as_of
-    this_month = F.date_trunc("month", as_of)
-    last_month = F.add_months(this_month, -1).cast("timestamp")
-    next_month = F.add_months(this_month, 1).cast("timestamp")
-    bought = F.col("order_purchase_timestamp")
-    recent = orders.filter((bought >= last_month) & (bought < next_month)).select(
-        "order_id", (bought >= this_month).alias("is_current")
+    as_of = _as_of(orders, as_of)
+    this_month = _month_start(as_of)
+    recent = orders.filter(_bought_between(_month_start(as_of, -1), _month_start(as_of, 1))).select(
+        "order_id", _bought_between(this_month).alias("is_current")
     )
     sums = recent.join(items.select("order_id", "price"), "order_id", "inner").agg(
         F.sum(F.when(F.col("is_current"), F.col("price"))).alias("now"),
         F.sum(F.when(~F.col("is_current"), F.col("price"))).alias("before"),
     )
     return sums.select(
-        this_month.cast("timestamp_ntz").alias("current_month"),
+        moment_literal(this_month).alias("current_month"),
         rounded(F.coalesce("now", F.lit(0)), 2).alias("revenue_this_month"),
         rounded(F.coalesce("before", F.lit(0)), 2).alias("revenue_last_month"),
     )
 
 
 def top_categories_last_month(
-    orders: DataFrame, items: DataFrame, products: DataFrame, as_of: Column | None = None, k: int = 5
+    orders: DataFrame, items: DataFrame, products: DataFrame, as_of: dt.datetime | None = None, k: int = 5
 ) -> DataFrame:
-    as_of = latest_purchase(orders) if as_of is None else as_of
-    this_month = F.date_trunc("month", as_of)
-    bought = F.col("order_purchase_timestamp")
-    chosen = orders.filter(
-        (F.col("order_status") == DELIVERED)
-        & (bought >= F.add_months(this_month, -1).cast("timestamp"))
-        & (bought < this_month)
-    ).select("order_id")
+    as_of = _as_of(orders, as_of)
+    last_month = _bought_between(_month_start(as_of, -1), _month_start(as_of))
+    chosen = orders.filter((F.col("order_status") == DELIVERED) & last_month).select("order_id")
     return (
         chosen.join(items.select("order_id", "product_id", "price"), "order_id", "inner")
         .join(products, "product_id", "inner")
@@ -253,13 +263,12 @@ def recent_demand(
     orders: DataFrame,
     items: DataFrame,
     products: DataFrame,
-    as_of: Column | None = None,
+    as_of: dt.datetime | None = None,
     days: int = 30,
     k: int = 10,
 ) -> DataFrame:
-    as_of = latest_purchase(orders) if as_of is None else as_of
-    since = as_of - F.make_dt_interval(F.lit(days))
-    chosen = orders.filter(F.col("order_purchase_timestamp") >= since).select("order_id")
+    since = _as_of(orders, as_of) - dt.timedelta(days=days)
+    chosen = orders.filter(_bought_between(since)).select("order_id")
     return (
         chosen.join(items.select("order_id", "product_id", "price"), "order_id", "inner")
         .join(products, "product_id", "inner")

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tablewise.operators import insights
 from tablewise.operators.filters import DashboardFilters
 from tablewise.plans import report, run, sqlaccess
 from tablewise.sources.metadata import MetadataStore, latest_sessions, unseen
@@ -86,6 +87,14 @@ def test_report(upload):
     assert "Date filter: 2024-01-01 to any | Category filter: Delivered" in scoped["scope"].first()["scope"]
 
 
+def test_public_dashboard(upload):
+    store, done = upload
+    tables = [store.read(t) for t in ("kpi_results", "insights", "chart_configs")]
+    shown = insights.public_subset(*tables, done.session_id)
+    assert shown["kpis"].count() > 3 and shown["insights"].count() <= 5
+    assert {r["chart_type"] for r in shown["charts"].collect()} <= set(insights.PUBLIC_CHARTS)
+
+
 def test_chart_frames(upload):
     _, done = upload
     frames = run.chart_frames(done)

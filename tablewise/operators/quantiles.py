@@ -1,11 +1,11 @@
 """Exact quantiles that never gather a column in one task.
 
-Spark's ``percentile`` keeps a value→count map per group, which is exact but unbounded. Up to
-``limit`` values it is used as is. Above, each order statistic is bracketed with a sketch
-(``percentile_approx``, bounded state) and the values in and around the bracket are counted;
-the bracket shrinks by orders of magnitude per round, and once it holds at most ``limit``
-values the statistic is picked from their counts. Counting makes the result exact whatever
-the sketch returns.
+Spark's ``percentile`` keeps a value→count map per group in memory, which is exact but
+unbounded. Here a column of up to ``limit`` values is ordered by its distinct values. Above, each
+order statistic is bracketed with a sketch (``percentile_approx``, bounded state) and the values
+in and around the bracket are counted; the bracket shrinks by orders of magnitude per round, and
+once it holds at most ``limit`` values the statistic is picked from their counts. Counting makes
+the result exact whatever the sketch returns.
 """
 
 from __future__ import annotations
@@ -69,12 +69,9 @@ def exact_quantiles(
     small = [a for a in aliases if counts.get(a, rows) <= limit]
     out: dict[str, Quantiles] = {}
     if small:
-        probs = F.array(*(F.lit(float(p)) for p in probabilities))
-        measures = [m for a in small for m in (F.count(a), F.percentile(a, probs))]
-        found = list(values.agg(*measures).first())
-        for i, a in enumerate(small):
-            n, at = found[2 * i], found[2 * i + 1]
-            out[aliases[a]] = Quantiles(n, tuple(at) if n else (None,) * len(probabilities))
+        found = _small(values.select(*small), probabilities)
+        nothing = Quantiles(0, (None,) * len(probabilities))
+        out |= {aliases[a]: found.get(a, nothing) for a in small}
     large = {a: counts[a] for a in aliases if a not in small}
     if large:
         found = _large(values, large, probabilities, limit)
@@ -82,6 +79,35 @@ def exact_quantiles(
     return {name: out[name] for name in columns}
 
 
+def _small(values: DataFrame, probabilities: Sequence[float]) -> dict[str, Quantiles]:
+    """Columns of at most ``limit`` values: distinct values with counts, one ordered running
+    count per column (a sort that can spill), and the values at the wanted places."""
+    names = values.columns
+    if len(names) == 1:
+        pairs = values.select(F.lit(names[0]).alias("c"), F.col(names[0]).alias("v"))
+    else:
+        pairs = values.unpivot([], names, "c", "v")
+    counts = pairs.filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
+    running = counts.select(
+        "c", "v",
+        F.sum("n").over(Window.partitionBy("c").orderBy("v")).alias("upto"),
+        F.sum("n").over(Window.partitionBy("c")).alias("total"),
+    )
+    measures = [F.max("total").alias("total")]
+    for i, p in enumerate(probabilities):
+        place = (F.col("total") - 1) * F.lit(float(p))
+        for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            measures.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{end}{i}"))
+    out = {}
+    for row in running.groupBy("c").agg(*measures).collect():
+        at = []
+        for i, p in enumerate(probabilities):
+            place, low, high = p * (row["total"] - 1), row[f"low{i}"], row[f"high{i}"]
+            at.append(low + (high - low) * (place - math.floor(place)))
+        out[row["c"]] = Quantiles(row["total"], tuple(at))
+    return out
+
+
 def _large(
     values: DataFrame, sizes: dict[str, int], probabilities: Sequence[float], limit: int
 ) -> dict[str, tuple[float, ...]]:

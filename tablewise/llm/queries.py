@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, token_files
+from tablewise.llm import bpe, line_dedup, shard_tree, token_files
 from tablewise.llm.common import documents, work_folder
 
 
@@ -14,6 +14,17 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_chars=20, min_docs=3)
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return out.select("doc_id", "n_lines", "n_dropped", kept)
+
+
+def op2_shard_tree(spark, sf_dir):
+    rows = shard_tree.assign(documents(spark, sf_dir), shard_tree.standard_tree(40))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op3_token_files(spark, sf_dir):
     folder = work_folder(spark, "token-files")
     token_files.write(documents(spark, sf_dir), folder, word_tokenizer(), end_id=2)
@@ -30,5 +41,5 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op10_bpe": op10_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}

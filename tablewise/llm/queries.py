@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, line_dedup, shard_tree, token_files
+from tablewise.llm import bpe, line_dedup, shard_tree, token_files, topk
 from tablewise.llm.common import documents, work_folder
 
 
@@ -31,6 +31,26 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_checksums(spark, folder)
 
 
+def op4_topk(spark, sf_dir):
+    return topk.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.v AS qv, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
 def op10_bpe(spark, sf_dir):
     out = bpe.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"), word_tokenizer())
     return out.select(
@@ -41,5 +61,5 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op10_bpe": op10_bpe}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op10_bpe": op10_bpe}
+SQL: dict[str, str] = {"op4_topk": OP4_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, line_dedup, shard_tree, token_files, topk
+from tablewise.llm import bpe, features, line_dedup, quality, shard_tree, token_files, topk, toxicity
 from tablewise.llm.common import documents, work_folder
 
 
@@ -51,6 +51,23 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
 
+def _classified(scores, threshold):
+    return scores.select(
+        "doc_id", features.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return _classified(toxicity.score(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels"))), 0.5)
+
+
+def op9_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return _classified(quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels"))), 0.3)
+
+
 def op10_bpe(spark, sf_dir):
     out = bpe.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"), word_tokenizer())
     return out.select(
@@ -61,5 +78,5 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op10_bpe": op10_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {"op4_topk": OP4_SQL}

@@ -1,7 +1,7 @@
 """Hashed features of words for linear classifiers, and what fitting them shares.
 
-Every feature is a bucket of a 64-bit hash; a row's value of a bucket is its count divided by the square
-root of the row's number of words, so long texts are comparable with short ones.
+Every feature is a bucket of a 64-bit hash; a row's value of a bucket is its count divided by a power of
+the row's number of words: a half where the whole text shows the label, less where a few words decide.
 """
 
 from __future__ import annotations
@@ -37,10 +37,13 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def word_ngrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of single words and of neighbouring words as they are written, runs of punctuation
-    being words of their own: (buckets, first of each row, words of each row)."""
+    being words of their own and a word after itself one common pair: (buckets, first of each row, words of each row)."""
     starts, ends, first = _tokens(buf, offsets)
     words = texts.hash_spans(buf, starts, ends)
     pairs, pair_first = texts.shingles(words, first, 2)
+    at = np.arange(len(pairs)) + np.repeat(first[:-1] - pair_first[:-1], np.diff(pair_first))
+    same = words[at] == words[np.minimum(at + 1, len(words) - 1)] if len(pairs) else np.zeros(0, bool)
+    pairs[same & np.repeat(np.diff(first) > 1, np.diff(pair_first))] = 0
     return _rows([(_bucket(words, 1), first), (_bucket(pairs, 2), pair_first)]) + (np.diff(first),)
 
 
@@ -92,13 +95,13 @@ def featured(rows: DataFrame, extract, carried: list[str]) -> DataFrame:
     return rows.select(*carried, "text").mapInArrow(run, schema)
 
 
-def sparse(features: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def sparse(features: np.ndarray, words: int, power: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a row and their values."""
     found, n = np.unique(features, return_counts=True)
-    return found, n / np.sqrt(max(words, 1))
+    return found, n / max(words, 1) ** power
 
 
-def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, doc_id: str, text: str) -> DataFrame:
+def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, power: float, doc_id: str, text: str) -> DataFrame:
     """doc_id and score: the logistic of a sparse dot product per row; a text without words has the bias alone."""
     shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
@@ -108,7 +111,7 @@ def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, doc_id: str
             for row, end, buf, offsets in texts.blocks(batch.column(1)):
                 buckets, begin, words = extract(buf, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(table[buckets], dtype=np.float64)])
-                margin = bias + (sums[begin[1:]] - sums[begin[:-1]]) / np.sqrt(np.maximum(words, 1))
+                margin = bias + (sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(words, 1) ** power
                 score = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(score)], names=["doc_id", "score"])
 

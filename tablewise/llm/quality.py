@@ -23,6 +23,7 @@ from tablewise.llm import features
 
 MAX_ROWS = 12_000  # labelled rows that are fitted
 PASSES = 3
+POWER = 0.5  # of the number of words that counts are divided by
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1e-4
 
 
@@ -81,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
                 values = np.array(lists[i].values, np.int32)
                 if (key := (y, hash(values.tobytes()))) not in seen:
                     seen.add(key)
-                    held.append((*features.sparse(values, words[i]), y))
+                    held.append((*features.sparse(values, words[i], POWER), y))
         learner = Ftrl(1 << features.BUCKET_BITS)
         for _ in range(PASSES):
             for at, x, y in held:
@@ -104,4 +105,4 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 def score(docs: DataFrame, model: LinearModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    return features.scored(docs, features.word_ngrams, model.weights, model.bias, doc_id, text)
+    return features.scored(docs, features.word_ngrams, model.weights, model.bias, POWER, doc_id, text)

@@ -26,9 +26,10 @@ from tablewise.llm.quality import LinearModel, sampled_labels
 MODELS = 3
 MAX_POSITIVE = 4_000  # confirmed rows that are fitted
 MAX_UNLABELLED = 9_000  # unlabelled rows that are fitted, over all models
-STEPS, BATCH, RATE, DECAY = 400, 512, 0.05, 1e-3
+STEPS, BATCH, RATE, DECAY = 600, 512, 0.1, 1e-3
 LEAST_ROWS, LEAST_CONTRAST = 4, 4.0  # rows that have a bucket, and its standard score, for a weight
 TOLERANCE, SLOWER = 0.0, 1.0
+POWER = 0.5  # of the number of words that counts are divided by
 
 
 def nn_pu(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -69,7 +70,9 @@ def nn_pu(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior
         v = 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[-2] = 0.0
-    return used, w[:-2], float(w[-1])
+    # the non-negative part holds margins back: move the border up to where the prior's share of the unlabelled rows lies above
+    f = np.bincount(np.repeat(np.arange(len(rows)), size), w[place] * all_x, len(rows))[u] + w[-1]
+    return used, w[:-2], float(w[-1] - min(np.quantile(f, 1 - prior), 0.0))
 
 
 def _contrast(place: np.ndarray, positive: np.ndarray, buckets: int, n_p: int, n_u: int) -> np.ndarray:
@@ -113,7 +116,7 @@ def fit(
             mark = (bool(positive[i]), hash(values.tobytes()))
             if len(values) and (mark not in seen):
                 seen.add(mark)
-                data.append(features.sparse(values, int(words[i])))
+                data.append(features.sparse(values, int(words[i]), POWER))
                 kept.append(i)
         if not data:
             return pa.table({"bucket": pa.array([-1], pa.int64()), "weight": pa.array([float(np.log(prior / (1 - prior)))])})
@@ -132,4 +135,4 @@ def fit(
 
 def score(docs: DataFrame, model: LinearModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    return features.scored(docs, features.word_stems, model.weights, model.bias, doc_id, text)
+    return features.scored(docs, features.word_stems, model.weights, model.bias, POWER, doc_id, text)

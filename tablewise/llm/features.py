@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.llm import texts
+from tablewise.llm.common import without
 
 BUCKET_BITS = 20
 PUNCTUATION = np.zeros(256, bool)
@@ -47,15 +49,18 @@ def word_ngrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return _rows([(_bucket(words, 1), first), (_bucket(pairs, 2), pair_first)]) + (np.diff(first),)
 
 
-def word_stems(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of lower-cased words without punctuation around them, and of their first 4, 5 and 6 bytes."""
+def bare_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words without up to four marks of punctuation on either side (one byte always stays)."""
     starts, ends, first = texts.word_spans(buf, offsets)
-    starts, ends = starts.copy(), ends.copy()
     for _ in range(4):
-        open_ = ends > starts + 1
-        ends[open_] -= PUNCTUATION[buf[ends[open_] - 1]]
-        open_ = ends > starts + 1
-        starts[open_] += PUNCTUATION[buf[starts[open_]]]
+        ends = ends - (PUNCTUATION[buf[ends - 1]] & (ends > starts + 1))
+        starts = starts + (PUNCTUATION[buf[starts]] & (ends > starts + 1))
+    return starts, ends, first
+
+
+def word_stems(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of lower-cased words without punctuation around them, and of their first 4, 5 and 6 bytes."""
+    starts, ends, first = bare_words(buf, offsets)
     parts = [(_bucket(texts.hash_spans(buf, starts, ends, fold=True), 3), first)]
     for size in (4, 5, 6):
         parts.append((_bucket(texts.hash_spans(buf, starts, np.minimum(starts + size, ends), fold=True), size), first))
@@ -101,20 +106,23 @@ def sparse(features: np.ndarray, words: int, power: float) -> tuple[np.ndarray,
     return found, n / max(words, 1) ** power
 
 
-def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, power: float, doc_id: str, text: str) -> DataFrame:
-    """doc_id and score: the logistic of a sparse dot product per row; a text without words has the bias alone."""
+def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, power: float, text: str) -> DataFrame:
+    """``df`` with the column score, the logistic of a sparse dot product per row; a text without words has
+    the bias alone."""
     shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    kept = without(df, ["score"])
+    rows = df.select(*[df[c] for c in kept], df[text].cast("string").alias("__text"))
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         table = shared.value
         for batch in batches:
-            for row, end, buf, offsets in texts.blocks(batch.column(1)):
+            for row, end, buf, offsets in texts.blocks(batch.column(len(kept))):
                 buckets, begin, words = extract(buf, offsets)
                 sums = np.concatenate([[0.0], np.cumsum(table[buckets], dtype=np.float64)])
                 margin = bias + (sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(words, 1) ** power
                 score = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(score)], names=["doc_id", "score"])
+                columns = [batch.column(i).slice(row, end - row) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[f.name for f in schema])
 
-    rows = df.select(df[doc_id].alias("doc_id"), df[text].cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(run, schema)

@@ -103,6 +103,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return LinearModel(weights, bias)
 
 
-def score(docs: DataFrame, model: LinearModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row."""
-    return features.scored(docs, features.word_ngrams, model.weights, model.bias, POWER, doc_id, text)
+def score(docs: DataFrame, model: LinearModel, text: str = "text") -> DataFrame:
+    """``docs`` with the column score."""
+    return features.scored(docs, features.word_ngrams, model.weights, model.bias, POWER, text)

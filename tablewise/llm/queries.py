@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, features, line_dedup, quality, shard_tree, token_files, topk, toxicity
+from tablewise.llm import bpe, decontaminate, features, line_dedup, quality, shard_tree, token_files, topk, toxicity
 from tablewise.llm.common import documents, work_folder
 
 
@@ -63,6 +63,12 @@ def op7_toxicity(spark, sf_dir):
     return _classified(toxicity.score(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels"))), 0.5)
 
 
+def op8_decontaminate(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op9_quality(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return _classified(quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels"))), 0.3)
@@ -78,5 +84,5 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {"op4_topk": OP4_SQL}

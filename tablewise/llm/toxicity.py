@@ -133,6 +133,6 @@ def fit(
     return LinearModel(weights, bias[0] if bias else float(np.log(prior / (1 - prior))))
 
 
-def score(docs: DataFrame, model: LinearModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row."""
-    return features.scored(docs, features.word_stems, model.weights, model.bias, POWER, doc_id, text)
+def score(docs: DataFrame, model: LinearModel, text: str = "text") -> DataFrame:
+    """``docs`` with the column score."""
+    return features.scored(docs, features.word_stems, model.weights, model.bias, POWER, text)

@@ -12,7 +12,7 @@ largest doc_id that holds them.
    partial counts before the shuffle, so a line of a third of all documents is no hot key.
 4. Documents without suspects pass through unshuffled. The others meet their list of lines to drop.
 
-The filter has eight bits per distinct key up to ``MAX_FILTER_BITS`` (128 MB, the bound of what is
+The filter has eight bits per distinct key up to ``bloom.MAX_BITS`` (128 MB, the bound of what is
 broadcast). Beyond that more lines become suspects and are counted exactly; the result is the same.
 
 A null or empty text is one empty line (null stays null). Rows with the same doc_id are one document;
@@ -31,16 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.llm import texts
+from tablewise.llm import bloom
 from tablewise.llm.common import stage, without
 
 BLANKS = b" \t\n\x0b\x0c\r"
-SLICES = 64
-MAX_FILTER_BITS = 1 << 30
-HASHES_PER_ROW = 512
 HELD_HASHES = 1 << 22
 NO_ID = -(1 << 63)
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -55,44 +51,9 @@ def _rows(column: pa.Array) -> Iterator[bytes]:
     return (v or b"" for v in column.cast(pa.binary()).to_pylist())
 
 
-class Filter:
-    """A Bloom filter over slices of the hash range with four bits per hash; ``slice_bits`` a power of two."""
-
-    def __init__(self, slice_bits: int, bits: np.ndarray):
-        self.slice_bits, self.bits = slice_bits, bits
-
-    @staticmethod
-    def places(hashes: np.ndarray, slice_bits: int) -> np.ndarray:
-        """The four places of each hash within its slice."""
-        mask, more = np.uint64(slice_bits - 1), texts.mix(hashes ^ _SECOND)
-        shift = np.uint64(24)
-        return np.stack([hashes & mask, (hashes >> shift) & mask, more & mask, (more >> shift) & mask]).astype(np.int64)
-
-    @staticmethod
-    def slice_of(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(58)).astype(np.int64)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes, self.slice_bits) + self.slice_of(hashes) * self.slice_bits
-        return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
-
-
 def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """Distinct key hashes of each task by slice: those of one document, and those of several."""
 
-    def emit(held):
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        rows = []
-        for several in (False, True):
-            part = hashes[n > 1] if several else hashes[n == 1]
-            cuts = np.searchsorted(Filter.slice_of(part), np.arange(SLICES + 1))
-            for s in range(SLICES):
-                for a in range(cuts[s], cuts[s + 1], HASHES_PER_ROW):
-                    rows.append((s, several, part[a : min(a + HASHES_PER_ROW, cuts[s + 1])].tobytes()))
-        columns = list(zip(*rows)) or [(), (), ()]
-        types = (pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["slice", "several", "hashes"])
-
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -103,44 +64,12 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             held.append(np.array(found, np.uint64))
             size += len(found)
             if size >= HELD_HASHES:
-                yield emit(held)
+                yield bloom.packed(held)
                 held, size = [], 0
         if size:
-            yield emit(held)
+            yield bloom.packed(held)
 
-    return docs.select("text").mapInArrow(run, "slice int, several boolean, hashes binary")
-
-
-def _filter(hashes: DataFrame) -> Filter:
-    """The filter of hashes seen at least twice."""
-    n = (hashes.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
-    bits = min(max(1 << max(8 * n - 1, 1).bit_length(), SLICES * 1024), MAX_FILTER_BITS)
-    slice_bits = bits // SLICES
-
-    def run(batches):
-        current, once, twice = None, None, None
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["slice", "bits"])
-
-        for batch in batches:
-            for s, several, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != current:
-                    if current is not None:
-                        yield done()
-                    current, once, twice = s, np.zeros(slice_bits, bool), np.zeros(slice_bits, bool)
-                at = Filter.places(np.frombuffer(data, np.uint64), slice_bits)
-                again = at if several else at[:, once[at].all(0)]
-                twice[again] = True
-                once[at] = True
-        if current is not None:
-            yield done()
-
-    sliced = hashes.repartition(SLICES, "slice").sortWithinPartitions("slice").select("slice", "several", "hashes")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in sliced.mapInArrow(run, "slice int, bits binary").toLocalIterator():
-        out[r["slice"] * slice_bits // 8 : (r["slice"] + 1) * slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(slice_bits, out)
+    return docs.select("text").mapInArrow(run, bloom.ROWS)
 
 
 def _flagged(docs: DataFrame, seen, min_chars: int) -> DataFrame:
@@ -201,7 +130,7 @@ def dedup_lines(df: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: s
         *[df[c].alias(f"__c{i}") for i, c in enumerate(kept)],
         F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)).alias("__doc"), df[text].cast("string").alias("text"),
     )
-    seen = spark.sparkContext.broadcast(_filter(stage(_hashes(docs, min_chars), "line-hashes")))
+    seen = spark.sparkContext.broadcast(bloom.build(stage(_hashes(docs, min_chars), "line-hashes"), twice=True))
 
     suspects = _flagged(docs.select("__doc", "text"), seen, min_chars).select("__doc", F.explode("__suspects").alias("key"))
     suspects = stage(suspects, "line-suspects")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontaminate, features, jaccard_join, line_dedup, quality, shard_tree, token_files, topk, toxicity
+from tablewise.llm import bpe, decontaminate, features, html_text, jaccard_join, line_dedup, quality, shard_tree, token_files, topk, toxicity
 from tablewise.llm.common import documents, work_folder
 
 
@@ -51,6 +51,10 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
 
+def op5_html_text(spark, sf_dir):
+    return html_text.extract(documents(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.link(documents(spark, sf_dir), width=4, percent=85)
 
@@ -88,5 +92,5 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 SQL: dict[str, str] = {"op4_topk": OP4_SQL}

@@ -121,6 +121,7 @@ def fit(
         if not data:
             return pa.table({"bucket": pa.array([-1], pa.int64()), "weight": pa.array([float(np.log(prior / (1 - prior)))])})
         used, weights, bias = nn_pu(data, positive[kept], prior, seed=int(key[0].as_py()))
+        used, weights = used[weights != 0], weights[weights != 0]
         return pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights, bias))})
 
     fitted = rows.select("model", "pool", "order", "features", "words").groupBy("model").applyInArrow(train, "bucket bigint, weight double")

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. The documents in which every word n-gram of the test items occurs are counted over the whole corpus.
-2. Of every ``WINDOW`` neighbouring n-grams of an item the rarest is a seed, so each stretch of an item
-   has one, however often a leaked passage was copied.
+2. Seeds are the item's rare n-grams, of those that occur: up to twice their median count plus ``RARE`` (so a
+   passage that was copied very often keeps its seeds), and the rarest of every ``WINDOW`` neighbouring ones.
 3. Where a document holds a seed, the words around it are aligned with the item (a match +2, another word
    or a gap -1; local, so edits and cuts on either side cost little). A passage is a leak when its score
    reaches ``share`` of the item's own score, at least ``LEAST`` and at most ``ENOUGH`` (thirty words
@@ -29,6 +29,7 @@ from tablewise.llm.common import without
 
 NGRAM = 3
 WINDOW = 6
+RARE = 32
 ITEM_BLOCK = 20_000
 MATCH, MISS, GAP = 2, -1, -1
 LEAST, ENOUGH = 16, 60
@@ -86,13 +87,19 @@ class Items:
         self.keys = np.unique(self.grams)
 
     def seeded(self, rows: dict[int, int]) -> Items:
-        """Keep the rarest n-gram of every window; rows: n-gram -> documents that hold it."""
-        rare = np.array([rows.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
+        """Keep the rare n-grams and the rarest of every window; rows: n-gram -> documents that hold it."""
+        count = np.array([rows.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
         keep = np.zeros(len(self.grams), bool)
         cuts = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]])) if len(keep) else []
         for a, b in zip(cuts, [*cuts[1:], len(keep)]):
-            for s in range(a, max(b - WINDOW, a) + 1):
-                keep[s + int(rare[s : min(s + WINDOW, b)].argmin())] = True
+            own = count[a:b]
+            if not own.any():
+                continue
+            keep[a:b] = (own > 0) & (own <= 2 * np.median(own[own > 0]) + RARE)
+            order = np.where(own > 0, own, np.iinfo(np.int64).max)  # what occurs nowhere finds nothing
+            for s in range(max(b - a - WINDOW, 0) + 1):
+                best = s + int(order[s : s + WINDOW].argmin())
+                keep[a + best] |= own[best] > 0
         order = np.flatnonzero(keep)
         order = order[np.argsort(self.grams[order], kind="stable")]
         self.grams, self.owner, self.place = self.grams[order], self.owner[order], self.place[order]

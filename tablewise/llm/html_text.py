@@ -391,9 +391,10 @@ class Page:
                 flow.apart()
         elif name in APART:
             flow.apart()
-            e.mark = "fresh" if name in PREFORMATTED else None
         elif name in BLOCK:
             flow.line()
+        if name in PREFORMATTED:
+            e.mark = "fresh"
 
     def visible(self, top: Element, name: str, attributes: dict[str, str]) -> tuple[bool, bool]:
         gone, shown = top.gone or name in HIDDEN, top.shown

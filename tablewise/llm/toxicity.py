@@ -70,9 +70,11 @@ def nn_pu(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior
         v = 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[-2] = 0.0
-    # the non-negative part holds margins back: move the border up to where the prior's share of the unlabelled rows lies above
-    f = np.bincount(np.repeat(np.arange(len(rows)), size), w[place] * all_x, len(rows))[u] + w[-1]
-    return used, w[:-2], float(w[-1] - min(np.quantile(f, 1 - prior), 0.0))
+    # the non-negative part holds margins back: the border goes down to where the prior's share of the unlabelled
+    # rows lies above it, but no further than halfway from confirmed to ordinary rows, as a prior may be wrong
+    f = np.bincount(np.repeat(np.arange(len(rows)), size), w[place] * all_x, len(rows)) + w[-1]
+    border = max(np.quantile(f[u], 1 - prior), (np.median(f[p]) + np.median(f[u])) / 2)
+    return used, w[:-2], float(w[-1] - min(border, 0.0))
 
 
 def _contrast(place: np.ndarray, positive: np.ndarray, buckets: int, n_p: int, n_u: int) -> np.ndarray:

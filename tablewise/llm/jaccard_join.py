@@ -13,9 +13,11 @@ A document's set holds its distinct word shingles; two documents link when
    its pairs only after m - 1 tokens are lost, so the prefix is extended until rare tokens and parts together outlast
    ``tau`` losses: a signature is then left that any partner has too. The number of parts grows with the
    set (both partners use the parts of the smaller one's size), so signatures stay in proportion to it.
-4. Verify. In each signature's list every class is compared with one centre first, and links are joined
-   to components. Then only pairs of different components are compared. A large group of near copies is
-   linked through its centre and is not expanded into pairs.
+4. Verify. In each signature's list every class is compared with one centre first, the class that lost the
+   fewest tokens, and links are joined to components. Then only pairs of different components are compared.
+   A large group of near copies is linked through its centre and is not expanded into pairs. Pairs whose
+   bit maps (the parity of ``MAP_BITS`` token groups) differ in more places than two linked sets can are left out
+   before sets are fetched.
 
 Sets of the classes left are found again from the texts through a Bloom filter of bounded size. Everything
 else is joined, with partial sums before each shuffle; skewed joins are between written tables, so that
@@ -41,6 +43,7 @@ PROBE_SHARE = 0.3  # of the range of token hashes
 RARE = 32
 TOKENS_PER_PART = 64
 CENTRE_ROUNDS = 2
+MAP_BITS = 1024
 
 
 def _least(n, percent: int):
@@ -116,8 +119,14 @@ def _candidates(docs: DataFrame, percent: int) -> DataFrame:
     return docs.filter("probes is not null").select("class", "n", "probes").mapInArrow(run, "class bigint").distinct()
 
 
+def _bit_map(tokens: np.ndarray) -> np.ndarray:
+    """Whether the number of tokens in each of ``MAP_BITS`` groups is odd."""
+    groups = np.bincount((tokens % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits((groups & 1).astype(bool)).view(np.uint64)
+
+
 def _survivors(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """class, n, tokens of the classes left."""
+    """class, n, tokens and bit map of the classes left."""
     filter_rows = stage(bloom.packed_column(classes, "class"), "jaccard-filter")
     seen = rows.sparkSession.sparkContext.broadcast(bloom.build(filter_rows, twice=False))
 
@@ -134,11 +143,14 @@ def _survivors(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                         met.add(names[i])
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), _lists([sets[i] for i in keep])],
-                    names=["class", "n", "tokens"],
+                    [
+                        pa.array([names[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()),
+                        _lists([sets[i] for i in keep]), _lists([_bit_map(sets[i]) for i in keep]),
+                    ],
+                    names=["class", "n", "tokens", "bits"],
                 )
 
-    found = rows.select("text").mapInArrow(run, "class bigint, n bigint, tokens array<bigint>")
+    found = rows.select("text").mapInArrow(run, "class bigint, n bigint, tokens array<bigint>, bits array<bigint>")
     return found.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -207,6 +219,13 @@ def _may_link(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
 
 
+def _maps_near(percent: int) -> Column:
+    """Every place where the bit maps differ is a token of one set alone."""
+    differ = sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(MAP_BITS // 64))
+    both = F.col("a_n") + F.col("b_n")
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     a = sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens"))
@@ -250,7 +269,8 @@ def _components(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
         if labels is not None:
             rows = _through(rows, labels, "root")
         rows = stage(rows, "jaccard-rows")
-        member = F.struct(F.xxhash64("class", F.lit(round_)).alias("order"), "class", "n", "shared", "root")
+        losses = F.col("n") - F.col("shared") if round_ == 0 else F.lit(0).cast("long")
+        member = F.struct(losses.alias("losses"), F.xxhash64("class", F.lit(round_)).alias("order"), "class", "n", "shared", "root")
         lists = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(member).alias("centre"))
         lists = stage(lists.filter("low <> high").select("sig", "centre"), "jaccard-lists")
         a = rows.select("sig", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), F.col("root").alias("a_root"))
@@ -258,8 +278,10 @@ def _components(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
         if round_ < CENTRE_ROUNDS:
             pairs = a.select("*", *[F.col(f"centre.{c}").alias(f"b_{c}") for c in ("n", "shared", "root")], F.col("centre.class").alias("b"))
         else:
-            a = stage(a.drop("centre"), "jaccard-open")
-            pairs = a.join(a.select("sig", *[F.col(c).alias("b" + c[1:]) for c in a.columns if c != "sig"]), "sig").filter("a_root < b_root")
+            maps = sets.select(F.col("class").alias("a"), F.col("bits").alias("a_bits"))
+            a = stage(a.drop("centre").join(maps, "a"), "jaccard-open")
+            b = a.select("sig", *[F.col(c).alias("b" + c[1:]) for c in a.columns if c != "sig"])
+            pairs = a.join(b, "sig").filter("a_root < b_root").filter(_maps_near(percent))
         pairs = pairs.filter("a_root <> b_root").filter(_may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         edges = stage(_linked(stage(pairs.distinct(), "jaccard-pairs"), sets, percent), "jaccard-links")
         labels = _joined(labels, edges)

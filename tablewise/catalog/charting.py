@@ -20,7 +20,9 @@ from tablewise.sources.tables import read_table
 
 WHEN = "order_purchase_timestamp"
 YEAR = DashboardFilters(WHEN, dt.date(1998, 1, 1), dt.date(1998, 12, 31), "order_status", "Delivered")
-HEAT = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey")
+HEAT = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+)
 
 
 def _orders(spark, folder):
@@ -51,11 +53,11 @@ def chart_line_filtered(spark, folder):
 
 
 def chart_bar(spark, folder):
-    return plain(charts.bar(_sold(spark, folder), "product_id", "price"))
+    return plain(charts.bar(_sold(spark, folder), "product_id", "price", k=15))
 
 
 def chart_bar_count(spark, folder):
-    return plain(charts.bar(_orders(spark, folder), "customer_id"))
+    return plain(charts.bar(_orders(spark, folder), "customer_id", k=15))
 
 
 def chart_pie(spark, folder):
@@ -63,11 +65,11 @@ def chart_pie(spark, folder):
 
 
 def chart_pie_other(spark, folder):
-    return plain(charts.pie(read_table(spark, folder, "part"), "p_brand", with_other=True))
+    return plain(charts.pie(read_table(spark, folder, "part"), "p_brand", slices=6))
 
 
 def chart_treemap(spark, folder):
-    return plain(charts.treemap(_sold(spark, folder), "product_id", "price"))
+    return plain(charts.treemap(_sold(spark, folder), "product_id", "price", k=30))
 
 
 def chart_funnel(spark, folder):
@@ -130,8 +132,9 @@ def executive_summary(spark, folder):
     return insights.executive_summary(metrics, text)
 
 
-def _top(x: str, value: str, source: str, k: int) -> str:
-    return f"SELECT CAST({x} AS VARCHAR) AS x, {value} AS value FROM {source} GROUP BY 1 ORDER BY value DESC, x LIMIT {k}"
+def _top(x: str, value: str, source: str, k: int | None = None) -> str:
+    cut = f" LIMIT {k}" if k else ""
+    return f"SELECT CAST({x} AS VARCHAR) AS x, {value} AS value FROM {source} GROUP BY 1 ORDER BY value DESC, x{cut}"
 
 
 _PAY = "CAST(SUM(payment_value) AS DOUBLE)"
@@ -153,37 +156,37 @@ _HEAT_CELLS = "\nUNION ALL ".join(
 
 QUERIES = {
     "chart_line": (
-        chart_line, over_mart(f"SELECT {_MONTH} AS x, {_PAY} AS value FROM m_orders GROUP BY 1 ORDER BY 1 LIMIT 500"),
+        chart_line, over_mart(f"SELECT {_MONTH} AS x, {_PAY} AS value FROM m_orders GROUP BY 1 ORDER BY 1"),
     ),
     "chart_line_average": (
         chart_line_average,
         over_mart(
-            f"SELECT {_MONTH} AS x, ROUND({_PAY} / COUNT(*), 6) AS value FROM m_orders GROUP BY 1 ORDER BY 1 LIMIT 500"
+            f"SELECT {_MONTH} AS x, ROUND({_PAY} / COUNT(*), 6) AS value FROM m_orders GROUP BY 1 ORDER BY 1"
         ),
     ),
     "chart_line_grouped": (
         chart_line_grouped,
         over_mart(
-            f"SELECT {_MONTH} AS x, order_status AS grp, {_PAY} AS value FROM m_orders GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500"
+            f"SELECT {_MONTH} AS x, order_status AS grp, {_PAY} AS value FROM m_orders GROUP BY 1, 2 ORDER BY 1, 2"
         ),
     ),
     "chart_line_filtered": (
         chart_line_filtered,
         over_mart(
             f"SELECT {_MONTH} AS x, {_PAY} AS value FROM m_orders WHERE CAST({WHEN} AS DATE) >= DATE '1998-01-01'"
-            f" AND CAST({WHEN} AS DATE) <= DATE '1998-12-31' AND order_status = 'Delivered' GROUP BY 1 ORDER BY 1 LIMIT 500"
+            f" AND CAST({WHEN} AS DATE) <= DATE '1998-12-31' AND order_status = 'Delivered' GROUP BY 1 ORDER BY 1"
         ),
     ),
     "chart_bar": (chart_bar, over_mart(_top("i.product_id", "CAST(SUM(i.price) AS DOUBLE)", _SOLD, 15))),
     "chart_bar_count": (chart_bar_count, over_mart(_top("customer_id", _COUNT, "m_orders", 15))),
-    "chart_pie": (chart_pie, over_mart(_top("order_priority", _COUNT, "m_orders", 6))),
+    "chart_pie": (chart_pie, over_mart(_top("order_priority", _COUNT, "m_orders"))),
     "chart_pie_other": (
         chart_pie_other,
         f"WITH head AS ({_PARTS}) SELECT * FROM head UNION ALL SELECT 'Other', CAST((SELECT COUNT(*) FROM part)"
         " - SUM(value) AS DOUBLE) FROM head HAVING (SELECT COUNT(*) FROM part) > SUM(value)",
     ),
     "chart_treemap": (chart_treemap, over_mart(_top("i.product_id", "CAST(SUM(i.price) AS DOUBLE)", _SOLD, 30))),
-    "chart_funnel": (chart_funnel, over_mart(_top("order_status", _PAY, "m_orders", 10))),
+    "chart_funnel": (chart_funnel, over_mart(_top("order_status", _PAY, "m_orders"))),
     "chart_histogram": (
         chart_histogram,
         f"""WITH b AS (SELECT MIN(l_extendedprice) AS lo, (MAX(l_extendedprice) - MIN(l_extendedprice)) / 30 AS w FROM lineitem),
@@ -202,7 +205,7 @@ SELECT bin, lo + bin * w AS lower, lo + (bin + 1) * w AS upper, {big("n")} AS va
         chart_cross_table,
         over_mart(
             f"SELECT date_trunc('month', o.{WHEN}) AS x, CAST(SUM(i.price) AS DOUBLE) AS value"
-            " FROM m_orders o JOIN m_items i ON o.order_id = i.order_id GROUP BY 1 ORDER BY 1 LIMIT 30"
+            " FROM m_orders o JOIN m_items i ON o.order_id = i.order_id GROUP BY 1 ORDER BY 1"
         ),
     ),
     "chart_selection": (chart_selection, None),

@@ -238,7 +238,7 @@ QUERIES = {
             f"""SELECT kpi_name, kpi_value, kpi_unit, kpi_category, CAST(tier AS BIGINT) AS tier,
   CAST({_CONFIDENCE} AS DOUBLE) AS confidence, table_name FROM k WHERE kpi_value IS NOT NULL
 ORDER BY tier, CASE kpi_category WHEN 'sales' THEN 0 WHEN 'customer' THEN 1 WHEN 'inventory' THEN 2 ELSE 3 END,
-  kpi_name LIMIT 10""",
+  kpi_name""",
             f"""k AS (SELECT *, 'orders' AS table_name FROM ({_orders_sql("TRUE")})
   UNION ALL SELECT *, 'items' FROM ({_ITEMS_SQL}) WHERE kpi_name <> 'Total Orders'
   UNION ALL SELECT *, 'products' FROM ({_PRODUCTS_SQL}))""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewise.catalog.common import big, div, over_mart, plain, rnd
 from tablewise.plans import curated
 from tablewise.sources.mart import Mart
@@ -91,7 +93,7 @@ def revenue_by_state(spark, folder):
 
 
 def best_regions(spark, folder):
-    return revenue_by_state(spark, folder).orderBy("total_revenue", ascending=False).limit(10)
+    return revenue_by_state(spark, folder).orderBy(F.desc("total_revenue"), "state").limit(10)
 
 
 def delivery_performance(spark, folder):

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, plain
 from tablewise.catalog.dirt import COLUMNS, DIRTY_SQL, dirty_orders
-from tablewise.functions import rules
+from tablewise.functions import names, rules
+from tablewise.operators import charts, insights
 from tablewise.plans import report, run, sqlaccess
 from tablewise.session import configure, work_folder
 from tablewise.sources import archives, files
@@ -70,6 +72,58 @@ def table_names(spark, folder):
     return read_table(spark, folder, "pages").select("page_id", named.alias("table_name"))
 
 
+def exact_amounts(spark, folder):
+    """Sums of very small and very large amounts."""
+    odd = F.col("o_orderkey") % 2 == 1
+    rows = read_table(spark, folder, "orders").select(
+        F.when(odd, "small").otherwise("large").alias("size"), F.when(odd, 0.00001).otherwise(1e15).alias("amount")
+    )
+    return charts.top_groups(rows, "size", "amount")
+
+
+def multi_file_load(spark, folder):
+    """Files of one name in two folders: one table each, all rows kept."""
+    root = work_folder(spark, "load")
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    paths = [f"{root}/{year}/orders.csv" for year in ("2023", "2024")]
+    for path, rows in zip(paths, (orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'"))):
+        rows.write.csv(path, header=True)
+    tables, _, _ = files.read_tables(spark, paths, "a3f2c1d4-0000")
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("o_orderkey").cast("long")).alias("keys")).select(
+            F.lit(name).alias("table_name"), "rows", "keys"
+        )
+        for name, df in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+def archive_load(spark, folder):
+    """Members of one name in two archives, read as the tables that ``read_tables`` gives them."""
+    root = work_folder(spark, "archives")
+    nations = read_table(spark, folder, "nation").toPandas()
+    packed = []
+    for i, part in enumerate((nations[nations.n_regionkey < 2], nations[nations.n_regionkey >= 2])):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+            out.writestr("nation.csv", part.to_csv(index=False))
+        packed.append((f"batch-{i}.zip", bytearray(raw.getvalue())))
+    content = spark.createDataFrame(packed, "archive string, content binary")
+    rows = archives.unzip_rows(content.select(F.col("archive").alias("path"), "content"), "nation.csv")
+    header = list(nations.columns)
+    table = archives.member_table(rows, "nation.csv", header)
+    return table.select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+
+
+def file_table_names(spark, folder):
+    """The table a file named after each nation would become."""
+    rows = [
+        (r["n_nationkey"], names.table_name("a3f2c1d4-0000", f"{r['n_name']} - {r['n_nationkey']}.v2.csv"))
+        for r in read_table(spark, folder, "nation").select("n_nationkey", "n_name").collect()
+    ]
+    return spark.createDataFrame(rows, "n_nationkey long, table_name string")
+
+
 _EVENT_STATUS = """
 status_events AS (
   SELECT 'u' || user_id AS session_id, ts AS event_at, event_id AS event_no, event_type AS status,
@@ -125,6 +179,78 @@ def notify_once(spark, folder):
     return unseen(_notices(events, ~early), _notices(events, early))
 
 
+def _five(column="user_id"):
+    return F.concat(F.lit("s"), F.col(column) % 5).alias("session_id")
+
+
+def _notice_store(spark, folder):
+    """A store that holds a notice for every event of the second half of the month."""
+    store = MetadataStore(spark, work_folder(spark, "notices")).create()
+    late = read_table(spark, folder, "events").filter(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
+    level = F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("event_id") % 3 + 1).cast("int"))
+    store.append(
+        "notifications",
+        late.select(
+            _five(), F.concat(F.lit("business_alert_"), level).alias("event_type"),
+            F.concat(F.lit("Event "), "event_id").alias("title"), F.lit("seen").alias("message"),
+            F.col("ts").cast("timestamp").alias("created_at"),
+        ),
+    )
+    return store
+
+
+def session_names(spark, folder):
+    """Sessions after one of them has been given a name."""
+    store = MetadataStore(spark, work_folder(spark, "names")).create()
+    events = _status_events(spark, folder).withColumn("session_id", F.concat(F.lit("s"), F.substring("session_id", 2, 9).cast("long") % 5))
+    store.append("status_events", events)
+    store.rename("s3", "  Spring sales ")
+    return plain(store.sessions().select("session_id", "session_name", "status"))
+
+
+def notification_list(spark, folder):
+    """The notices of a session, newest first, before and after they are marked as read."""
+    store = _notice_store(spark, folder)
+    fresh = store.notifications("s2").select(F.lit("before").alias("at"), "title", "read")
+    fresh = spark.createDataFrame(fresh.collect(), fresh.schema)
+    store.mark_read("s2")
+    return fresh.unionByName(store.notifications("s2").select(F.lit("after").alias("at"), "title", "read"))
+
+
+def alert_history(spark, folder):
+    history = run.alert_history(_notice_store(spark, folder), "s1")
+    return history.select("title", "event_type", "severity")
+
+
+def _shown_store(spark, folder):
+    store = MetadataStore(spark, work_folder(spark, "shown")).create()
+    parts = read_table(spark, folder, "part")
+    kinds = F.element_at(F.array(*map(F.lit, ("line", "box", "pie", "scatter"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    store.append("chart_configs", parts.select(_five("p_partkey"), kinds.alias("chart_type"), F.col("p_name").alias("chart_title"), F.col("p_partkey").alias("chart_order")))
+    store.append(
+        "insights",
+        parts.select(
+            _five("p_partkey"), F.when(F.col("p_size") > 20, "chart_insight").otherwise("summary").alias("insight_type"),
+            F.col("p_partkey").alias("chart_order"), F.col("p_type").alias("insight_text"),
+            F.timestamp_seconds(F.col("p_partkey")).alias("generated_at"),
+        ),
+    )
+    return store
+
+
+def insight_history(spark, folder):
+    return plain(_shown_store(spark, folder).insight_history("s1").select("chart_order", "insight_text"))
+
+
+def public_dashboard(spark, folder):
+    """The charts of allowed types and the insights that a shared dashboard shows."""
+    store = _shown_store(spark, folder)
+    shown = insights.public_subset(store.read("kpi_results"), store.read("insights"), store.read("chart_configs"), "s1")
+    charts_ = shown["charts"].select(F.lit("chart").alias("kind"), F.col("chart_order").alias("place"), F.col("chart_title").alias("text"))
+    texts = shown["insights"].select(F.lit("insight").alias("kind"), F.col("chart_order").alias("place"), F.col("insight_text").alias("text"))
+    return plain(charts_.unionByName(texts))
+
+
 def requests(events):
     """Events read as a request log."""
     return events.select(
@@ -215,6 +341,54 @@ QUERIES = {
   '[\s.-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS n FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(n, '^_+|_+$', '', 'g'), '_+', '_', 'g') AS n FROM s)
 SELECT page_id, 'a3f2c1d4_' || CASE WHEN n = '' THEN 'table' ELSE n END AS table_name FROM t""",
+    ),
+    "exact_amounts": (
+        exact_amounts,
+        """SELECT CASE WHEN o_orderkey % 2 = 1 THEN 'small' ELSE 'large' END AS x,
+  CAST(SUM(CAST(CASE WHEN o_orderkey % 2 = 1 THEN 0.00001 ELSE 1e15 END AS DECIMAL(38,12))) AS DOUBLE) AS value
+FROM orders GROUP BY 1""",
+    ),
+    "multi_file_load": (
+        multi_file_load,
+        f"""SELECT CASE WHEN o_orderstatus = 'F' THEN 'a3f2c1d4_orders' ELSE 'a3f2c1d4_2024_orders' END AS table_name,
+  {big("COUNT(*)")} AS rows, {big("SUM(o_orderkey)")} AS keys FROM orders GROUP BY 1""",
+    ),
+    "archive_load": (
+        archive_load,
+        f"SELECT {big('n_nationkey')} AS n_nationkey, n_name, {big('n_regionkey')} AS n_regionkey FROM nation",
+    ),
+    "file_table_names": (
+        file_table_names,
+        f"""SELECT {big('n_nationkey')} AS n_nationkey, 'a3f2c1d4_' || regexp_replace(lower(n_name), '[ .-]+', '_', 'g')
+  || '_' || n_nationkey || '_v2' AS table_name FROM nation""",
+    ),
+    "session_names": (
+        session_names,
+        "WITH " + _EVENT_STATUS.strip() + """
+SELECT 's' || (CAST(substr(session_id, 2) AS BIGINT) % 5) AS session_id,
+  CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 5 = 3 THEN 'Spring sales' END AS session_name,
+  arg_max(status, (event_at, event_no)) AS status FROM status_events GROUP BY 1, 2""",
+    ),
+    "notification_list": (
+        notification_list,
+        """SELECT state AS "at", 'Event ' || event_id AS title, state = 'after' AS read
+FROM events, (VALUES ('before'), ('after')) AS a(state) WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 5 = 2""",
+    ),
+    "alert_history": (
+        alert_history,
+        """SELECT 'Event ' || event_id AS title, 'business_alert_' || level AS event_type, level AS severity
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS level FROM events) WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 5 = 1""",
+    ),
+    "insight_history": (
+        insight_history,
+        f"""SELECT {big('p_partkey')} AS chart_order, p_type AS insight_text FROM part
+WHERE p_partkey % 5 = 1 AND p_size > 20""",
+    ),
+    "public_dashboard": (
+        public_dashboard,
+        f"""WITH p AS (SELECT * FROM part WHERE p_partkey % 5 = 1)
+SELECT 'chart' AS kind, {big('p_partkey')} AS place, p_name AS text FROM p WHERE p_partkey % 4 IN (0, 2)
+UNION ALL SELECT 'insight', {big('p_partkey')}, p_type FROM p WHERE p_size > 20""",
     ),
     "session_latest_status": (
         session_latest_status, "WITH " + _EVENT_STATUS.strip() + "," + _LATEST + "\nSELECT * FROM latest",
@@ -227,7 +401,7 @@ f AS (SELECT session_id, COUNT(*) AS file_count, SUM(row_count) AS file_rows,
 SELECT l.session_id, 'Dataset ' || substr(l.session_id, 1, 8) AS name, l.status, l.total_files,
   {big("GREATEST(l.total_rows, COALESCE(f.file_rows, 0))")} AS total_rows, l.created_at,
   {big("COALESCE(f.file_count, 0)")} AS file_count, f.first_file
-FROM latest l LEFT JOIN f ON l.session_id = f.session_id ORDER BY l.created_at DESC, l.session_id LIMIT 50""",
+FROM latest l LEFT JOIN f ON l.session_id = f.session_id ORDER BY l.created_at DESC, l.session_id""",
     ),
     "notify_once": (
         notify_once,

@@ -134,13 +134,19 @@ def real(c: Column, t: T.DataType) -> Column:
     return c.cast("double")
 
 
+AMOUNT = "decimal(38,12)"
+
+
 def exact_amount(c: Column, t: T.DataType) -> Column:
-    """Money as a decimal: sums are exact and do not depend on the order of rows."""
+    """Money as a decimal: sums are exact and do not depend on the order of rows.
+
+    Doubles count as the decimal of their shortest text, to twelve places and below 1e26; larger
+    ones are an error, not a wrong sum."""
     if isinstance(t, T.DecimalType):
         return c
     if isinstance(t, T.IntegralType):
         return c.cast("decimal(20,0)")
-    return real(c, t).cast("decimal(18,4)")
+    return real(c, t).cast(AMOUNT)
 
 
 def rounded(c: Column, digits: int) -> Column:

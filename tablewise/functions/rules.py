@@ -119,14 +119,12 @@ SPAN_DATE_HINTS = ("purchase", "order", "created", "date", "timestamp", "start")
 CATEGORY_GEO_WORDS = ("city", "state", "zip", "code", "prefix", "geo", "region_code")
 STATUS_OWNERS = ("order", "delivery", "shipment")
 METRIC_CATEGORY_ORDER = ("sales", "customer", "inventory", "general")
-MAX_METRICS = 10
 DELIVERED = "delivered"
 
 # ---- fixed values: generated views ------------------------------------------------------------
 VIEW_DATE_HINTS = ("date", "created", "purchase", "timestamp")
 VIEW_VALUE_HINTS = ("revenue", "total", "amount", "price", "value")
 VIEW_ENTITY_HINTS = ("customer", "user", "client", "entity")
-VIEW_SUMMARY_COLUMNS = 10
 
 # ---- fixed values: charts ---------------------------------------------------------------------
 CHART_BLOCKED = (
@@ -152,16 +150,8 @@ CHART_HISTOGRAM_HINTS = ("price", "value", "amount", "revenue", "total")
 CHART_CROSS_VALUE_HINTS = ("price", "value", "amount", "revenue", "total", "payment")
 PIE_MAX_VALUES = 8
 TREEMAP_ABOVE = 11
-CHARTS_PER_TABLE = 8
-CHARTS_TOTAL = 25
 UNKNOWN_CARDINALITY = 999
 CHART_POINTS = 500
-TOP_BARS = 15
-TOP_SLICES = 6
-TOP_TREEMAP = 30
-TOP_FUNNEL = 10
-CROSS_POINTS = 30
-HEATMAP_COLUMNS = 6
 
 # ---- fixed values: monitoring -----------------------------------------------------------------
 MONITOR_DAYS = 30
@@ -184,8 +174,7 @@ DURATION_BUCKETS = ((0.5, "le_0_5"), (2.0, "le_2"))
 DURATION_OVER = "gt_2"
 
 # ---- fixed values: files ----------------------------------------------------------------------
-FILE_EXTENSIONS = (".csv", ".xlsx", ".xls", ".zip")
-FILE_MAX_BYTES = 25 * 1024 * 1024
+FILE_EXTENSIONS = (".csv", ".parquet", ".zip")
 
 # ---- fixed values: models ---------------------------------------------------------------------
 CHURN_FEATURES = (

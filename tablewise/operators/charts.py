@@ -47,44 +47,45 @@ def _y(df: DataFrame, column: str) -> Column:
 
 
 def line(df: DataFrame, x: str, y: str, group: str | None = None, aggregation: str = "sum") -> DataFrame:
-    """Monthly points in time order, at most 500."""
+    """Monthly points in time order, all of them."""
     moment = to_moment(_col(x)) if is_text(df.schema[x].dataType) else _col(x)
     amount = F.lit(1).alias("y") if aggregation == "count" else _y(df, y)
     rows = df.filter(_col(x).isNotNull() & _col(y).isNotNull()).select(
         month_of(moment).alias("x"), *([_col(group).cast("string").alias("grp")] if group else []), amount
     )
     keys = ["x", "grp"] if group else ["x"]
-    return rows.groupBy(*keys).agg(_aggregate(aggregation)).orderBy(*keys).limit(rules.CHART_POINTS)
+    return rows.groupBy(*keys).agg(_aggregate(aggregation)).orderBy(*keys)
 
 
 def top_groups(
-    df: DataFrame, x: str, y: str | None = None, aggregation: str = "sum", k: int = rules.TOP_BARS
+    df: DataFrame, x: str, y: str | None = None, aggregation: str = "sum", k: int | None = None
 ) -> DataFrame:
-    """The k largest groups: bars, slices, treemap tiles and funnel steps differ only in k."""
+    """All groups, largest first, or the k largest where a report asks for that many."""
     rows = df.filter(_col(x).isNotNull()).select(
         _col(x).cast("string").alias("x"), _y(df, y) if y else F.lit(1).alias("y")
     )
     grouped = rows.filter(F.col("y").isNotNull()).groupBy("x").agg(_aggregate(aggregation if y else "count"))
-    return grouped.orderBy(F.desc("value"), "x").limit(k)
+    ranked = grouped.orderBy(F.desc("value"), "x")
+    return ranked if k is None else ranked.limit(k)
 
 
-def bar(df, x, y=None, aggregation="sum"):
-    return top_groups(df, x, y, aggregation, rules.TOP_BARS)
+def bar(df, x, y=None, aggregation="sum", k=None):
+    return top_groups(df, x, y, aggregation, k)
 
 
-def treemap(df, x, y=None):
-    return top_groups(df, x, y, "sum", rules.TOP_TREEMAP)
+def treemap(df, x, y=None, k=None):
+    return top_groups(df, x, y, "sum", k)
 
 
-def funnel(df, x, y=None):
-    return top_groups(df, x, y, "sum", rules.TOP_FUNNEL)
+def funnel(df, x, y=None, k=None):
+    return top_groups(df, x, y, "sum", k)
 
 
-def pie(df: DataFrame, x: str, with_other: bool = False) -> DataFrame:
-    """The six largest values; ``with_other`` shows five and the sum of the rest."""
-    if not with_other:
-        return top_groups(df, x, k=rules.TOP_SLICES)
-    head = top_groups(df, x, k=rules.TOP_SLICES - 1)
+def pie(df: DataFrame, x: str, slices: int | None = None) -> DataFrame:
+    """All values; with ``slices``, one less than so many and the sum of the rest as ``Other``."""
+    if slices is None:
+        return top_groups(df, x)
+    head = top_groups(df, x, k=slices - 1)
     counts = df.filter(_col(x).isNotNull()).agg(F.count("*").cast("double").alias("n"))
     rest = head.agg((counts.scalar() - F.coalesce(F.sum("value"), F.lit(0.0))).alias("value"))
     return head.unionByName(rest.filter("value > 0").select(F.lit("Other").alias("x"), "value"))
@@ -134,7 +135,7 @@ def box(df: DataFrame, x: str, limit: int = SMALL) -> DataFrame:
 def heatmap(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Pearson correlation of every pair, pairs with a missing side left out, in one aggregate
     over all rows. Columns without any number are dropped."""
-    names = list(columns)[: rules.HEATMAP_COLUMNS]
+    names = list(columns)
     numbers = {c: real(_col(c), df.schema[c].dataType) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), numbers[a].alias("u"), numbers[b].alias("v")) for a, b in pairs]
@@ -151,7 +152,7 @@ def heatmap(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame
 def cross_table_line(
     dated: DataFrame, paid: DataFrame, dated_key: str, paid_key: str, date_column: str, value_column: str
 ) -> DataFrame:
-    """Monthly sums of a value in one table over the dates of a related one, first 30 months.
+    """Monthly sums of a value in one table over the dates of a related one.
 
     The value side is summed per key before the join, which collapses hot keys early."""
     sums = (
@@ -164,7 +165,7 @@ def cross_table_line(
         _col(dated_key).alias("k"), month_of(_col(date_column)).alias("x")
     )
     joined = dates.join(sums, "k", "inner").groupBy("x").agg(F.sum("y").cast("double").alias("value"))
-    return joined.orderBy("x").limit(rules.CROSS_POINTS)
+    return joined.orderBy("x")
 
 
 BUILDERS = {

@@ -64,7 +64,7 @@ def stratified_split(df: DataFrame, label: str, share: float, *identity: str, se
     """Exact share of every class, repeatable: rows are split at the class's quantile of a
     hash, so no class is ranked in one task."""
     drawn = df.withColumn("__draw", _draw(*identity, seed=seed))
-    classes = [r[0] for r in drawn.select(label).distinct().orderBy(label).limit(3).collect()]
+    classes = [r[0] for r in drawn.select(label).distinct().orderBy(label).collect()]
     cuts = exact_quantiles(
         drawn, {str(c): F.when(F.col(label) == c, F.col("__draw")) for c in classes}, (share,)
     )
@@ -101,10 +101,11 @@ def train_churn(
 
 def score_churn(df: DataFrame, trained: ChurnModel) -> DataFrame:
     _check(df, rules.CHURN_FEATURES)
-    filled, known = _filled(df, trained.features)
+    kept = {c: f"__{c}" for c in trained.features if c in df.columns}  # the inputs come back as they are
+    filled, known = _filled(df.withColumns({new: F.col(c) for c, new in kept.items()}), trained.features)
     filled = filled.withColumns({c: F.lit(0.0) for c in trained.features if c not in known})
     scored = trained.model.transform(filled)
     probability = vector_to_array("probability")[1]
     return scored.withColumn("churn_probability", probability).select(
-        *df.columns, "churn_probability", (F.col("churn_probability") >= 0.5).cast("int").alias("churn_prediction")
+        *(F.col(kept.get(c, c)).alias(c) for c in df.columns), "churn_probability", (F.col("churn_probability") >= 0.5).cast("int").alias("churn_prediction")
     )

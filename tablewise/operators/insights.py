@@ -10,32 +10,30 @@ from tablewise.operators import charts
 from tablewise.operators.charts import ChartSpec
 
 SEGMENT_CHARTS = ("bar", "pie", "treemap", "funnel")
-SAMPLE_LINE, SAMPLE_GROUPS, SAMPLE_VALUES, SAMPLE_FUNNEL = 6, 8, 100, 10
-INSIGHT_ROWS = 30
 # fixed values: chart types a shared dashboard may show
 PUBLIC_CHARTS = ("line", "bar", "pie", "treemap", "heatmap", "funnel")
 
 
 def chart_sample(spec: ChartSpec, df: DataFrame) -> DataFrame | None:
-    """The few rows an insight is written from; None for charts without a prose sample."""
+    """The aggregate an insight is written from, over all points, groups or values; None for charts
+    without a sentence."""
     kind, agg = spec.chart_type, spec.aggregation
     if spec.y_column and agg in ("sum", "avg", "count") and kind != "heatmap":
         if kind == "line":
-            points = charts.line(df, spec.x_column, spec.y_column, aggregation=agg)
-            return points.orderBy(F.desc("x")).limit(SAMPLE_LINE)
-        k = SAMPLE_FUNNEL if kind == "funnel" else SAMPLE_GROUPS
-        return charts.top_groups(df, spec.x_column, spec.y_column, agg, k)
+            return charts.line(df, spec.x_column, spec.y_column, aggregation=agg)
+        return charts.top_groups(df, spec.x_column, spec.y_column, agg)
     if kind in ("pie", "funnel"):
-        return charts.top_groups(df, spec.x_column, k=SAMPLE_FUNNEL if kind == "funnel" else SAMPLE_GROUPS)
+        return charts.top_groups(df, spec.x_column)
     if kind in ("histogram", "box"):
-        sample = charts.sample_rows(df, [spec.x_column], SAMPLE_VALUES)
-        return sample.select(F.col(f"`{spec.x_column}`").alias("value"))
+        value = F.col(f"`{spec.x_column}`")
+        return df.filter(value.isNotNull()).select(value.alias("value"))
     return None
 
 
-def chart_rows(data: DataFrame, k: int = INSIGHT_ROWS) -> DataFrame:
-    """At most 30 rows of chart data (a correlation matrix is already one row per cell)."""
-    return data.limit(k)
+def chart_rows(data: DataFrame, k: int | None = None) -> DataFrame:
+    """Chart data in the order of its columns, or the first k rows of it."""
+    ordered = data.orderBy(*data.columns)
+    return ordered if k is None else ordered.limit(k)
 
 
 def fallback_insight(data: DataFrame, title: str, chart_type: str) -> DataFrame:
@@ -94,19 +92,22 @@ def executive_summary(metrics: DataFrame, insights: DataFrame) -> DataFrame:
 
 
 def public_subset(
-    metrics: DataFrame, insights: DataFrame, chart_configs: DataFrame, session_id: str
+    metrics: DataFrame, insights: DataFrame, chart_configs: DataFrame, session_id: str,
+    newest: int | None = None, charts: int | None = None,
 ) -> dict[str, DataFrame]:
-    """What a shared dashboard shows: the metrics, the five newest insights and the allowed ones
-    of the first twelve charts."""
+    """What a shared dashboard shows: the metrics, the insights from the newest on and the charts of the
+    allowed types, each cut only where a number is given."""
+    def first(df: DataFrame, k: int | None) -> DataFrame:
+        return df if k is None else df.limit(k)
+
     mine: Column = F.col("session_id") == session_id
     return {
         "kpis": metrics.filter(mine).orderBy("kpi_category", "kpi_name"),
-        "insights": insights.filter(mine & (F.col("insight_type") == "chart_insight"))
-        .orderBy(F.desc("generated_at"))
-        .limit(5),
-        "charts": chart_configs.filter(mine)
-        .orderBy("chart_order")
-        .limit(12)
-        .filter(F.col("chart_type").isin(*PUBLIC_CHARTS)),
+        "insights": first(
+            insights.filter(mine & (F.col("insight_type") == "chart_insight")).orderBy(F.desc("generated_at")), newest
+        ),
+        "charts": first(
+            chart_configs.filter(mine & F.col("chart_type").isin(*PUBLIC_CHARTS)).orderBy("chart_order"), charts
+        ),
     }
 

@@ -271,20 +271,20 @@ DISPLAY_FORMATS = {
 }
 
 
-def top_metrics(rows: DataFrame, table_order: Sequence[str], keep: int = rules.MAX_METRICS) -> DataFrame:
-    """One row per metric name (lowest tier, then first table), the ten foremost in order.
+def top_metrics(rows: DataFrame, table_order: Sequence[str], keep: int | None = None) -> DataFrame:
+    """One row per metric name (lowest tier, then first table) in order, or the ``keep`` foremost.
 
     The windows run over metric rows, a handful per table."""
     place = F.array_position(F.array(*(F.lit(t) for t in table_order)), F.col("table_name"))
     per_name = Window.partitionBy("slice", "kpi_name").orderBy("tier", place)
     per_slice = Window.partitionBy("slice").orderBy("tier", _category_rank(), "kpi_name")
-    return (
+    ranked = (
         rows.withColumn("copy", F.row_number().over(per_name))
         .filter("copy = 1")
         .withColumn("rank", F.row_number().over(per_slice))
-        .filter(F.col("rank") <= keep)
         .drop("copy")
     )
+    return ranked if keep is None else ranked.filter(F.col("rank") <= keep)
 
 
 def calculate_metrics(

@@ -42,6 +42,7 @@ TEXT_FACTS = {
     "whole_texts": "bigint", "moments": "bigint", "outside_all": "bigint",
 } | {f"outside_{i}": "bigint" for i in range(len(rules.BOOLEAN_SETS))}
 LONG_TEXT = 200
+NUMBER_LIKE = r"^[\s$€£,.0-9eE+-]*$"
 HEAD_ROWS = 200
 
 
@@ -91,11 +92,13 @@ def stored_as(t: T.DataType) -> str:
 
 def comparable_text(df: DataFrame, name: str) -> Column:
     """Text that is equal exactly where the values are; a long text is represented by the
-    SHA-256 of the whole of it, so shuffles stay narrow."""
+    SHA-256 of the whole of it, so shuffles stay narrow. Padding does not make a text long, and what
+    may be a number stays as it is."""
     text = as_text(df, name)
     if stored_as(df.schema[name].dataType) not in ("text", "other"):
         return text
-    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    long = (F.length(F.btrim(text, F.lit(" \t\n\r\f\v"))) > LONG_TEXT) & ~text.rlike(NUMBER_LIKE)
+    return F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
 def group_key(df: DataFrame, name: str) -> Column:
@@ -373,15 +376,23 @@ def nested_schema(profiles: DataFrame, quality: DataFrame | None = None) -> Data
     return nested.join(quality.select("table_name", report.alias("quality")), "table_name", "left")
 
 
+def filter_values(df: DataFrame, table_name: str, profile: Sequence[ColumnProfile]) -> DataFrame:
+    """(table, column, value) for every value of every category column, however many there are."""
+    names = [p.column_name for p in profile if p.detected_type == "category"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "`table` string, `column` string, value string")
+    texts = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in names))
+    found = value_counts(texts).filter("value is not null")
+    return found.select(F.lit(table_name).alias("table"), F.col("column_name").alias("column"), "value")
+
+
 def filter_fields(df: DataFrame, table_name: str, profile: Sequence[ColumnProfile]) -> DataFrame:
     """Fields a dashboard can filter on: the date range of every datetime column and the
-    sorted values of every small category, in one aggregate pass."""
+    sorted values of every small category, in one aggregate pass. A category of more values has null
+    for its values; ``filter_values`` lists them."""
     dates = [p.column_name for p in profile if p.detected_type == "datetime"]
-    small = [
-        p.column_name
-        for p in profile
-        if p.detected_type == "category" and p.unique_count <= rules.CATEGORY_MAX_UNIQUE
-    ]
+    categories = [p for p in profile if p.detected_type == "category"]
+    small = [p.column_name for p in categories if p.unique_count <= rules.CATEGORY_MAX_UNIQUE]
     entries, measures = [], []
     empty = F.array().cast("array<string>")
 
@@ -404,9 +415,12 @@ def filter_fields(df: DataFrame, table_name: str, profile: Sequence[ColumnProfil
         # at most 50 distinct values, known from the profile
         measures.append(F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"vs{i}"))
         entries.append(entry(c, "category", nothing, nothing, F.col(f"vs{i}")))
+    for p in categories:
+        if p.column_name not in small:
+            entries.append(entry(p.column_name, "category", nothing, nothing, F.lit(None).cast("array<string>")))
     if not entries:
         schema = "`table` string, `column` string, type string, min string, max string, values array<string>"
         return df.sparkSession.createDataFrame([], schema)
-    found = df.agg(*measures).select(F.inline(F.array(*entries)))
+    found = df.agg(*(measures or [F.count(F.lit(1))])).select(F.inline(F.array(*entries)))
     usable = (F.col("type") == "category") | F.col("min").isNotNull()
     return found.filter(usable).select(F.lit(table_name).alias("table"), "*")

@@ -33,9 +33,8 @@ def _mean_price() -> Column:
 
 
 def share_of_total(df: DataFrame, value: str) -> Column:
-    """100 · value / Σ value, the total read as a scalar subquery instead of a window over all
-    rows in one task."""
-    total = df.agg(F.sum(value).alias("total")).scalar()
+    """100 · value / Σ value; ``df`` holds one row per group, and only these are summed."""
+    total = F.sum(value).over(Window.partitionBy(F.lit(1)))
     return rounded(ratio(F.col(value).cast("double") * 100, total), 2)
 
 

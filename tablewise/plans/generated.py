@@ -61,10 +61,8 @@ def entity_summary(df: DataFrame, id_column: str, value_column: str) -> DataFram
 
 
 def table_summary(df: DataFrame) -> DataFrame:
-    first = df.columns[: rules.VIEW_SUMMARY_COLUMNS]
-    return df.agg(
-        F.count("*").alias("total_rows"), *(F.count(F.col(f"`{c}`")).alias(f"{c}_count") for c in first)
-    )
+    counts = (F.count(F.col(f"`{c}`")).alias(f"{c}_count") for c in df.columns)
+    return df.agg(F.count("*").alias("total_rows"), *counts)
 
 
 def generated_views(

@@ -11,7 +11,6 @@ from tablewise.operators.filters import DashboardFilters, apply_filters
 from tablewise.operators.charts import ChartSpec, chart_data
 from tablewise.sources.metadata import MetadataStore
 
-CHART_ROWS = 12
 
 
 def scope_text(sessions: DataFrame, filters: DashboardFilters | None) -> DataFrame:
@@ -35,12 +34,13 @@ def kpi_table(metrics: DataFrame) -> DataFrame:
     )
 
 
-def chart_table(data: DataFrame, k: int = CHART_ROWS) -> DataFrame:
-    """The first rows of a chart as text."""
+def chart_table(data: DataFrame, k: int | None = None) -> DataFrame:
+    """A chart as text in the order of its labels, or its first k rows."""
     shown = [grouped_number(F.col("value")).alias("value")]
     if "x" in data.columns:
         shown.insert(0, F.col("x").cast("string").alias("x"))
-    return data.limit(k).select(*shown)
+    ordered = data.orderBy(*data.columns)
+    return (ordered if k is None else ordered.limit(k)).select(*shown)
 
 
 def report_tables(

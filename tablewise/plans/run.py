@@ -75,7 +75,7 @@ def run_analytics(run: SessionRun, store: MetadataStore) -> tuple[int, int]:
     spark = store.spark
     store.replace("kpi_results", run.metrics, run.session_id)
     store.replace("chart_configs", chart_choice.charts_to_frame(spark, run.session_id, run.charts), run.session_id)
-    return run.metrics.count(), len(run.charts)
+    return store.read("kpi_results", run.session_id).count(), len(run.charts)
 
 
 def write_insights(run: SessionRun, store: MetadataStore) -> None:
@@ -104,7 +104,7 @@ def evaluate_alerts(run: SessionRun, store: MetadataStore, filters=None) -> Data
     return alerts
 
 
-def alert_history(store: MetadataStore, session_id: str, k: int = 10) -> DataFrame:
+def alert_history(store: MetadataStore, session_id: str, k: int | None = None) -> DataFrame:
     recent = store.notifications(session_id, k)
     return recent.withColumn("severity", compare.severity_of(F.col("event_type")))
 

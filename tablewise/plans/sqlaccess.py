@@ -7,13 +7,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# fixed values: words a read-only query must not contain, and the rows shown
+# fixed values: words a read-only query must not contain
 WRITE_WORDS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "EXEC", "CALL",
 )
 COMMENT_MARKS = ("--", "/*", "*/")
-SHOWN_ROWS = 50
-SCHEMA_OBJECTS = 12
 
 
 def read_only(sql: str | None) -> str:
@@ -30,12 +28,12 @@ def read_only(sql: str | None) -> str:
     return text
 
 
-def run_query(spark: SparkSession, sql: str, rows: int | None = SHOWN_ROWS) -> DataFrame:
+def run_query(spark: SparkSession, sql: str, rows: int | None = None) -> DataFrame:
     result = spark.sql(read_only(sql))
     return result if rows is None else result.limit(rows)
 
 
-def schema_context(spark: SparkSession, session_prefix: str, objects: int = SCHEMA_OBJECTS) -> DataFrame:
+def schema_context(spark: SparkSession, session_prefix: str, objects: int | None = None) -> DataFrame:
     """Names and types of the session's tables and views, tables first."""
     listed = sorted(t.name for t in spark.catalog.listTables())
     own = [n for n in listed if n.startswith(session_prefix)]

@@ -1,4 +1,4 @@
-"""CSV members of ZIP archives, one task per archive."""
+"""CSV members of ZIP archives: every member of every archive is a table, opened by its own task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import csv
 import io
 import posixpath
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,13 +33,15 @@ def _decoded(raw: bytes) -> str:
         return raw.decode("latin-1")
 
 
-def _member_rows(archive: str, content: bytes) -> Iterator[tuple]:
+def _member_rows(archive: str, content: bytes, member: str | None, headers: bool) -> Iterator[tuple]:
     try:
         opened = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
         raise ValueError(f"'{archive}' is not a valid ZIP file.") from None
     with opened:
         for name in filter(wanted_member, opened.namelist()):
+            if member not in (None, name):
+                continue
             try:
                 text = _decoded(opened.read(name))
             except (zipfile.BadZipFile, RuntimeError, OSError) as problem:
@@ -47,17 +50,20 @@ def _member_rows(archive: str, content: bytes) -> Iterator[tuple]:
             filled = (row for row in csv.reader(io.StringIO(text, newline="")) if row)
             for number, fields in enumerate(filled):
                 yield archive, name, number, fields, None
+                if headers:
+                    break
 
 
-def unzip_rows(archives: DataFrame) -> DataFrame:
-    """(archive, member, row_no, fields, problem) from a frame of (path, content)."""
+def unzip_rows(archives: DataFrame, member: str | None = None, headers: bool = False) -> DataFrame:
+    """(archive, member, row_no, fields, problem) from a frame of (path, content), of one member or
+    all, with ``headers`` the first row of each only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "member", "row_no", "fields", "problem"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows = []
-                for row in _member_rows(path, content):
+                for row in _member_rows(path, content, member, headers):
                     rows.append(row)
                     if len(rows) == ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=columns)
@@ -79,8 +85,24 @@ def member_table(rows: DataFrame, member: str, header: list[str]) -> DataFrame:
     return data.select(*columns)
 
 
+def members(spark: SparkSession, path: str) -> list:
+    """archive, member, fields (the header), problem of every member; metadata for the driver."""
+    rows = unzip_rows(spark.read.format("binaryFile").load(path), headers=True)
+    return rows.select("archive", "member", "fields", "problem").orderBy("archive", "member").collect()
+
+
+def one_table(spark: SparkSession, archive: str, member: str, header: list[str]) -> DataFrame:
+    rows = unzip_rows(spark.read.format("binaryFile").load(archive), member)
+    return member_table(rows, member, header)
+
+
 def archive_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """{member: table}; only the header rows are looked at on the driver."""
-    rows = unzip_rows(spark.read.format("binaryFile").load(path))
-    headers = rows.filter("row_no = 0").select("member", "fields").orderBy("archive", "member").collect()
-    return {r["member"]: member_table(rows, r["member"], list(r["fields"])) for r in headers}
+    """{member: table} of one archive or a pattern; members of one name in several archives are
+    told apart by ``archive!member``. Only header rows are looked at on the driver."""
+    found = [r for r in members(spark, path) if r["problem"] is None]
+    times = Counter(r["member"] for r in found)
+    return {
+        r["member"] if times[r["member"]] == 1 else f"{posixpath.basename(r['archive'])}!{r['member']}":
+            one_table(spark, r["archive"], r["member"], list(r["fields"]))
+        for r in found
+    }

@@ -97,12 +97,23 @@ def read_tables(
     """Tables by name, facts per file (name, size, encoding) and warnings for skipped files.
 
     CSV files are read with the encoding probed for them, Parquet keeps its types, ZIP archives
-    contribute one table per CSV member."""
-    from tablewise.sources.archives import archive_tables
+    contribute one table per CSV member. Files and members of the same name are all kept: the later ones
+    are named after their folder or archive too, or numbered."""
+    from tablewise.sources.archives import members, one_table
 
     tables: dict[str, DataFrame] = {}
     facts: dict[str, dict] = {}
     warnings: list[str] = []
+
+    def free_name(file_name: str, parent: str) -> str:
+        name = names.table_name(session_id, file_name)
+        if name in tables:
+            name = names.table_name(session_id, f"{parent}_{file_name}")
+        number, base = 2, name
+        while name in tables:
+            name, number = f"{base}_{number}", number + 1
+        return name
+
     csvs = [p for p in paths if p.lower().endswith(".csv")]
     encodings, sizes = {}, {}
     if csvs:
@@ -111,7 +122,7 @@ def read_tables(
     for path in paths:
         file_name = posixpath.basename(path.rstrip("/"))
         extension = posixpath.splitext(file_name)[1].lower()
-        name = names.table_name(session_id, file_name)
+        name = free_name(file_name, posixpath.basename(posixpath.dirname(path.rstrip("/"))))
         if extension == ".csv":
             encoding = encodings.get(_plain_path(path), "UTF-8")
             tables[name] = read_csv(spark, path, encoding)
@@ -120,10 +131,14 @@ def read_tables(
             tables[name] = spark.read.parquet(path)
             facts[name] = {"file": file_name, "size": None, "encoding": "binary"}
         elif extension == ".zip":
-            for member, df in archive_tables(spark, path).items():
-                member_name = names.table_name(session_id, posixpath.basename(member))
-                tables[member_name] = df
-                facts[member_name] = {"file": posixpath.basename(member), "size": None, "encoding": "zip"}
+            for r in members(spark, path):
+                base = posixpath.basename(r["member"])
+                if r["problem"] is not None:
+                    warnings.append(f"Skipping '{base}' in '{file_name}': {r['problem']}")
+                    continue
+                member_name = free_name(base, posixpath.splitext(posixpath.basename(r["archive"]))[0])
+                tables[member_name] = one_table(spark, r["archive"], r["member"], list(r["fields"]))
+                facts[member_name] = {"file": base, "size": None, "encoding": "zip"}
         else:
             warnings.append(f"Skipping unsupported file: '{file_name}'")
     if not tables:

@@ -94,13 +94,11 @@ class MetadataStore:
         self._shaped(table, df).write.mode("append").partitionBy("session_id").parquet(self.path(table))
 
     def replace(self, table: str, df: DataFrame, session_id: str) -> None:
-        """Replace one session's rows. An empty snapshot leaves a row of nulls in the partition,
-        which :meth:`read` skips."""
+        """Replace one session's rows in one pass over them. A row of nulls, which :meth:`read` skips,
+        keeps the partition of an empty snapshot."""
         shaped = self._shaped(table, df.withColumn("session_id", F.lit(session_id)))
-        if shaped.isEmpty():
-            shaped = self.spark.createDataFrame(
-                [(session_id, *([None] * (len(shaped.columns) - 1)))], shaped.schema
-            )
+        nulls = (None,) * (len(shaped.columns) - 1)
+        shaped = shaped.unionAll(self.spark.createDataFrame([(session_id, *nulls)], T.StructType.fromDDL(SCHEMAS[table])))
         writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("session_id").parquet(self.path(table))
 
@@ -135,7 +133,7 @@ class MetadataStore:
     def status(self, session_id: str) -> DataFrame:
         return latest_sessions(self.read("status_events", session_id))
 
-    def session_list(self, k: int = 50) -> DataFrame:
+    def session_list(self, k: int | None = None) -> DataFrame:
         return session_list(self.sessions(), self.read("uploaded_files"), k)
 
     # ---- notifications ----
@@ -152,14 +150,14 @@ class MetadataStore:
             "notification_reads", self.spark.createDataFrame([(session_id, now())], SCHEMAS["notification_reads"])
         )
 
-    def notifications(self, session_id: str, k: int = 30) -> DataFrame:
+    def notifications(self, session_id: str, k: int | None = None) -> DataFrame:
         read_until = self.read("notification_reads", session_id).agg(F.max("read_at").alias("t")).scalar()
-        return (
+        listed = (
             self.read("notifications", session_id)
             .withColumn("read", F.coalesce(F.col("created_at") <= read_until, F.lit(False)))
             .orderBy(F.desc("created_at"), F.desc("title"))
-            .limit(k)
         )
+        return listed if k is None else listed.limit(k)
 
     def insight_history(self, session_id: str) -> DataFrame:
         mine = self.read("insights", session_id).filter("insight_type = 'chart_insight'")
@@ -191,7 +189,7 @@ def latest_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def session_list(sessions: DataFrame, files: DataFrame, k: int = 50) -> DataFrame:
+def session_list(sessions: DataFrame, files: DataFrame, k: int | None = None) -> DataFrame:
     """The newest sessions with file counts and a default name."""
     per_session = files.groupBy("session_id").agg(
         F.count("*").alias("file_count"),
@@ -199,7 +197,7 @@ def session_list(sessions: DataFrame, files: DataFrame, k: int = 50) -> DataFram
         F.min_by("original_filename", F.struct("uploaded_at", "original_filename")).alias("first_file"),
     )
     short = F.concat(F.lit("Dataset "), F.substring("session_id", 1, 8))
-    return (
+    listed = (
         sessions.join(per_session, "session_id", "left")
         .select(
             "session_id",
@@ -209,7 +207,7 @@ def session_list(sessions: DataFrame, files: DataFrame, k: int = 50) -> DataFram
             "created_at", F.coalesce("file_count", F.lit(0)).alias("file_count"), "first_file",
         )
         .orderBy(F.desc("created_at"), "session_id")
-        .limit(k)
     )
+    return listed if k is None else listed.limit(k)
 
 

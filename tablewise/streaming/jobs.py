@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tablewise.functions.columns import duration_bucket, templated_path
+from tablewise.functions.columns import AMOUNT, duration_bucket, templated_path
 from tablewise.operators.kpi import Types
 from tablewise.sources.metadata import unseen
 
@@ -90,7 +90,7 @@ def metric_windows(
 ) -> DataFrame:
     """Count, sum, smallest and largest value per tumbling window (and key); partial aggregates
     collapse hot windows before the shuffle."""
-    amount = F.col(value).cast("decimal(18,4)")
+    amount = F.col(value).cast(AMOUNT)
     return (
         events.groupBy(F.window(time, length).alias("w"), *keys)
         .agg(

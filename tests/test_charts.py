@@ -63,12 +63,11 @@ def sales(spark):
     return spark.createDataFrame(rows, "g string, v double, d string, w double")
 
 
-def test_limits(sales):
-    assert charts.bar(sales, "g", "v").count() == 15
-    assert charts.pie(sales, "g").count() == 6
-    assert charts.funnel(sales, "g").count() == 10
-    assert charts.treemap(sales, "g").count() == 20
-    other = charts.pie(sales, "g", with_other=True)
+def test_all_groups_unless_a_number_is_given(sales):
+    for chart in (charts.bar, charts.pie, charts.funnel, charts.treemap):
+        assert chart(sales, "g").count() == 20
+    assert charts.bar(sales, "g", "v", k=15).count() == 15
+    other = charts.pie(sales, "g", slices=6)
     assert other.count() == 6 and other.agg(F.sum("value")).first()[0] == 400
 
 
@@ -78,6 +77,23 @@ def test_line_by_month(sales):
     assert [r["x"] for r in rows] == sorted(r["x"] for r in rows)
 
 
+def test_long_series_are_whole(spark):
+    rows = spark.range(8000).selectExpr(
+        "concat('g', id % 10) g", "make_date(2000 + cast(id / 10 / 12 as int) % 66, 1 + cast(id / 10 as int) % 12, 1) d", "1.0D v"
+    )
+    data = charts.line(rows, "d", "v", "g")
+    assert data.count() == rows.selectExpr("date_trunc('month', d)", "g").distinct().count() > 500
+    keyed = rows.selectExpr("monotonically_increasing_id() k", "d", "v")
+    assert charts.cross_table_line(keyed, keyed, "k", "k", "d", "v").agg(F.sum("value")).first()[0] == 8000
+
+
+def test_share_is_of_all_groups(spark):
+    groups = spark.range(1000).selectExpr("concat('g', id % 100) g", "1.0D v")
+    spec = ChartSpec("bar", "V by G", "t", "g", "v")
+    text = insights.fallback_insight(insights.chart_sample(spec, groups), "V by G", "bar").first()["insight_text"]
+    assert "representing 1.0% of the total" in text and "compares 100 segments" in text
+
+
 def test_histogram_covers_all_rows(sales, spark):
     rows = charts.histogram(sales, "v", bins=4).collect()
     assert sum(r["value"] for r in rows) == sales.filter("v IS NOT NULL").count()
@@ -128,8 +144,10 @@ def test_executive_summary(spark):
 
 
 def test_samples(sales):
-    assert insights.chart_sample(ChartSpec("line", "t", "s", "d", "v"), sales).count() == 6
-    assert insights.chart_sample(ChartSpec("bar", "t", "s", "g", "v"), sales).count() == 8
-    assert insights.chart_sample(ChartSpec("pie", "t", "s", "g", aggregation="count"), sales).count() == 8
-    assert insights.chart_sample(ChartSpec("histogram", "t", "s", "v", aggregation="count"), sales).count() == 100
+    """What an insight is written from covers all months, groups and values."""
+    values = sales.filter("v IS NOT NULL").count()
+    assert insights.chart_sample(ChartSpec("line", "t", "s", "d", "v"), sales).count() == 12
+    assert insights.chart_sample(ChartSpec("bar", "t", "s", "g", "v"), sales).count() == 20
+    assert insights.chart_sample(ChartSpec("pie", "t", "s", "g", aggregation="count"), sales).count() == 20
+    assert insights.chart_sample(ChartSpec("histogram", "t", "s", "v", aggregation="count"), sales).count() == values
     assert insights.chart_sample(ChartSpec("heatmap", "t", "s", "v,w", aggregation="correlation"), sales) is None

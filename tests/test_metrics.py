@@ -63,8 +63,8 @@ def test_first_table_wins_and_ten_are_kept(spark):
         "created": "datetime", "product_category": "category", "order_status": "category",
     }
     frame = kpi.calculate_metrics({"a": wide, "b": wide.limit(1)}, {"a": types, "b": types}).collect()
-    assert len(frame) == 10 and {r["table_name"] for r in frame} == {"a"}
-    assert "Max Transaction" in {r["kpi_name"] for r in frame}
+    assert len(frame) == 11 and {r["table_name"] for r in frame} == {"a"}
+    assert {"Max Transaction", "Data Time Span"} <= {r["kpi_name"] for r in frame}
     assert all(0.5 <= r["confidence"] <= 0.99 for r in frame)
     assert [r["tier"] for r in frame] == sorted(r["tier"] for r in frame)
 

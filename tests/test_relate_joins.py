@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from tablewise.operators import joins, relate
 from tablewise.operators.profile import profile_table
 from tablewise.plans import generated
@@ -110,3 +112,12 @@ def test_generated_views_are_named_per_table(spark, shop):
 def test_shares_sum_to_a_hundred(shop):
     rows = generated.by_category(shop["s_orders"], "customer_id", "revenue").collect()
     assert abs(sum(float(r["value_share_pct"]) for r in rows) - 100) < 0.2
+
+
+def test_hot_key_fills_all_tasks(spark):
+    """95 % of the fact rows have one key, whose linked rows repeat them."""
+    fact = spark.range(20_000).selectExpr("id", "if(id % 20 = 0, id, 7) k")
+    many = spark.range(1_000).selectExpr("if(id < 3, 7, id) k", "id v")
+    out = joins.master_fact_rows({"s_f": fact, "s_m": many}, links(("s_f", "k", "s_m", "k")))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) > 50_000 and max(sizes) < 2 * sum(sizes) / int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -151,7 +151,7 @@ def test_guard_rejects(sql):
 def test_guard_passes_and_runs(spark):
     spark.range(100).createOrReplaceTempView("5eed0042_numbers")
     assert sqlaccess.read_only(" select id from t where id > 1 limit 5; ") == "select id from t where id > 1 limit 5"
-    assert sqlaccess.run_query(spark, "SELECT id FROM 5eed0042_numbers").count() == 50
-    assert sqlaccess.run_query(spark, "SELECT id FROM 5eed0042_numbers", rows=None).count() == 100
+    assert sqlaccess.run_query(spark, "SELECT id FROM 5eed0042_numbers").count() == 100
+    assert sqlaccess.run_query(spark, "SELECT id FROM 5eed0042_numbers", rows=50).count() == 50
     context = sqlaccess.schema_context(spark, "5eed0042").collect()
     assert [(r["object_name"], r["column_name"], r["data_type"]) for r in context] == [("5eed0042_numbers", "id", "bigint")]

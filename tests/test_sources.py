@@ -81,6 +81,29 @@ def test_broken_archives(spark):
     assert [r["fields"] for r in rows if r["member"] == "b.csv"] == [["h"], ["2"]]
 
 
+def test_equal_names_are_all_kept(spark, tmp_path):
+    for folder, text in (("2023", "id\n1\n"), ("2024", "id\n2\n"), ("x/2024", "id\n3\n")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "orders.csv").write_text(text)
+    for name, text in (("a", "id\n4\n"), ("b", "id\n5\n")):
+        (tmp_path / f"{name}.zip").write_bytes(packed(**{"orders.csv": text}))
+    paths = [str(tmp_path / p) for p in ("2023/orders.csv", "2024/orders.csv", "x/2024/orders.csv", "a.zip", "b.zip")]
+    tables, facts, warnings = files.read_tables(spark, paths, "abcd1234-x")
+    assert sorted(t.first()[0] for t in tables.values()) == ["1", "2", "3", "4", "5"]
+    assert sorted(tables) == sorted(facts) and not warnings
+    both = archives.archive_tables(spark, str(tmp_path / "*.zip"))
+    assert sorted((n, t.first()[0]) for n, t in both.items()) == [("a.zip!orders.csv", "4"), ("b.zip!orders.csv", "5")]
+
+
+def test_broken_members_are_reported(spark, tmp_path):
+    raw = bytearray(packed(**{"a.csv": "h\n" + "1\n" * 50, "b.csv": "h\n2\n"}))
+    at = raw.find(b"1\n1\n1")
+    raw[at : at + 4] = b"XXXX"
+    (tmp_path / "x.zip").write_bytes(raw)
+    tables, _, warnings = files.read_tables(spark, [str(tmp_path / "x.zip")], "abcd1234-x")
+    assert len(tables) == 1 and len(warnings) == 1 and "a.csv" in warnings[0]
+
+
 def test_unsupported_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     with pytest.raises(ValueError, match="No supported files"):

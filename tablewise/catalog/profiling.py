@@ -269,7 +269,7 @@ def _score_tables(spark, folder):
 def _outliers(name, df):
     profile = prof.profile_table(df, name, samples=False)
     columns = [p.column_name for p in profile if p.detected_type in ("numeric", "currency")]
-    return [(name, c, n) for c, n in quality.count_outliers(df, columns, rows=profile[0].total_rows).items()]
+    return [(name, c, n) for c, n in quality.count_outliers(df, columns).items()]
 
 
 def outlier_columns(spark, folder):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewise.functions import rules
 from tablewise.functions.columns import exact_amount, is_text, month_of, ratio, real, to_moment
 from tablewise.operators.filters import DashboardFilters, apply_filters
-from tablewise.operators.quantiles import SMALL, exact_quantiles
+from tablewise.operators.quantiles import REST, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     )
 
 
-def box(df: DataFrame, x: str, limit: int = SMALL) -> DataFrame:
+def box(df: DataFrame, x: str, limit: int = REST) -> DataFrame:
     """The exact five-number summary."""
     value = real(_col(x), df.schema[x].dataType)
     found = exact_quantiles(df, {x: value}, (0.0, 0.25, 0.5, 0.75, 1.0), limit)[x]

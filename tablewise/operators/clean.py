@@ -30,7 +30,7 @@ from tablewise.functions.columns import (
 )
 from tablewise.operators.profile import ColumnProfile, types_of
 from tablewise.operators.quality import beyond, outlier_bounds
-from tablewise.operators.quantiles import SMALL, exact_quantiles
+from tablewise.operators.quantiles import REST, exact_quantiles
 from tablewise.session import per_table
 from tablewise.session import stage as write_stage
 
@@ -105,7 +105,7 @@ def drop_missing_ids(df: DataFrame, types: Types) -> DataFrame:
 
 
 def imputation_values(
-    df: DataFrame, types: Types, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
+    df: DataFrame, types: Types, columns: Sequence[str], limit: int = REST
 ) -> dict[str, object]:
     """Median of numeric columns, most frequent value of text columns (smallest on ties)."""
     numeric = {
@@ -114,7 +114,7 @@ def imputation_values(
         if types.get(c) in ("currency", "numeric")
     }
     fills: dict[str, object] = {
-        c: q.values[0] for c, q in exact_quantiles(df, numeric, (0.5,), limit, rows).items() if q.count
+        c: q.values[0] for c, q in exact_quantiles(df, numeric, (0.5,), limit).items() if q.count
     }
     texts = [c for c in columns if types.get(c) in ("category", "text")]
     if texts:
@@ -190,7 +190,7 @@ def clean_table(
     table_name: str,
     profile: Sequence[ColumnProfile],
     stage: Callable[[DataFrame, str], DataFrame] | None = write_stage,
-    limit: int = SMALL,
+    limit: int = REST,
     normalise_first: bool = False,
 ) -> CleanedTable:
     """All steps with their log.
@@ -269,7 +269,7 @@ def clean_table(
 
     # imputation, from statistics of the rows that are left
     gaps = [c for c in rows.columns if counted["gap", c]]
-    fills = imputation_values(rows, types, gaps, limit, final)
+    fills = imputation_values(rows, types, gaps, limit)
     for c in gaps:
         n, kind = counted["gap", c], types.get(c)
         if kind in ("currency", "numeric") and c in fills:
@@ -323,7 +323,7 @@ def clean_table(
 
     # outlier flags
     numeric = numeric_columns(rows, types)
-    bounds = outlier_bounds(rows, numeric, limit, final)
+    bounds = outlier_bounds(rows, numeric, limit)
     rows = flag_outliers(rows, types, bounds)
     outside = _one_row(rows, {c: F.count_if(_col(f"is_outlier_{c}")) for c in bounds}) if bounds else {}
     flagged = [c for c in bounds if outside[c]]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablewise.functions import rules
 from tablewise.functions.columns import ratio, real
 from tablewise.operators.profile import ColumnProfile, group_key
-from tablewise.operators.quantiles import SMALL, exact_quantiles
+from tablewise.operators.quantiles import REST, exact_quantiles
 
 COLUMN_SCHEMA = T.StructType(
     [
@@ -42,12 +42,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def outlier_bounds(
-    df: DataFrame, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
+    df: DataFrame, columns: Sequence[str], limit: int = REST
 ) -> dict[str, tuple[float, float]]:
     """Lower and upper bound per column; columns with too few values or no spread have none."""
     numbers = {c: real(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
     bounds = {}
-    for c, q in exact_quantiles(df, numbers, (0.25, 0.75), limit, rows).items():
+    for c, q in exact_quantiles(df, numbers, (0.25, 0.75), limit).items():
         if q.count < rules.OUTLIER_MIN_VALUES:
             continue
         q1, q3 = q.values
@@ -65,9 +65,9 @@ def beyond(value: Column, bounds: tuple[float, float] | None) -> Column:
 
 
 def count_outliers(
-    df: DataFrame, columns: Sequence[str], limit: int = SMALL, rows: int | None = None
+    df: DataFrame, columns: Sequence[str], limit: int = REST
 ) -> dict[str, int]:
-    bounds = outlier_bounds(df, columns, limit, rows)
+    bounds = outlier_bounds(df, columns, limit)
     if not bounds:
         return {c: 0 for c in columns}
     tests = [
@@ -78,11 +78,10 @@ def count_outliers(
     return {c: 0 for c in columns} | dict(zip(bounds, row))
 
 
-def measure(df: DataFrame, profile: Sequence[ColumnProfile], limit: int = SMALL) -> DataFrame:
+def measure(df: DataFrame, profile: Sequence[ColumnProfile], limit: int = REST) -> DataFrame:
     """One metadata row per column with everything the score needs."""
     numeric = [p.column_name for p in profile if p.detected_type in ("numeric", "currency")]
-    known_rows = max((p.total_rows for p in profile), default=None)
-    outliers = count_outliers(df, numeric, limit, known_rows)
+    outliers = count_outliers(df, numeric, limit)
     total, duplicates = duplicate_count(df).first()
     rows = [
         (
@@ -208,7 +207,7 @@ def summary_text(score: Column, duplicates: Column, null_columns: Column, outlie
 
 
 def quality_report(
-    df: DataFrame, table_name: str, profile: Sequence[ColumnProfile], limit: int = SMALL
+    df: DataFrame, table_name: str, profile: Sequence[ColumnProfile], limit: int = REST
 ) -> DataFrame:
     """One row: score, counts, ordered lists of findings and actions, and a summary."""
     measured = measure(df, profile, limit)

@@ -1,11 +1,11 @@
 """Exact quantiles that never gather a column in one task.
 
 Spark's ``percentile`` keeps a value→count map per group in memory, which is exact but
-unbounded. Here a column of up to ``limit`` values is ordered by its distinct values. Above, each
-order statistic is bracketed with a sketch (``percentile_approx``, bounded state) and the values
-in and around the bracket are counted; the bracket shrinks by orders of magnitude per round, and
-once it holds at most ``limit`` values the statistic is picked from their counts. Counting makes
-the result exact whatever the sketch returns.
+unbounded. Here each order statistic is bracketed with a sketch (``percentile_approx``, bounded
+state) and the values in and around the bracket are counted; the bracket shrinks by orders of
+magnitude per round, and once it holds at most ``limit`` values the statistic is picked from their
+counts. Counting makes the result exact whatever the sketch returns. A column of any size takes the
+same steps; one of few values starts with a bracket that is small already.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 2_000_000
+REST = 100_000  # values that are ordered in one task
 SKETCH = 1_000
 
 
@@ -53,65 +53,24 @@ def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
     probabilities: Sequence[float],
-    limit: int = SMALL,
-    rows: int | None = None,
+    limit: int = REST,
 ) -> dict[str, Quantiles]:
     """Linear-interpolation quantiles of numeric expressions, nulls ignored. Runs Spark jobs;
-    only counts and the quantiles themselves reach the driver. ``rows``, an upper bound on the
-    number of rows, saves the counting pass on small tables."""
+    only counts and the quantiles themselves reach the driver."""
     if not columns:
         return {}
     aliases = {f"q{i}": name for i, name in enumerate(columns)}
     values = df.select(*(columns[name].alias(a) for a, name in aliases.items()))
-    counts = {}
-    if rows is None or rows > limit:
-        counts = values.agg(*(F.count(a).alias(a) for a in aliases)).first().asDict()
-    small = [a for a in aliases if counts.get(a, rows) <= limit]
-    out: dict[str, Quantiles] = {}
-    if small:
-        found = _small(values.select(*small), probabilities)
-        nothing = Quantiles(0, (None,) * len(probabilities))
-        out |= {aliases[a]: found.get(a, nothing) for a in small}
-    large = {a: counts[a] for a in aliases if a not in small}
-    if large:
-        found = _large(values, large, probabilities, limit)
-        out |= {aliases[a]: Quantiles(counts[a], found[a]) for a in large}
-    return {name: out[name] for name in columns}
-
-
-def _small(values: DataFrame, probabilities: Sequence[float]) -> dict[str, Quantiles]:
-    """Columns of at most ``limit`` values: distinct values with counts, one ordered running
-    count per column (a sort that can spill), and the values at the wanted places."""
-    names = values.columns
-    if len(names) == 1:
-        pairs = values.select(F.lit(names[0]).alias("c"), F.col(names[0]).alias("v"))
-    else:
-        pairs = values.unpivot([], names, "c", "v")
-    counts = pairs.filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
-    running = counts.select(
-        "c", "v",
-        F.sum("n").over(Window.partitionBy("c").orderBy("v")).alias("upto"),
-        F.sum("n").over(Window.partitionBy("c")).alias("total"),
-    )
-    measures = [F.max("total").alias("total")]
-    for i, p in enumerate(probabilities):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        for end, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            measures.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"{end}{i}"))
-    out = {}
-    for row in running.groupBy("c").agg(*measures).collect():
-        at = []
-        for i, p in enumerate(probabilities):
-            place, low, high = p * (row["total"] - 1), row[f"low{i}"], row[f"high{i}"]
-            at.append(low + (high - low) * (place - math.floor(place)))
-        out[row["c"]] = Quantiles(row["total"], tuple(at))
-    return out
-
-
-def _large(
+    counts = values.agg(*(F.count(a).alias(a) for a in aliases)).first().asDict()
+    found = _statistics(values, {a: n for a, n in counts.items() if n}, probabilities, limit)
+    nothing = (None,) * len(probabilities)
+    return {name: Quantiles(counts[a], found.get(a, nothing)) for a, name in aliases.items()}
+
+
+def _statistics(
     values: DataFrame, sizes: dict[str, int], probabilities: Sequence[float], limit: int
 ) -> dict[str, tuple[float, ...]]:
-    """All large columns together: the passes over the data do not grow with their number."""
+    """All columns together: the passes over the data do not grow with their number."""
     places = {c: [p * (n - 1) for p in probabilities] for c, n in sizes.items()}
     brackets = {
         (c, rank): _Bracket(c, rank, sizes[c])
@@ -130,14 +89,20 @@ def _large(
     return {c: tuple(between(c, place) for place in at) for c, at in places.items()}
 
 
+def _shared(brackets: list[_Bracket]) -> list[list[_Bracket]]:
+    """Brackets with the same ends together."""
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.column, b.low, b.high), []).append(b)
+    return list(groups.values())
+
+
 def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
     """One sketch pass and one counting pass for all open brackets; brackets with the same ends
     share a sketch."""
-    shared: dict[tuple, list[_Bracket]] = {}
-    for b in brackets:
-        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    shared = _shared(brackets)
     sketches = []
-    for group in shared.values():
+    for group in shared:
         edges = []
         for b in group:
             centre = b.offset / max(b.size - 1, 1)
@@ -147,7 +112,7 @@ def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
     found = values.agg(*sketches).first()
     jobs = [
         (b, found[g][2 * i], found[g][2 * i + 1])
-        for g, group in enumerate(shared.values())
+        for g, group in enumerate(shared)
         for i, b in enumerate(group)
     ]
     measures = []
@@ -173,17 +138,19 @@ def _shrink(values: DataFrame, brackets: list[_Bracket]) -> None:
 
 
 def _pick(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """At most ``limit`` values are left in each bracket, so one ordered running count per
-    bracket is cheap."""
+    """At most ``limit`` values are left in each bracket, so one ordered running count for all
+    brackets with the same ends is cheap."""
     if not brackets:
         return
+    shared = _shared(brackets)
     members = [
-        F.when(b.inside(), F.struct(F.lit(i).alias("b"), F.col(b.column).alias("v")))
-        for i, b in enumerate(brackets)
+        F.when(group[0].inside(), F.struct(F.lit(g).alias("b"), F.col(group[0].column).cast("double").alias("v")))
+        for g, group in enumerate(shared)
     ]
     inside = values.select(F.explode(F.array_compact(F.array(*members))).alias("m"))
     counts = inside.groupBy("m.b", "m.v").agg(F.count("*").alias("n"))
     running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")))
-    offset = F.element_at(F.array(*(F.lit(b.offset) for b in brackets)), F.col("b") + 1)
-    for row in running.filter(F.col("upto") > offset).groupBy("b").agg(F.min("v").alias("v")).collect():
-        brackets[row["b"]].found = row["v"]
+    wanted = [(g, b) for g, group in enumerate(shared) for b in group]
+    picked = running.agg(*(F.min(F.when((F.col("b") == g) & (F.col("upto") > b.offset), F.col("v"))) for g, b in wanted))
+    for (_, b), value in zip(wanted, picked.first()):
+        b.found = value

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.functions import rules
@@ -18,6 +18,7 @@ from tablewise.operators.quantiles import exact_quantiles
 
 LABEL = "churn_label"
 OPTIONAL = ("avg_review_score",)
+FACTS = "features array<string>, auc double, weight double"
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,17 @@ class ChurnModel:
     positive_weight: float
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The pipeline, and beside it the features and figures it was trained with."""
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        facts = [(list(self.features), self.holdout_auc, float(self.positive_weight))]
+        spark = SparkSession.active()
+        spark.createDataFrame(facts, FACTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_churn(path: str) -> ChurnModel:
+    """A stored model, ready to score new customers."""
+    facts = SparkSession.active().read.parquet(f"{path}/facts").first()
+    return ChurnModel(PipelineModel.load(f"{path}/pipeline"), tuple(facts["features"]), facts["auc"], facts["weight"])
 
 
 def churn_features(summary: DataFrame) -> DataFrame:

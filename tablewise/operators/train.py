@@ -22,10 +22,10 @@ def _forecast(df: DataFrame, path: str | None, **options):
 
 
 def _segments(df: DataFrame, path: str | None, **options):
-    result = segments.segment_customers(df, **options)
+    model = segments.train_segments(df, **options)
     if path:
-        result.write.mode("overwrite").parquet(f"{path}/segments")
-    return result
+        model.save(f"{path}/segments")
+    return model.score(df)
 
 
 TRAINERS = {"churn": _churn, "forecast": _forecast, "segmentation": _segments}

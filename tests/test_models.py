@@ -29,6 +29,11 @@ def test_churn(customers, tmp_path):
     wrong = scored.filter((F.col("churn_probability") >= 0.5) != (F.col("churn_prediction") == 1)).count()
     assert scored.count() == 200 and wrong == 0
     model.save(str(tmp_path / "model"))
+    again = churn.score_churn(customers, churn.load_churn(str(tmp_path / "model")))
+    first = churn.score_churn(customers, model)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    holes = customers.withColumn("total_spend", F.lit(None).cast("double"))
+    assert churn.score_churn(holes, model).filter("total_spend IS NOT NULL").count() == 0  # inputs stay
     with pytest.raises(ValueError, match="Missing churn columns: total_spend"):
         churn.score_churn(customers.drop("total_spend"), model)
     with pytest.raises(ValueError, match="exactly two classes"):
@@ -43,12 +48,16 @@ def test_stratified_split_is_exact_and_repeatable(customers):
     assert again.exceptAll(train).count() == 0
 
 
-def test_segments(spark):
+def test_segments(spark, tmp_path):
     groups = [(2, 20, 1000), (5, 15, 700), (20, 5, 150), (80, 1, 20)] * 10
     df = spark.createDataFrame(groups, "days_since_last_order int, total_orders int, total_spend int")
     out = segments.segment_customers(df, starts=3)
     names = {(r[0], r["segment"]) for r in out.select("days_since_last_order", "segment").distinct().collect()}
     assert names == {(2, "Champions"), (5, "Loyal"), (20, "At Risk"), (80, "Lost")}
+    model = segments.train_segments(df, starts=3)
+    model.save(str(tmp_path / "segments"))
+    again = segments.load_segments(str(tmp_path / "segments")).score(df.limit(7))
+    assert sorted(map(str, again.collect())) == sorted(map(str, model.score(df.limit(7)).collect()))
     with pytest.raises(ValueError, match="Missing segmentation columns"):
         segments.segment_customers(df.drop("total_spend"))
     with pytest.raises(ValueError, match="four customer rows"):

@@ -2,6 +2,8 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tablewise.session import work_folder
@@ -91,6 +93,19 @@ def test_restart_does_not_repeat(spark, tmp_path):
     assert sorted((r["id"], r["region"]) for r in loaded.collect()) == [("a", "North"), ("b", None)]
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_equal_rows_of_two_files_are_one(spark, tmp_path, together):
+    path, schema = str(tmp_path / "in"), "id string, region string"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    prepare = jobs.cleaned_rows({"id": "id", "region": "category"})
+    write(spark, [("a", "x"), ("b", "y")], schema, path)
+    if not together:
+        jobs.load_incrementally(stream(spark, path, schema), out, state, prepare)
+    write(spark, [("a", "x"), ("a", "x "), ("c", "z")], schema, path)
+    loaded = jobs.load_incrementally(stream(spark, path, schema), out, state, prepare)
+    assert sorted((r["id"], r["region"]) for r in loaded.collect()) == [("a", "X"), ("a", "X"), ("b", "Y"), ("c", "Z")]
+
+
 def test_alerts_once_over_restarts(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "title string, message string"
     out, state = str(tmp_path / "out"), str(tmp_path / "state")

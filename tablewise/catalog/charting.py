@@ -143,10 +143,10 @@ _COUNT = "CAST(COUNT(*) AS DOUBLE)"
 _SOLD = "m_items i JOIN m_products p ON i.product_id = p.product_id"
 _INSIGHT = f"""
 segments AS (SELECT order_status AS x, {_PAY} AS value FROM m_orders GROUP BY 1),
-insight AS (SELECT (SELECT x FROM segments ORDER BY value DESC, x LIMIT 1) || ' is the largest segment at '
-  || format('{{:,.2f}}', MAX(value)) || ', representing ' || printf('%.1f', MAX(value) / SUM(value) * 100)
-  || '% of the total. The chart compares ' || COUNT(*)
-  || ' segments and highlights where performance is concentrated.' AS insight_text FROM segments)"""
+insight AS (SELECT (SELECT x FROM segments ORDER BY value DESC, x LIMIT 1) || ' leads with '
+  || format('{{:,.2f}}', MAX(value)) || ', ' || printf('%.1f', MAX(value) / SUM(value) * 100)
+  || '% of the sum over ' || COUNT(*)
+  || ' groups.' AS insight_text FROM segments)"""
 _PARTS = "SELECT p_brand AS x, CAST(COUNT(*) AS DOUBLE) AS value FROM part GROUP BY 1 ORDER BY value DESC, x LIMIT 5"
 _HEAT_CELLS = "\nUNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS grp, ROUND(corr({min(a, b)}, {max(a, b)}), 3) + 0.0 AS value FROM lineitem"

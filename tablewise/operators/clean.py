@@ -222,16 +222,13 @@ def clean_table(
     if tokens:
         note(
             "null_tokens", None, tokens,
-            f"Replaced {tokens} extra null representations ('N/A', 'null', '--', etc.) with NaN"
-            f" across {len(texts)} string columns.",
+            f"{tokens} placeholders for a missing value became null in {len(texts)} text columns.",
         )
     for c in coerced:
         lost = raw["lost", c]
         note(
             "coerce_numbers", c, lost,
-            f"Column '{c}': coerced to numeric — {lost} non-numeric values converted to NaN for imputation."
-            if lost
-            else f"Column '{c}': coerced mixed-type to numeric successfully.",
+            f"{c}: read as numbers; {lost} values that are none became null." if lost else f"{c}: read as numbers.",
         )
     rows = coerce_numbers(null_tokens(df), types)
     if normalise_first:
@@ -256,14 +253,13 @@ def clean_table(
     duplicates = original - counted["rows"]
     note(
         "duplicates", None, duplicates,
-        f"Removed {duplicates} duplicate rows (kept first occurrence)." if duplicates else "No duplicate rows found.",
+        f"{duplicates} repeated rows removed, one of each kept." if duplicates else "No row is repeated.",
     )
     for c in ids:
         if missing := counted["id", c]:
             note(
                 "missing_ids", c, missing,
-                f"Dropped {missing} rows with missing values in ID column '{c}' "
-                "(rows without an ID cannot be used for analysis or joining).",
+                f"{c}: {missing} rows without an id removed; they cannot be joined.",
             )
     rows = drop_missing_ids(rows, types)
 
@@ -273,17 +269,16 @@ def clean_table(
     for c in gaps:
         n, kind = counted["gap", c], types.get(c)
         if kind in ("currency", "numeric") and c in fills:
-            note("impute", c, n, f"Column '{c}': filled {n} missing values with median ({fills[c]:.4f}).")
+            note("impute", c, n, f"{c}: {n} gaps take the median {fills[c]:.4f}.")
         elif kind in ("category", "text"):
-            tail = "'Unknown' (no mode available)." if n == final else f"mode ('{fills[c]}')."
-            note("impute", c, n, f"Column '{c}': filled {n} missing values with {tail}")
+            tail = "'Unknown', as there is no other value." if n == final else f"the most frequent value '{fills[c]}'."
+            note("impute", c, n, f"{c}: {n} gaps take {tail}")
         elif kind == "boolean":
-            note("impute", c, n, f"Column '{c}': filled {n} missing boolean values with False.")
+            note("impute", c, n, f"{c}: {n} missing flags count as false.")
         elif kind == "datetime":
             note(
                 "impute", c, n,
-                f"Column '{c}': {n} missing datetime values left as NaT"
-                " (missing dates carry business meaning — not imputed).",
+                f"{c}: {n} missing dates stay null; a date is never made up.",
             )
     rows = impute(rows, types, fills, flags_known)
 
@@ -300,21 +295,21 @@ def clean_table(
     )
     for c in dates:
         if c not in parsed:
-            note("dates", c, 0, f"Column '{c}': already datetime dtype — no conversion needed.")
+            note("dates", c, 0, f"{c}: stored as a date already.")
         elif failed := changed["date", c]:
             note(
                 "dates", c, failed,
-                f"Column '{c}': {failed} values could not be parsed as datetime — left as NaT.", "warning",
+                f"{c}: {failed} values are no dates and stay null.", "warning",
             )
         else:
             note(
                 "dates", c, 0,
-                f"Column '{c}': all values successfully parsed and standardised to '%Y-%m-%d %H:%M:%S'.",
+                f"{c}: every value read as a date.",
             )
     rows = title_categories(strip_text(parse_dates(rows, types)), types)
     for step, columns, text in (
-        ("strip", texts, "Stripped leading/trailing whitespace from {n} string column(s): {names}."),
-        ("title", titled, "Standardised casing to title case in {n} category column(s): {names}."),
+        ("strip", texts, "Blanks at the ends removed in {n} columns: {names}."),
+        ("title", titled, "Letter case made uniform in {n} category columns: {names}."),
     ):
         hit = [c for c in columns if changed[step, c]]
         if hit:
@@ -331,11 +326,10 @@ def clean_table(
         low, high = bounds[c]
         note(
             "outliers", c, outside[c],
-            f"Column '{c}': flagged {outside[c]} outlier values (outside [{low:.2f}, {high:.2f}])"
-            f" in new column 'is_outlier_{c}'.",
+            f"{c}: {outside[c]} values beyond {low:.2f} to {high:.2f} are marked in is_outlier_{c}.",
         )
     if not flagged:
-        note("outliers", None, 0, "No outliers detected in any numeric column.")
+        note("outliers", None, 0, "No numeric column has values beyond its bounds.")
     return CleanedTable(
         table_name, rows, original, final, duplicates, len(flagged), tuple(log), tuple(profile)
     )

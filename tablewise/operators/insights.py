@@ -54,18 +54,14 @@ def fallback_insight(data: DataFrame, title: str, chart_type: str) -> DataFrame:
     high, low = grouped_number(F.col("high")), grouped_number(F.col("low"))
     share = F.coalesce(ratio(F.col("high"), F.col("total")) * 100, F.lit(0.0))
     segments = F.concat(
-        F.col("top"), F.lit(" is the largest segment at "), high, F.lit(", representing "),
-        F.format_string("%.1f%%", share), F.lit(" of the total. The chart compares "), F.col("n"),
-        F.lit(" segments and highlights where performance is concentrated."),
+        F.col("top"), F.lit(" leads with "), high, F.lit(", "),
+        F.format_string("%.1f%%", share), F.lit(" of the sum over "), F.col("n"), F.lit(" groups."),
     )
     spread = F.concat(
-        F.lit("The chart ranges from "), low, F.lit(" to "), high, F.lit(", with the highest value at "), high,
-        F.lit(". Across the "), F.col("n"),
-        F.lit(" data points, the pattern shows the main variation that should guide further investigation."),
+        F.lit("Values lie between "), low, F.lit(" and "), high, F.lit(" over "), F.col("n"), F.lit(" points."),
     )
     empty = F.concat(
-        F.lit(f"{title} contains "), F.col("n"),
-        F.lit(" data points. Review the chart for the categories or periods represented."),
+        F.lit(f"{title}: "), F.col("n"), F.lit(" points without a value."),
     )
     text = segments if chart_type in SEGMENT_CHARTS else spread
     return facts.select(
@@ -84,8 +80,8 @@ def executive_summary(metrics: DataFrame, insights: DataFrame) -> DataFrame:
         F.col("k.kpi_name"), F.lit(" is "), grouped_number(F.col("k.kpi_value")), F.lit(" "),
         F.coalesce("k.kpi_unit", F.lit("")), F.lit("."),
     )
-    ready = F.lit("The dashboard is ready for executive review.")
-    advice = F.lit("Review the KPI cards and charts for the strongest trends and opportunities.")
+    ready = F.lit("There are no metrics yet.")
+    advice = F.lit("There are no chart notes yet.")
     return first.select(
         F.concat_ws(" ", F.coalesce(headline, ready), F.coalesce(newest, advice)).alias("summary")
     )

@@ -112,8 +112,8 @@ def issue_rows(measured: DataFrame) -> DataFrame:
             share == 1.0,
             issue(
                 2, "all_null", F.lit("critical"),
-                F.format_string("Column '%s' is entirely null — no usable data", name),
-                F.format_string("Column '%s': missing values will be filled with 'Unknown'", name),
+                F.format_string("%s holds no value at all", name),
+                F.format_string("%s: cleaning writes 'Unknown'", name),
                 F.lit(rules.POINTS_MANY_NULLS),
             ),
         ),
@@ -122,8 +122,8 @@ def issue_rows(measured: DataFrame) -> DataFrame:
             issue(
                 2, "nulls",
                 F.when(share > rules.NULLS_CRITICAL, F.lit("critical")).otherwise(warning),
-                F.format_string("Column '%s' has %d missing values (%.1f%%)", name, "null_count", "null_percent"),
-                F.format_string("Column '%s': %s", name, F.element_at(imputation, F.col("detected_type"))),
+                F.format_string("%s lacks %d values (%.1f%%)", name, "null_count", "null_percent"),
+                F.format_string("%s: %s", name, F.element_at(imputation, F.col("detected_type"))),
                 F.lit(rules.POINTS_NULL_COLUMN)
                 + F.when(share > rules.NULLS_CRITICAL, rules.POINTS_MANY_NULLS).otherwise(0),
             ),
@@ -133,12 +133,11 @@ def issue_rows(measured: DataFrame) -> DataFrame:
             issue(
                 3, "outliers", warning,
                 F.format_string(
-                    "Column '%s' has %d outlier values (%.1f%%)", name, "outlier_count",
+                    "%s holds %d extreme values (%.1f%%)", name, "outlier_count",
                     ratio(F.col("outlier_count") * 100, F.col("total_rows")),
                 ),
                 F.format_string(
-                    "Column '%s': outliers will be flagged with an 'is_outlier_%s' boolean column"
-                    " (not removed)", name, name,
+                    "%s: cleaning marks them in is_outlier_%s and keeps them", name, name,
                 ),
                 F.lit(rules.POINTS_OUTLIERS),
             ),
@@ -148,11 +147,10 @@ def issue_rows(measured: DataFrame) -> DataFrame:
             issue(
                 4, "mixed_types", warning,
                 F.format_string(
-                    "Column '%s' contains mixed types — numeric values mixed with text"
-                    " (e.g. 'N/A', 'unknown')", name,
+                    "%s mixes numbers with other text", name,
                 ),
                 F.format_string(
-                    "Column '%s': non-numeric values will be replaced with null, then imputed", name
+                    "%s: cleaning reads the numbers and fills the rest", name
                 ),
                 F.lit(rules.POINTS_MIXED_TYPE),
             ),
@@ -173,8 +171,8 @@ def issue_rows(measured: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("column_name"),
             F.lit("duplicates").alias("issue_type"),
             warning.alias("severity"),
-            F.format_string("%d duplicate rows found (%.1f%% of data)", extra, share_extra * 100).alias("description"),
-            F.format_string("Will remove %d duplicate rows automatically", extra).alias("action"),
+            F.format_string("%d rows repeat others (%.1f%%)", extra, share_extra * 100).alias("description"),
+            F.format_string("Cleaning removes %d repeated rows", extra).alias("action"),
             F.when(share_extra > rules.DUPLICATES_LIMIT, rules.POINTS_DUPLICATES).otherwise(0).alias("points"),
         )
     )
@@ -189,18 +187,18 @@ def level_of(score: Column) -> Column:
 
 
 def summary_text(score: Column, duplicates: Column, null_columns: Column, outlier_columns: Column) -> Column:
-    head = F.format_string("Data quality is %s (score: %d/100). ", level_of(score), score)
+    head = F.format_string("Quality: %s, %d of 100 points. ", level_of(score), score)
     parts = F.concat_ws(
         ", ",
-        F.when(duplicates > 0, F.format_string("%d duplicate rows", duplicates)),
-        F.when(null_columns > 0, F.format_string("%d columns with missing values", null_columns)),
-        F.when(outlier_columns > 0, F.format_string("%d columns with outliers", outlier_columns)),
+        F.when(duplicates > 0, F.format_string("%d repeated rows", duplicates)),
+        F.when(null_columns > 0, F.format_string("%d columns with gaps", null_columns)),
+        F.when(outlier_columns > 0, F.format_string("%d columns with extreme values", outlier_columns)),
     )
     return F.concat(
         head,
-        F.when(parts == "", F.lit("No issues detected.")).otherwise(
+        F.when(parts == "", F.lit("Nothing was found.")).otherwise(
             F.concat(
-                F.lit("Issues found: "), parts, F.lit(". The ETL pipeline will handle these automatically.")
+                F.lit("Found: "), parts, F.lit(". Cleaning takes care of them.")
             )
         ),
     )

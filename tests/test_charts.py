@@ -91,7 +91,7 @@ def test_share_is_of_all_groups(spark):
     groups = spark.range(1000).selectExpr("concat('g', id % 100) g", "1.0D v")
     spec = ChartSpec("bar", "V by G", "t", "g", "v")
     text = insights.fallback_insight(insights.chart_sample(spec, groups), "V by G", "bar").first()["insight_text"]
-    assert "representing 1.0% of the total" in text and "compares 100 segments" in text
+    assert "1.0% of the sum over 100 groups" in text
 
 
 def test_histogram_covers_all_rows(sales, spark):
@@ -129,18 +129,18 @@ def test_unknown_chart(sales):
 def test_insights(spark):
     data = spark.createDataFrame([("north", 75.0), ("south", 25.0)], "x string, value double")
     text = insights.fallback_insight(data, "Sales", "pie").first()["insight_text"]
-    assert text.startswith("north is the largest segment at 75.00, representing 75.0% of the total. The chart compares 2")
+    assert text == "north leads with 75.00, 75.0% of the sum over 2 groups."
     spread = insights.fallback_insight(data, "Sales", "line").first()["insight_text"]
-    assert spread.startswith("The chart ranges from 25.00 to 75.00")
+    assert spread.startswith("Values lie between 25.00 and 75.00")
     empty = insights.fallback_insight(data.limit(0), "Sales", "line").first()["insight_text"]
-    assert empty.startswith("Sales contains 0 data points.")
+    assert empty.startswith("Sales: 0 points")
 
 
 def test_executive_summary(spark):
     metrics = spark.createDataFrame([("Total Revenue", 1200.0, "currency", "sales")], "kpi_name string, kpi_value double, kpi_unit string, kpi_category string")
     texts = spark.createDataFrame([("Old.", 1), ("Revenue grew.", 2)], "insight_text string, generated_at long")
     assert insights.executive_summary(metrics, texts).first()[0] == "Total Revenue is 1,200.00 currency. Revenue grew."
-    assert insights.executive_summary(metrics.limit(0), texts.limit(0)).first()[0].startswith("The dashboard is ready")
+    assert insights.executive_summary(metrics.limit(0), texts.limit(0)).first()[0].startswith("There are no metrics yet.")
 
 
 def test_samples(sales):

@@ -107,19 +107,19 @@ def test_quality_report(spark):
     # duplicates 15, nulls beyond 30 % 15, all null 10, outliers 5
     assert (r["duplicate_rows"], r["columns_with_nulls"], r["outlier_columns"]) == (1, 2, 1)
     assert r["quality_score"] == 100 - 15 - 15 - 10 - 5
-    assert r["summary"].startswith("Data quality is moderate (score: 55/100). Issues found: 1 duplicate rows, 2 columns")
-    assert r["issues_found"][0] == "1 duplicate rows found (2.4% of data)"
+    assert r["summary"].startswith("Quality: moderate, 55 of 100 points. Found: 1 repeated rows, 2 columns")
+    assert r["issues_found"][0] == "1 rows repeat others (2.4%)"
     assert [i["issue_type"] for i in r["column_issues"]] == ["nulls", "all_null", "outliers"]
 
 
 def test_clean_table_scores_full(spark):
     r = report(spark, [(i, float(i % 7)) for i in range(30)], "id long, level double")
-    assert r["quality_score"] == 100 and r["summary"].endswith("No issues detected.")
+    assert r["quality_score"] == 100 and r["summary"].endswith("Nothing was found.")
 
 
 def test_mixed_type_points(spark):
     rows = [(str(i % 8),) for i in range(99)] + [("?",)]
-    assert report(spark, rows, "quantity string")["issues_found"][-1].startswith("Column 'quantity' contains mixed types")
+    assert report(spark, rows, "quantity string")["issues_found"][-1].startswith("quantity mixes numbers")
 
 
 def test_outlier_notice(spark):

@@ -42,12 +42,16 @@ def to_number(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Every run of letters starts with a capital, the rest is lower case."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    capital = F.transform(
-        runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, F.lit(2), F.length(run)))
-    )
-    return F.when(c.isNotNull(), F.array_join(capital, ""))
+    """Every run of letters with case starts with a capital, the rest is lower case."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    runs = F.regexp_extract_all(F.lower(c), F.lit(f"([{cased}]+|[^{cased}]+)"), 1)
+
+    def capital(run: Column) -> Column:
+        first = F.upper(F.substring(run, 1, 1))  # may be two letters, of which one is a capital
+        rest = F.lower(F.substring(first, F.lit(2), F.length(first)))
+        return F.concat(F.substring(first, 1, 1), rest, F.substring(run, F.lit(2), F.length(run)))
+
+    return F.when(c.isNotNull(), F.array_join(F.transform(runs, capital), ""))
 
 
 def to_moment(c: Column) -> Column:

@@ -19,7 +19,7 @@ def many(spark, values, expression, kind="string"):
 
 
 def test_title_case_equals_python(spark):
-    words = ["o'neil 3RD", "new-york", "NORTH", "émile zola", "", "a1b2", "x  y", "3rd street"]
+    words = ["日本abc", "ß1x", "o'neil 3RD", "new-york", "NORTH", "émile zola", "", "a1b2", "x  y", "3rd street"]
     assert many(spark, words, c.title_case) == [w.title() for w in words]
 
 

@@ -22,7 +22,12 @@ MAX_BITS = 1 << 30
 BITS_PER_HASH = 8
 HASHES_PER_ROW = 512
 ROWS = "slice int, several boolean, hashes binary"
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes over the whole range again: a caller may send those of one part of it only."""
+    return texts.mix(hashes ^ _FIRST)
 
 
 def places(hashes: np.ndarray, slice_bits: int) -> np.ndarray:
@@ -40,13 +45,14 @@ class Filter:
         self.slice_bits, self.bits = slice_bits, bits
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = _spread(hashes)
         at = places(hashes, self.slice_bits) + slice_of(hashes) * self.slice_bits
         return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
 
 
 def packed(hashes: Iterable[np.ndarray]) -> pa.RecordBatch:
     """Rows for ``build``: the distinct hashes of several arrays by slice, apart those that repeat."""
-    found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
+    found, n = np.unique(_spread(np.concatenate([np.zeros(0, np.uint64), *hashes])), return_counts=True)
     rows = []
     for several in (False, True):
         part = found[n > 1] if several else found[n == 1]

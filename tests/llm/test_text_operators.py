@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -262,6 +263,13 @@ def test_search_edges(spark):
     assert sorted(map(tuple, got.collect())) == _plain_search(rows, 10)
 
 
+def test_search_query_is_its_sql(spark, folder):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    want = sorted(db.execute(queries.SQL["op4_topk"]).fetchall())
+    assert sorted(map(tuple, queries.op4_topk(spark, folder).collect())) == want
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1024 * 3072 + 2048 * 1024)]

@@ -7,7 +7,9 @@ collapses across inline elements, blocks begin lines, paragraphs and headings st
 items carry their mark and indentation, cells of a table are aligned in columns.
 
 Not visible, by element, attribute or style: head, scripts, styles, templates, embedded media, closed details and dialogs,
-``hidden``, ``display: none`` and ``visibility: hidden`` (in ``style`` or in style sheet rules for one element, class or id).
+``hidden``, ``display: none`` and ``visibility: hidden``, in ``style`` or in style sheets, as the cascade has them: importance,
+layer, specificity and order. Only rules that surely hold on an ordinary screen (``SCREEN``) hide: for selectors of one element,
+without combinators. Rules that may hold, for their medium or their selector, show what others hide, so that in doubt text stays.
 Columns over ``WIDEST`` characters are not padded, so one long cell does not widen every row; no text is cut.
 Work is linear in the page and uses no recursion, so depth and unclosed tags do no harm.
 
@@ -53,10 +55,21 @@ SCOPE = frozenset("table td th caption html template object".split())
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?""")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+# Widths and heights of ordinary screens in pixels, smallest and largest: what differs between them is in doubt.
+SCREEN = {"width": (1280, 1920), "height": (720, 1080)}
+_NOISE = re.compile(
+    r"""/\*.*?(?:\*/|$)|<!--|-->|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\(\s*[^"'\s)][^)]*\)?|\\([0-9a-f]{1,6})\s?|\\(.)""", re.S | re.I
+)
+_PIECE = re.compile(r"([^{};]*)([{};]|$)")
+_MEDIUM = re.compile(r"(?:(not|only)\s+)?([\w-]*)(.*)", re.S)
+_FEATURE = re.compile(r"\(\s*(?:(min|max)-)?(?:device-)?([\w-]+)\s*(?::\s*([\d.]+)?\s*([\w-]*)\s*)?\)")
+_HAS_ATTRIBUTE = re.compile(r"\[\s*([^][\s=~|^$*]+)\s*\]|\[[^]]*\]?")
+_COMBINATOR = re.compile(r"\s*([\s>+~])\s*")
+_SIMPLE = re.compile(r"(::?|[.#\1]?)([^\s.#:\0\1*&]+)|([\0*&])")
+_AT_REST = frozenset("hover active focus focus-within focus-visible target target-within before after first-line first-letter".split())
+_NO_RULES = frozenset("keyframes font-face page property counter-style font-feature-values font-palette-values view-transition".split())
+_IMPLIED = frozenset("html body tbody".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -253,35 +266,167 @@ class Table:
         return out
 
 
-def _style_rules(sheet: str) -> dict[str, tuple[bool, str | None]]:
-    """Selectors of one element, class or id that hide what they match."""
-    rules = {}
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)):
-        gone, seen = bool(_NO_DISPLAY.search(body)), _VISIBILITY.search(body)
-        if gone or seen:
-            for selector in selectors.split(","):
-                if re.fullmatch(r"[.#]?[\w-]+", selector := selector.strip()):
-                    rules[selector if selector[0] in ".#" else selector.lower()] = (gone, seen.group(1).lower() if seen else None)
-    return rules
+def _plain(m: re.Match) -> str:
+    """Style sheet text without comments and strings; an escaped character stands apart from the signs of selectors."""
+    if not (m.group(1) or m.group(2)):
+        return ""
+    code = int(m.group(1), 16) if m.group(1) else ord(m.group(2))
+    if not 0 < code < 0x110000 or 0xD800 <= code < 0xE000:
+        code = 0xFFFD
+    return chr(0xE000 + code if code < 128 else code)
+
+
+def _name(text: str) -> str:
+    return "".join(chr(ord(c) - 0xE000) if "\ue000" <= c <= "\ue07f" else c for c in text)
+
+
+def _both(a: bool | None, b: bool | None) -> bool | None:
+    """And of what holds (true), does not (false) or is in doubt (none)."""
+    return False if a is False or b is False else None if a is None or b is None else True
+
+
+def _medium(queries: str) -> bool | None:
+    """Whether a list of media queries holds on ordinary screens; none if that is in doubt."""
+    found = []
+    for query in queries.lower().split(","):
+        sign, kind, features = _MEDIUM.match(query.strip()).groups()
+        holds: bool | None = kind in ("", "all", "screen")
+        for feature in _FEATURE.finditer(features):
+            bound, name, value, unit = feature.groups()
+            holds = _both(holds, _feature(bound, name, value, unit))
+        if _FEATURE.sub("", features).replace("and", "").strip():
+            holds = _both(holds, None)
+        found.append((None if holds is None else not holds) if sign == "not" else holds)
+    return True if True in found else None if None in found else False
+
+
+def _feature(bound: str | None, name: str, value: str | None, unit: str) -> bool | None:
+    if name not in SCREEN or not bound or not re.fullmatch(r"\d*\.?\d+", value or "") or unit not in ("px", "em", "rem", ""):
+        return None
+    low, high = SCREEN[name]
+    pixels = float(value) * (1 if unit in ("px", "") else 16)
+    if bound == "min":
+        return True if pixels <= low else False if pixels > high else None
+    return True if pixels >= high else False if pixels < low else None
+
+
+def _selectors(text: str) -> list[str]:
+    """The selectors of a list; conditions in brackets that are not read become one sign."""
+    out, depth = [], 0
+    for c in _HAS_ATTRIBUTE.sub(lambda m: f"\1{m.group(1)}" if m.group(1) else "\0", text):
+        if c == "(":
+            depth += 1
+            out.append("\0")
+        elif c == ")":
+            depth = max(depth - 1, 0)
+        elif not depth:
+            out.append(c)
+    return [x.strip() for x in "".join(out).split(",")]
+
+
+def _declared(text: str) -> tuple[str, str, bool] | None:
+    """Property, value and importance of a declaration of display or visibility."""
+    name, _, value = text.partition(":")
+    if (name := name.strip().lower()) not in ("display", "visibility"):
+        return None
+    value, _, sign = value.lower().partition("!")
+    return (name, value.strip(), sign.strip() == "important") if value.strip() else None
+
+
+class Rules:
+    """What the style sheets of a page say of display and visibility, by a name, class, id or attribute that is needed."""
+
+    def __init__(self):
+        self.by_key: dict[str, dict[tuple, tuple]] = {}
+        self.layers: dict[str, int] = {}
+        self.count = 0
+
+    def read(self, sheet: str, medium: str = "") -> None:
+        holds = _medium(medium) if medium.strip() else True
+        stack: list[tuple] = [(None, holds, None)]  # selectors, whether they hold, layer
+        for m in _PIECE.finditer(_NOISE.sub(_plain, sheet)):
+            text, stop = m.group(1).strip(), m.group(2)
+            selectors, holds, layer = stack[-1]
+            if stop == "{":
+                stack.append(self.block(text, selectors, holds, layer))
+                continue
+            if text[:6].lower() == "@layer":
+                for name in text[6:].split(","):
+                    self.layers.setdefault(name.strip(), len(self.layers))
+            elif selectors and holds is not False and (found := _declared(text)):
+                for selector in selectors:
+                    self.add(selector, holds, layer, *found)
+            if stop == "}" and len(stack) > 1:
+                stack.pop()
+
+    def block(self, text: str, selectors: list[str] | None, holds: bool | None, layer: int | None) -> tuple:
+        if not text.startswith("@"):
+            return self.nested(_selectors(text), selectors), holds, layer
+        name, rest = re.match(r"@(?:-\w+-)?([\w-]*)(.*)", text, re.S).groups()
+        if (name := name.lower()) == "media":
+            return selectors, _both(holds, _medium(rest)), layer
+        if name == "layer":
+            return selectors, holds, self.layers.setdefault(rest.strip() or f" {len(self.layers)}", len(self.layers))
+        return selectors, False if name in _NO_RULES else _both(holds, None), layer
+
+    def nested(self, inner: list[str], outer: list[str] | None) -> list[str]:
+        if not outer:
+            return inner
+        parent = outer[0] if len(outer) == 1 and len(outer[0]) < 1000 else "\0"
+        return [x.replace("&", parent, 1) if "&" in x else f"{parent} {x}" for x in inner]
+
+    def add(self, selector: str, holds: bool | None, layer: int | None, name: str, value: str, important: bool) -> None:
+        if not selector:
+            return
+        parts = _COMBINATOR.split(selector)
+        sure = holds is True and len(parts) == 1
+        weight, above, need = [0, 0, 0], set(), set()
+        for i in range(0, len(parts), 2):
+            need = set()
+            for sign, word, other in _SIMPLE.findall(parts[i]):
+                if other:
+                    sure &= other == "*"
+                    weight[0] += other == "\0"
+                elif sign in (":", "::"):
+                    if sign == "::" or word.lower() in _AT_REST:
+                        return
+                    sure = False
+                    weight[1] += 1
+                else:
+                    need.add(sign + (_name(word) if sign in (".", "#") else _name(word).lower()))
+                    weight[0 if sign == "#" else 1 if sign else 2] += 1
+            if i + 1 < len(parts) and parts[i + 1] not in "+~":
+                above |= need - _IMPLIED
+        if not sure and value in ("none", "hidden", "collapse"):
+            return
+        self.count += 1
+        key = min(need, key=lambda k: (len(self.by_key.get(k, ())), k), default="*")
+        place = 10**9 if layer is None else layer  # what is in no layer comes after all layers
+        rank = (important, False, -place if important else place, *weight, self.count)
+        what = (frozenset(need), frozenset(above), name, important, layer)
+        self.by_key.setdefault(key, {})[what] = (rank, value)
 
 
 class Element:
-    __slots__ = ("name", "gone", "shown", "flow", "table", "count", "step", "mark", "spans", "pre", "summary")
+    __slots__ = ("name", "gone", "shown", "flow", "table", "count", "step", "mark", "spans", "pre", "summary", "keys")
 
     def __init__(self, name, gone, shown, flow, pre):
         self.name, self.gone, self.shown, self.flow, self.pre = name, gone, shown, flow, pre
         self.table = self.count = self.mark = self.spans = None
-        self.step, self.summary = 1, False
+        self.step, self.summary, self.keys = 1, False, ()
 
 
 class Page:
     """The stack of open elements and the flows they write to."""
 
-    def __init__(self):
+    def __init__(self, rules: Rules | None = None):
         self.flow = Flow()
         self.stack = [Element("html", False, True, self.flow, False)]
         self.open_count: dict[str, int] = {"html": 1}
-        self.rules: dict[str, tuple[bool, str | None]] = {}
+        self.rules, self.known = rules or Rules(), rules is not None
+        self.medium: str | None = ""  # of the style sheet that is open
+        self.begun = self.late = False  # late: rules came after elements they may be meant for
+        self.open_keys: dict[str, int] = {}
         self.title: str | None = None
 
     # --- tree -----------------------------------------------------------------------------------
@@ -317,6 +462,8 @@ class Page:
     def open(self, name: str, attributes: dict[str, str]) -> None:
         top = self.stack[-1]
         if name in ("html", "body") and (name == "html" or self.open_count.get("body")):
+            for key in self.keys(name, attributes):
+                self.open_keys[key] = self.open_keys.get(key, 0) + 1
             return
         if top.name == "head" and name not in HEAD:
             self.pop()
@@ -354,8 +501,16 @@ class Page:
 
     def push(self, name: str, attributes: dict[str, str]) -> None:
         top = self.stack[-1]
-        gone, shown = self.visible(top, name, attributes)
+        keys = self.keys(name, attributes) if self.rules.by_key else ()
+        gone, shown = self.visible(top, name, attributes, keys)
         e = Element(name, gone, shown, top.flow, top.pre or name in PREFORMATTED)
+        e.keys = keys
+        for key in keys:
+            self.open_keys[key] = self.open_keys.get(key, 0) + 1
+        if name == "style":
+            kind = attributes.get("type", "").strip().lower()
+            self.medium = attributes.get("media", "") if kind in ("", "text/css") and not self.open_count.get("template") else None
+        self.begun = self.begun or not (name == "head" or name in HEAD)
         self.stack.append(e)
         self.open_count[name] = self.open_count.get(name, 0) + 1
         if gone:
@@ -396,25 +551,37 @@ class Page:
         if name in PREFORMATTED:
             e.mark = "fresh"
 
-    def visible(self, top: Element, name: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    def keys(self, name: str, attributes: dict[str, str]) -> set[str]:
+        """What selectors can ask of an element."""
+        keys = {name, *("\1" + a for a in attributes), *("." + c for c in attributes.get("class", "").split())}
+        return keys | {"#" + attributes["id"]} if "id" in attributes else keys
+
+    def visible(self, top: Element, name: str, attributes: dict[str, str], keys: set[str]) -> tuple[bool, bool]:
         gone, shown = top.gone or name in HIDDEN, top.shown
         if top.name == "details" and not (name == "summary" and not top.summary):
             gone = gone or top.mark == "closed"
         if top.name == "details" and name == "summary":
             top.summary = True
-        if not attributes and not self.rules:
+        if not attributes and not keys:
             return gone or name == "dialog", shown
-        gone = gone or "hidden" in attributes or (name == "dialog" and "open" not in attributes)
-        found = []
-        if self.rules:
-            keys = [name, *("." + c for c in attributes.get("class", "").split()), "#" + attributes.get("id", "")]
-            found = [self.rules[k] for k in keys if k in self.rules]
-        if style := attributes.get("style"):
-            seen = _VISIBILITY.search(style)
-            found.append((bool(_NO_DISPLAY.search(style)), seen.group(1).lower() if seen else None))
-        for hides, visibility in found:
-            gone = gone or hides
-            shown = visibility == "visible" if visibility else shown
+        best: dict[str, tuple] = {}
+        for key in (*keys, "*") if keys else ():
+            for (need, above, what, *_), found in self.rules.by_key.get(key, {}).items():
+                if need <= keys and (what not in best or found > best[what]) and all(self.open_keys.get(k) for k in above):
+                    best[what] = found
+        for i, text in enumerate(_NOISE.sub(_plain, attributes.get("style", "")).split(";")):
+            if declared := _declared(text):
+                what, value, important = declared
+                found = ((important, True, 0, 0, 0, 0, i), value)
+                if what not in best or found > best[what]:
+                    best[what] = found
+        if "display" in best:
+            gone = gone or best["display"][1] == "none"
+        else:
+            gone = gone or "hidden" in attributes or (name == "dialog" and "open" not in attributes)
+        visibility = best["visibility"][1] if "visibility" in best else ""
+        if visibility in ("hidden", "collapse", "visible", "initial"):
+            shown = visibility in ("visible", "initial")
         return gone, shown
 
     def table(self) -> Table | None:
@@ -431,6 +598,8 @@ class Page:
     def pop(self) -> None:
         e = self.stack.pop()
         self.open_count[e.name] -= 1
+        for key in e.keys:
+            self.open_keys[key] -= 1
         if e.gone or not self.stack:
             return
         flow = self.stack[-1].flow
@@ -481,7 +650,10 @@ class Page:
         if name == "title" and self.title is None:
             self.title = _SPACE.sub(" ", body).strip(" ")
         elif name == "style":
-            self.rules |= _style_rules(body)
+            if self.medium is not None and not self.known:
+                before = self.rules.count
+                self.rules.read(body, self.medium)
+                self.late = self.late or (self.begun and self.rules.count > before)
         elif name in ("textarea", "xmp", "plaintext"):
             self.text(body)
 
@@ -505,6 +677,9 @@ def render(source: str) -> tuple[str | None, str]:
     """Title and visible text of a page."""
     page = Page()
     page.feed(source)
+    if page.late:
+        page = Page(page.rules)
+        page.feed(source)
     return page.title, "\n".join(page.flow.done())
 
 

@@ -314,6 +314,45 @@ def test_render(page, text):
     assert render(page)[1].rstrip() == text
 
 
+@pytest.mark.parametrize(
+    ("sheet", "body", "text"),
+    [
+        ("@media print { .nav { display:none } }", "<p class=nav>a", "a"),
+        ("@media (max-width:600px) { .s { display:none } }", "<p class=s>a", "a"),
+        ("@media screen and (min-width:600px) { .s { display:none } } p{color:red}", "<p class=s>a<p>b", "b"),
+        ("@media not print { .s { display:none } }", "<p class=s>a<p>b", "b"),
+        ("@media (max-width:1500px) { .s { display:none } }", "<p class=s>a", "a"),
+        ("@media (min-width:40em) { .md\\:block { display:block } } .hide { display:none }", "<p class='hide md:block'>a<p class=hide>b", ""),
+        (".hide { display:none } @media (min-width:40em) { .md\\:block { display:block } }", "<p class='hide md:block'>a<p class=hide>b", "a"),
+        ("@supports (display:x) { .s { display:none } } @keyframes k { from { display:none } }", "<p class=s>a<from>b</from>", "ab"),
+        (".m { display:none } .m.open { display:block }", "<p class='m open'>a<p class=m>b", "a"),
+        (".m.open { display:block } .m { display:none }", "<p class='m open'>a<p class=m>b", "a"),
+        (".m { display:none } .m { display:block }", "<p class=m>a", "a"),
+        (".m { display:block } .m { display:none }", "<p class=m>a<p>b", "b"),
+        (".m { display:none }", "<p class=m style='display:block'>a", "a"),
+        (".m { display:none !important }", "<p class=m style='display:block'>a<p>b", "b"),
+        ("", "<p style='display:none;display:block'>a<p style='display:none'>b", "a"),
+        (".m { display:none } .top .m { display:block }", "<div class=top><p class=m>a</div><p class=m>b", "a"),
+        (".m { display:none } .m:hover { display:block }", "<p class=m>a<p>b", "b"),
+        (".m { display:none } .m:not(.x) { display:block }", "<p class=m>a", "a"),
+        ("[hidden] { display:none !important } .f { display:flex }", "<p class=f hidden>a<p class=f>b", "b"),
+        (".f { display:flex }", "<p class=f hidden>a<p hidden>b", "a"),
+        (".a { content:'}'; display:none } /* .b { display:none } */", "<p class=a>a<p class=b>b", "b"),
+        ("@layer x { #a { display:none } } p { display:block }", "<p id=a>a", "a"),
+        (".m { visibility:hidden } .m.on { visibility:visible }", "<p class='m on'>a<p class=m>b", "a"),
+        (".m { display:none }", "<p class=m>a<p>b<style>.m { display:block }</style>", "a\n\nb"),
+    ],
+)
+def test_render_style_sheets(sheet, body, text):
+    assert render(f"<style>{sheet}</style><body>{body}")[1].rstrip() == text
+
+
+def test_render_print_sheet_and_sheet_after_the_body():
+    assert render("<style media=print>p { display:none }</style><p>a")[1] == "a"
+    assert render("<p class=x>a<p>b<style>.x { display:none }</style>")[1] == "b"
+    assert render("<style>" + ".a { display:none }" * 20_000 + "</style>" + "<b class=a>x</b>" * 20_000 + "y")[1] == "y"
+
+
 def test_render_deep_and_long():
     assert render("<div>" * 50_000 + "x")[1] == "x"
     assert render("<b>" * 20_000 + "<p>" * 20_000 + "y")[1] == "y"

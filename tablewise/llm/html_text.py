@@ -10,6 +10,10 @@ Not visible, by element, attribute or style: head, scripts, styles, templates, e
 ``hidden``, ``display: none`` and ``visibility: hidden``, in ``style`` or in style sheets, as the cascade has them: importance,
 layer, specificity and order. Only rules that surely hold on an ordinary screen (``SCREEN``) hide: for selectors of one element,
 without combinators. Rules that may hold, for their medium or their selector, show what others hide, so that in doubt text stays.
+
+SVG and MathML are read by their own rules (``/>`` ends an element, HTML tags that cannot stand there end all). Shown are SVG
+``text`` and ``foreignObject``, each text apart, and the tokens of formulas with blanks between them; not titles, descriptions
+and annotations. Texts of definitions are shown where they stand if the page may refer to them.
 Columns over ``WIDEST`` characters are not padded, so one long cell does not widen every row; no text is cut.
 Work is linear in the page and uses no recursion, so depth and unclosed tags do no harm.
 
@@ -36,7 +40,7 @@ INDENT = "  "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea plaintext".split())
 HIDDEN = frozenset(
-    "head script style template title iframe noembed noframes object video audio canvas datalist rp svg math map "
+    "head script style template title iframe noembed noframes object video audio canvas datalist rp map "
     "area base link meta param source track col colgroup".split()
 )
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -51,7 +55,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 PREFORMATTED = frozenset("pre listing xmp plaintext textarea".split())
-SCOPE = frozenset("table td th caption html template object".split())
+# Foreign elements are named with their space; points are those that hold HTML or text.
+POINTS = frozenset("svg:foreignobject svg:desc svg:title math:mi math:mo math:mn math:ms math:mtext".split())
+TOKENS = frozenset("math:mi math:mo math:mn math:ms math:mtext".split())
+FOREIGN_HIDDEN = frozenset("svg:title svg:desc svg:metadata svg:style svg:script math:style math:script".split())
+DEFINITIONS = frozenset(("svg:defs", "svg:symbol"))
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+SCOPE = frozenset("table td th caption html template object math:annotation-xml".split()) | POINTS
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(\s*=\s*)?""")
@@ -73,8 +86,11 @@ _IMPLIED = frozenset("html body tbody".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
-def tokens(source: str):
-    """(kind, name, attributes or text): kinds are open, close and text. Comments are dropped."""
+def tokens(source: str, foreign=lambda: False):
+    """(kind, name, attributes or text): kinds are open, close, text, raw and data. Comments are dropped.
+
+    ``/`` is an attribute of tags that end in it; ``foreign`` tells whether the open element is one of SVG or MathML.
+    """
     at, end = 0, len(source)
     while at < end:
         tag = source.find("<", at)
@@ -88,6 +104,10 @@ def tokens(source: str):
             if source.startswith("<!--", tag):
                 stop = source.find("-->", tag + 2)
                 at = end if stop < 0 else stop + 3
+            elif source.startswith("<![CDATA[", tag) and foreign():
+                stop = source.find("]]>", tag)
+                yield "data", "", source[tag + 9 : stop if stop >= 0 else end]
+                at = end if stop < 0 else stop + 3
             elif source[tag + 1 : tag + 2] in ("!", "?", "/"):
                 stop = source.find(">", tag)
                 at = end if stop < 0 else stop + 1
@@ -97,6 +117,7 @@ def tokens(source: str):
             continue
         name, at = m.group(2).lower(), m.end()
         attributes: dict[str, str] = {}
+        bare = -1  # the end of a value without quotes, whose slash is its own
         while at < end and source[at] != ">":
             a = _ATTRIBUTE.match(source, at)
             at = a.end()
@@ -117,15 +138,18 @@ def tokens(source: str):
                     while stop < end and source[stop] not in " \t\n\f\r>":
                         stop += 1
                     value, at = source[at:stop], stop
+                    bare = stop
             attributes.setdefault((a.group(1) or "").lower(), html.unescape(value))
         if at >= end:
             return
+        if source[at - 1] == "/" and at != bare:
+            attributes["/"] = ""
         at += 1
         if m.group(1):
             yield "close", name, attributes
             continue
         yield "open", name, attributes
-        if name in RAW:
+        if name in RAW and not foreign():
             stop = None if name == "plaintext" else _RAW_END[name].search(source, at)
             body = source[at : stop.start()] if stop else source[at:]
             yield "raw", name, html.unescape(body) if name in ("title", "textarea") else body
@@ -161,6 +185,9 @@ class Flow:
         self.space = collapsed.endswith(" ")
 
     def preformatted(self, text: str) -> None:
+        if self.space and self.parts:
+            self.parts.append(" ")
+        self.space = False
         first, *rest = text.split("\n")
         if first:
             self.parts.append(first)
@@ -408,12 +435,13 @@ class Rules:
 
 
 class Element:
-    __slots__ = ("name", "gone", "shown", "flow", "table", "count", "step", "mark", "spans", "pre", "summary", "keys")
+    __slots__ = ("name", "gone", "shown", "flow", "table", "count", "step", "mark", "spans", "pre", "summary", "keys", "space", "drawn")
 
     def __init__(self, name, gone, shown, flow, pre):
         self.name, self.gone, self.shown, self.flow, self.pre = name, gone, shown, flow, pre
         self.table = self.count = self.mark = self.spans = None
         self.step, self.summary, self.keys = 1, False, ()
+        self.space, self.drawn = "", True  # svg, math or HTML; whether its text is shown
 
 
 class Page:
@@ -427,6 +455,8 @@ class Page:
         self.medium: str | None = ""  # of the style sheet that is open
         self.begun = self.late = False  # late: rules came after elements they may be meant for
         self.open_keys: dict[str, int] = {}
+        self.sheet: list[str] = []
+        self.source, self.refers, self.first_token = "", None, True
         self.title: str | None = None
 
     # --- tree -----------------------------------------------------------------------------------
@@ -447,13 +477,16 @@ class Page:
         self.pop()
 
     def feed(self, source: str) -> None:
-        for kind, name, value in tokens(source):
+        self.source = source
+        for kind, name, value in tokens(source, lambda: self.stack[-1].space != ""):
             if kind == "open":
                 self.open(name, value)
             elif kind == "close":
                 self.close(name)
             elif kind == "raw":
                 self.raw(name, value)
+            elif kind == "data":
+                self.text(value)
             else:
                 self.text(html.unescape(value))
         while len(self.stack) > 1:
@@ -461,12 +494,21 @@ class Page:
 
     def open(self, name: str, attributes: dict[str, str]) -> None:
         top = self.stack[-1]
+        if top.space and not self.holds_html(top, name):
+            if name not in LEAVES and not (name == "font" and attributes.keys() & {"color", "face", "size"}):
+                self.push_foreign(top.space, name, attributes)
+                return
+            self.leave()
+            top = self.stack[-1]
         if name in ("html", "body") and (name == "html" or self.open_count.get("body")):
             for key in self.keys(name, attributes):
                 self.open_keys[key] = self.open_keys.get(key, 0) + 1
             return
         if top.name == "head" and name not in HEAD:
             self.pop()
+        if name in ("svg", "math"):
+            self.push_foreign(name, name, attributes)
+            return
         if name in ENDS_P and self.has("p", SCOPE):
             self.close_to("p")
         if name == "li" and self.has("li", SCOPE | LISTS):
@@ -499,6 +541,86 @@ class Page:
                 return
             self.pop()
 
+    # --- SVG and MathML -------------------------------------------------------------------------
+
+    @staticmethod
+    def holds_html(top: Element, name: str) -> bool:
+        """Whether a tag in a foreign element is read as HTML."""
+        if top.name == "math:annotation-xml":
+            return name == "svg" or top.mark == "html"
+        return top.name in POINTS and not (top.space == "math" and name in ("mglyph", "malignmark"))
+
+    def leave(self) -> None:
+        while self.stack[-1].space and not self.holds_html(self.stack[-1], ""):
+            self.pop()
+
+    def push_foreign(self, space: str, local: str, attributes: dict[str, str]) -> None:
+        top, name = self.stack[-1], f"{space}:{local}"
+        keys = self.keys(local, attributes) if self.rules.by_key else ()
+        gone, shown = self.visible(top, name, attributes, keys)
+        if top.name in ("svg:switch", "math:semantics", "math:maction"):  # one of the children is shown
+            gone = gone or top.summary
+            top.summary = top.summary or not attributes.keys() & {"systemlanguage", "requiredextensions"}
+        elif local in ("annotation", "annotation-xml"):
+            gone = True
+        if name in DEFINITIONS and not gone:
+            if self.refers is None:
+                self.refers = re.search(r"<use[\s/>]|url\(\s*[\"']?#", self.source, re.I) is not None
+            gone = not self.refers
+        e = Element(name, gone or name in FOREIGN_HIDDEN, shown and name != "math:mphantom", top.flow, False)
+        e.space, e.keys = space, keys
+        e.drawn = space == "math" or local in ("text", "foreignobject") or (local != "svg" and top.drawn and top.space == "svg" and top.name not in POINTS)
+        for key in keys:
+            self.open_keys[key] = self.open_keys.get(key, 0) + 1
+        if local == "style":
+            self.style(attributes)
+        elif name == "math:annotation-xml" and attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml"):
+            e.mark = "html"
+        self.begun = True
+        self.stack.append(e)
+        self.open_count[name] = self.open_count.get(name, 0) + 1
+        if not e.gone:
+            if name == "math:math":
+                self.first_token = True
+                if attributes.get("display", "").lower() == "block":
+                    e.mark = "block"
+                    e.flow.line()
+            elif name in TOKENS:
+                e.flow.space = e.flow.space or not self.first_token
+                self.first_token = False
+            elif name in ("svg:text", "svg:foreignobject") or (name == "svg:tspan" and attributes.keys() & {"x", "y", "dx", "dy"}):
+                e.flow.space = True
+        if "/" in attributes:
+            self.pop()
+
+    def close_foreign(self, name: str) -> bool:
+        """Whether an end tag is one of the foreign elements that are open."""
+        if name in ("p", "br") and not self.holds_html(self.stack[-1], ""):
+            self.leave()
+            return False
+        if self.open_count.get("svg:" + name) or self.open_count.get("math:" + name):
+            for e in reversed(self.stack):
+                if not e.space:
+                    return False
+                if e.name == f"{e.space}:{name}":
+                    while self.stack[-1] is not e:
+                        self.pop()
+                    self.pop()
+                    return True
+        return False
+
+    # --- elements -------------------------------------------------------------------------------
+
+    def style(self, attributes: dict[str, str]) -> None:
+        kind = attributes.get("type", "").strip().lower()
+        self.medium = attributes.get("media", "") if kind in ("", "text/css") and not self.open_count.get("template") else None
+
+    def read_sheet(self, sheet: str) -> None:
+        if self.medium is not None and not self.known:
+            before = self.rules.count
+            self.rules.read(sheet, self.medium)
+            self.late = self.late or (self.begun and self.rules.count > before)
+
     def push(self, name: str, attributes: dict[str, str]) -> None:
         top = self.stack[-1]
         keys = self.keys(name, attributes) if self.rules.by_key else ()
@@ -508,8 +630,7 @@ class Page:
         for key in keys:
             self.open_keys[key] = self.open_keys.get(key, 0) + 1
         if name == "style":
-            kind = attributes.get("type", "").strip().lower()
-            self.medium = attributes.get("media", "") if kind in ("", "text/css") and not self.open_count.get("template") else None
+            self.style(attributes)
         self.begun = self.begun or not (name == "head" or name in HEAD)
         self.stack.append(e)
         self.open_count[name] = self.open_count.get(name, 0) + 1
@@ -565,6 +686,10 @@ class Page:
         if not attributes and not keys:
             return gone or name == "dialog", shown
         best: dict[str, tuple] = {}
+        if name.startswith("svg:"):
+            for what in ("display", "visibility"):
+                if value := attributes.get(what, "").strip().lower():
+                    best[what] = ((False, False, -1, 0, 0, 0, 0), value)
         for key in (*keys, "*") if keys else ():
             for (need, above, what, *_), found in self.rules.by_key.get(key, {}).items():
                 if need <= keys and (what not in best or found > best[what]) and all(self.open_keys.get(k) for k in above):
@@ -577,7 +702,7 @@ class Page:
                     best[what] = found
         if "display" in best:
             gone = gone or best["display"][1] == "none"
-        else:
+        elif ":" not in name:
             gone = gone or "hidden" in attributes or (name == "dialog" and "open" not in attributes)
         visibility = best["visibility"][1] if "visibility" in best else ""
         if visibility in ("hidden", "collapse", "visible", "initial"):
@@ -600,6 +725,15 @@ class Page:
         self.open_count[e.name] -= 1
         for key in e.keys:
             self.open_keys[key] -= 1
+        if e.space:
+            if e.name.endswith(":style"):
+                self.read_sheet("".join(self.sheet))
+                self.sheet = []
+            elif not e.gone and e.mark == "block":
+                e.flow.line()
+            elif not e.gone and e.name in ("svg:text", "svg:foreignobject"):
+                e.flow.space = True
+            return
         if e.gone or not self.stack:
             return
         flow = self.stack[-1].flow
@@ -627,6 +761,8 @@ class Page:
             flow.line()
 
     def close(self, name: str) -> None:
+        if self.stack[-1].space and self.close_foreign(name):
+            return
         if name in ("html", "body"):
             return
         if name == "br":
@@ -650,10 +786,7 @@ class Page:
         if name == "title" and self.title is None:
             self.title = _SPACE.sub(" ", body).strip(" ")
         elif name == "style":
-            if self.medium is not None and not self.known:
-                before = self.rules.count
-                self.rules.read(body, self.medium)
-                self.late = self.late or (self.begun and self.rules.count > before)
+            self.read_sheet(body)
         elif name in ("textarea", "xmp", "plaintext"):
             self.text(body)
 
@@ -662,7 +795,11 @@ class Page:
         if top.name == "head" and text.strip():
             self.pop()
             top = self.stack[-1]
-        if top.gone or not top.shown or (top.name == "details" and top.mark == "closed"):
+        if top.name in ("svg:style", "math:style"):
+            self.sheet.append(text)
+        if top.space == "math" and top.name not in TOKENS and not text.strip():
+            return
+        if top.gone or not top.shown or not top.drawn or (top.name == "details" and top.mark == "closed"):
             return
         text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
         if top.pre:

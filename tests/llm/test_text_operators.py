@@ -353,6 +353,44 @@ def test_render_print_sheet_and_sheet_after_the_body():
     assert render("<style>" + ".a { display:none }" * 20_000 + "</style>" + "<b class=a>x</b>" * 20_000 + "y")[1] == "y"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><svg width='1'/> a", "a"),
+        ("<svg/>a<p>b", "a\n\nb"),
+        ("<math/>a<p>b", "a\n\nb"),
+        ("<body>a <svg viewBox='0 0 1 1'><path d='M0'/><g/></svg> b<p>c", "a b\n\nc"),
+        ("<svg><g><path d='M0'><div>a</div>b", "a\nb"),
+        ("<svg><text>left</text><text>right</text></svg>end", "left right end"),
+        ("<svg><text>one<tspan> two</tspan><tspan x=1>three</tspan></text> stray</svg>", "one two three"),
+        ("<svg><title>t</title><desc>d</desc><text>x</text></svg>y", "x y"),
+        ("<title>page</title><svg><title/><style/><script/></svg>a", "a"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"),
+        ("<svg><switch><foreignObject>a</foreignObject><text>b</text></switch></svg>", "a"),
+        ("<svg><text display=none>a</text><text style='display:none'>b</text><text>c</text></svg>", "c"),
+        ("<svg><style>.k { display:none }</style><text class=k>a</text></svg><p class=k>b<p>c", "c"),
+        ("<svg><style><![CDATA[ .k > b { } .k { display:none } ]]></style></svg><p class=k>b<p>c", "c"),
+        ("<svg><symbol><text>a</text></symbol></svg>b", "b"),
+        ("<svg><symbol id=s><text>a</text></symbol><use href='#s'/></svg>b", "a b"),
+        ("<svg><td>x</td><li>y<table><tr><td>z</table>", "- y\n  z"),
+        ("So <math><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></math>, then", "So x = 1 2, then"),
+        ("<math><semantics><mi>x</mi><annotation>TeX</annotation></semantics></math> y", "x y"),
+        ("<math><mtext>if <b>all</b></mtext><mspace/><mi>x</mi></math>", "if all x"),
+        ("a<math display=block><mi>x</mi></math>b", "a\nx\nb"),
+        ("<math><mphantom><mi>p</mi></mphantom><mi>q</mi></math>", "q"),
+        ("<p>a<math><mi>x</p>b", "ax\n\nb"),
+        ("<div/>a<svg class=x />b", "ab"),
+    ],
+)
+def test_render_svg_and_math(page, text):
+    assert render(page)[1].strip() == text
+
+
+def test_render_svg_title_is_not_the_title():
+    assert render("<svg><title>t</title></svg><p>a")[0] is None
+    assert render("<svg>" * 50_000 + "<p>x" + "</g>" * 50_000)[1] == "x"
+
+
 def test_render_deep_and_long():
     assert render("<div>" * 50_000 + "x")[1] == "x"
     assert render("<b>" * 20_000 + "<p>" * 20_000 + "y")[1] == "y"

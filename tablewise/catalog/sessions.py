@@ -14,7 +14,7 @@ from tablewise.catalog.dirt import COLUMNS, DIRTY_SQL, dirty_orders
 from tablewise.functions import names, rules
 from tablewise.operators import charts, insights
 from tablewise.plans import report, run, sqlaccess
-from tablewise.session import configure, work_folder
+from tablewise.session import configure, stage, work_folder
 from tablewise.sources import archives, files
 from tablewise.sources.mart import Mart
 from tablewise.sources.metadata import MetadataStore, latest_sessions, session_list, unseen
@@ -211,10 +211,14 @@ def session_names(spark, folder):
 def notification_list(spark, folder):
     """The notices of a session, newest first, before and after they are marked as read."""
     store = _notice_store(spark, folder)
-    fresh = store.notifications("s2").select(F.lit("before").alias("at"), "title", "read")
-    fresh = spark.createDataFrame(fresh.collect(), fresh.schema)
+
+    def listed(at):
+        return store.notifications("s2").select(F.lit(at).alias("at"), "title", "read", "created_at")
+
+    fresh = stage(listed("before"), "notices")  # written before they are marked
     store.mark_read("s2")
-    return fresh.unionByName(store.notifications("s2").select(F.lit("after").alias("at"), "title", "read"))
+    both = fresh.unionByName(listed("after"))
+    return both.orderBy(F.desc("at"), F.desc("created_at"), F.desc("title")).drop("created_at")
 
 
 def alert_history(spark, folder):

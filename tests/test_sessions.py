@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tablewise.catalog import sessions
 from tablewise.operators import insights
 from tablewise.operators.filters import DashboardFilters
 from tablewise.plans import report, run, sqlaccess
@@ -76,6 +77,20 @@ def test_alerts_are_notified_once(upload):
     assert all(r["read"] for r in store.notifications(done.session_id).collect())
 
 
+def test_notices_of_a_session_stay_off_the_driver(spark, folder, monkeypatch):
+    def collect(df):
+        raise AssertionError("rows on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "collect", collect)
+        notices = sessions.notification_list(spark, folder)
+    rows = notices.collect()
+    half = len(rows) // 2
+    assert half and [r["at"] for r in rows] == ["before"] * half + ["after"] * half
+    assert [r["read"] for r in rows] == [False] * half + [True] * half
+    assert [r["title"] for r in rows[:half]] == [r["title"] for r in rows[half:]]
+
+
 def test_report(upload):
     store, done = upload
     sections = report.report_tables(store, done.session_id, done.tables, done.types, done.charts)

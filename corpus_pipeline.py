@@ -5,8 +5,8 @@ again, so a lost executor costs a part of one stage. All but the last return the
 
 1. toxicity: documents that the classifier (trained from the labels of the given folder) scores 0.5 or more go.
 2. line dedup: lines of three or more documents stay in one of them; ``n_chars`` follows the text.
-3. N-gram Jaccard join: of documents linked by five-word shingles at 0.8 or more the smallest doc_id stays. Rows
-   that share an id stay or go together; rows without an id stay.
+3. N-gram Jaccard join: of rows linked by five-word shingles at 0.8 or more one stays, that of the smallest doc_id;
+   rows without an id come last, and of rows that repeat with one id the first written stays.
 4. benchmark decontamination: documents that hold a leak of a test item go.
 5. BPE: ids of every text left, their number and the text they decode to.
 """
@@ -33,9 +33,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.link(docs, width=5, percent=80)
-    extra = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard_join.link(rows, width=5, percent=80, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    extra = groups.join(first.select("first.__row"), "__row", "left_anti").select("__row")
+    return rows.join(extra, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,3 +324,14 @@ def test_pipeline_stages_on_odd_rows(spark, folder):
         for name, work in corpus_pipeline.STAGES:
             out = work(spark, table, folder)
             assert out.count() == table.count(), name
+
+
+def test_one_row_of_near_copies_stays(spark):
+    a, b, c, d, e = (" ".join(_words(60, 700 + i)) for i in range(5))
+    near = a.rsplit(" ", 2)[0] + " x"
+    rows = [(2, near), (1, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, e), (5, e), (None, "alone here"), (4, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (None, d), (5, e), (None, "alone here"), (4, "")]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontaminate, features, html_text, jaccard_join, line_dedup, quality, shard_tree, token_files, topk, toxicity
+from tablewise.llm import bpe, decontaminate, features, html_text, jaccard_join, line_dedup, quality, shard_tree, spelling, token_files, topk, toxicity
 from tablewise.llm.common import documents, work_folder
 
 
@@ -92,5 +92,40 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-SQL: dict[str, str] = {"op4_topk": OP4_SQL}
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.group(spelling.words_of(documents(spark, sf_dir), every=31))
+
+
+OP13_SQL = """
+WITH RECURSIVE
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]{7,}')) AS run FROM documents),
+l AS (SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM r GROUP BY ALL),
+k AS (SELECT row_number() OVER () AS id, w, n,
+        flatten(list_transform(string_split(doc || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b
+      FROM l),
+tab AS (SELECT range AS i, 0 AS k, CAST(range AS BIGINT) AS c FROM range(256)
+        UNION ALL SELECT i, k + 1, CAST(xor(c >> 1, 3988292384 * (c & 1)) AS BIGINT) FROM tab WHERE k < 8),
+t8 AS (SELECT i, c FROM tab WHERE k = 8),
+crc AS (SELECT id, 0 AS j, 4294967295::BIGINT AS c FROM k
+        UNION ALL SELECT crc.id, j + 1, CAST(xor(crc.c >> 8, t8.c) AS BIGINT)
+        FROM crc JOIN k USING (id) JOIN t8 ON t8.i = xor(crc.c, k.b[j + 1]) & 255 WHERE j < len(k.b)),
+h AS (SELECT k.w, k.n, xor(crc.c, 4294967295) AS h FROM k JOIN crc ON crc.id = k.id AND crc.j = len(k.b)),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS w, n FROM h),
+v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+s AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT word, n, i, word[: i - 1] AS a, word[i + 1 :] AS z FROM s),
+pairs AS (
+  SELECT x.word, x.n, y.word AS o, y.n AS o_n FROM cut x JOIN cut y ON x.a = y.a AND x.z = y.z AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON v.word = c.a || c.z
+  UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON v.word = c.a || c.z),
+near AS (SELECT word, count(*) AS n_near, arg_min(o, {'a': -o_n, 'b': encode(o)}) AS o, max(o_n) AS o_n FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN o_n >= 10 * n THEN o END AS form, CASE WHEN o_n >= 10 * n THEN o_n END AS form_n
+      FROM v LEFT JOIN near USING (word)),
+way AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM f
+        UNION ALL SELECT way.word, coalesce(f.form, f.word), f.form IS NOT NULL FROM way JOIN f ON f.word = way.root WHERE more)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN way ON way.word = f.word AND NOT more
+"""
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op13_spelling_variants": op13_spelling_variants}
+SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op13_spelling_variants": OP13_SQL}

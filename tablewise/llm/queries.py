@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontaminate, features, html_text, jaccard_join, line_dedup, quality, shard_tree, spelling, token_files, topk, toxicity
+from tablewise.llm import bpe, decontaminate, embedding_dedup, features, html_text, jaccard_join, line_dedup, quality, shard_tree, spelling, token_files, topk, toxicity
 from tablewise.llm.common import documents, work_folder
 
 
@@ -92,6 +92,27 @@ def op10_bpe(spark, sf_dir):
     )
 
 
+def op12_embedding_dedup(spark, sf_dir):
+    out = embedding_dedup.near_duplicates(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+OP12_SQL = """
+WITH RECURSIVE
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling.group(spelling.words_of(documents(spark, sf_dir), every=31))
 
@@ -127,5 +148,5 @@ SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS B
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op13_spelling_variants": op13_spelling_variants}
-SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op13_spelling_variants": OP13_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op12_embedding_dedup": op12_embedding_dedup, "op13_spelling_variants": op13_spelling_variants}
+SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op12_embedding_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, decontaminate, embedding_dedup, features, html_text, jaccard_join, line_dedup, quality, shard_tree, spelling, token_files, topk, toxicity
-from tablewise.llm.common import documents, work_folder
+from tablewise.llm import bpe, decontaminate, embedding_dedup, features, html_text, jaccard_join, line_dedup, quality, shard_tree, spelling, token_align, token_files, topk, toxicity
+from tablewise.llm.common import documents, stage, work_folder
 
 
 def word_tokenizer() -> str:
@@ -92,6 +92,17 @@ def op10_bpe(spark, sf_dir):
     )
 
 
+def op11_token_align(spark, sf_dir):
+    import public_tokenizers
+
+    ranks, json, model = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+    out = token_align.align(documents(spark, sf_dir).select("doc_id", "text"), ranks, json, model, public_tokenizers.PATTERN)
+    out = out.withColumn("groups_sha256", token_align.digest(F.col("groups"))).drop("text", "groups")
+    out = stage(out.withColumn("row", F.monotonically_increasing_id()), "token-align")
+    sums = token_align.counted(out, *token_align.sizes(ranks, model), row="row")
+    return out.drop("pairs", "times").join(sums, "row").drop("row")
+
+
 def op12_embedding_dedup(spark, sf_dir):
     out = embedding_dedup.near_duplicates(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
     return out.select("vec_id", "n_links", "component_id", "kept")
@@ -148,5 +159,5 @@ SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS B
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op12_embedding_dedup": op12_embedding_dedup, "op13_spelling_variants": op13_spelling_variants}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_shard_tree": op2_shard_tree, "op3_token_files": op3_token_files, "op4_topk": op4_topk, "op5_html_text": op5_html_text, "op6_jaccard_join": op6_jaccard_join, "op7_toxicity": op7_toxicity, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_bpe": op10_bpe, "op11_token_align": op11_token_align, "op12_embedding_dedup": op12_embedding_dedup, "op13_spelling_variants": op13_spelling_variants}
 SQL: dict[str, str] = {"op4_topk": OP4_SQL, "op12_embedding_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}

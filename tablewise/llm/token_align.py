@@ -400,7 +400,7 @@ def counted(aligned: DataFrame, size_a: int, size_b: int, row: str, heavy: int =
     rest = looked.filter("pair is not null").select("row", "pair", "times").join(rare, "pair")
     rest = rest.select("row", (F.col("times") * F.col("best")).alias("n_best"), (F.col("times") * F.col("n")).alias("count_sum"))
     both = looked.filter("pair is null").select("row", "n_best", "count_sum").unionByName(rest)
-    return both.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return both.groupBy(F.col("row").alias(row)).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def sizes(ranks: str, model: str) -> tuple[int, int]:

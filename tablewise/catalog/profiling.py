@@ -43,6 +43,7 @@ RAW = {
     "pages": ("page_id:whole", "url:text", "html:text"),
     "conversations": ("conv_id:whole", "turn:whole", "role:text", "text:text"),
     "benchmark": ("item_id:whole", "text:text"),
+    "embeddings": ("vec_id:whole", "embedding:list", "label:whole"),
 }
 KEYED = {
     "keyed_orders": (
@@ -216,8 +217,29 @@ def filter_metadata(spark, folder):
     return fields.withColumn("values", F.array_join("values", "|"))
 
 
+def filter_values(spark, folder):
+    tables = {t: read_table(spark, folder, t) for t in RAW}
+    frames = per_table(
+        lambda name, df: prof.filter_values(df, name, prof.profile_table(df, name, samples=False)), tables
+    )
+    return reduce(lambda a, b: a.unionByName(b), frames.values())
+
+
+def _values_sql() -> str:
+    """Every value of every column, of which the category columns are kept."""
+    lists = [
+        f"SELECT DISTINCT '{t}' AS table_name, '{spec.split(':')[0]}' AS column_name, CAST(\"{spec.split(':')[0]}\" AS VARCHAR) AS value FROM {t}"
+        for t, specs in RAW.items() for spec in specs if spec.endswith(":text")
+    ]
+    return (
+        "WITH " + _types_sql(RAW) + ",\nlists AS (" + "\nUNION ALL ".join(lists) + ")\n"
+        "SELECT table_name AS \"table\", column_name AS \"column\", value FROM typed JOIN lists USING (table_name, column_name)"
+        " WHERE detected_type = 'category' AND value IS NOT NULL"
+    )
+
+
 def schema_nested(spark, folder):
-    frames = [_profile(read_table(spark, folder, t), t) for t in ("orders", "customer", "part", "events")]
+    frames = [_profile(read_table(spark, folder, t), t) for t in RAW]
     nested = prof.nested_schema(reduce(lambda a, b: a.unionByName(b), frames))
     text = F.transform(
         "columns", lambda c: F.concat_ws(":", c["column_order"].cast("string"), c["column_name"], c["detected_type"])
@@ -259,7 +281,7 @@ def null_quality(spark, folder):
     return plain(stats.select("column_name", "null_count", "null_percent", points.alias("points")))
 
 
-OUTLIER_TABLES = ("customer", "orders", "lineitem", "part", "events")
+OUTLIER_TABLES = tuple(RAW)
 
 
 def _score_tables(spark, folder):
@@ -371,7 +393,7 @@ def _with_scores(body: str) -> str:
     return "WITH " + ",\n".join([DIRTY_SQL, _types_sql(_OUTLIER_SPECS), _outlier_sql(), _SCORES]) + body
 
 
-_FILTER_TABLES = {t: RAW[t] for t in ("orders", "lineitem", "events", "customer")}
+_FILTER_TABLES = RAW
 
 
 def _filter_sql() -> str:
@@ -394,12 +416,12 @@ def _filter_sql() -> str:
         "WITH " + _types_sql(_FILTER_TABLES) + ",\nlists AS (" + "\nUNION ALL ".join(values) + ")\n"
         + "\nUNION ALL ".join(dates)
         + "\nUNION ALL SELECT t.table_name, t.column_name, 'category', NULL, NULL, l.vs FROM typed t"
-        " JOIN lists l ON t.table_name = l.table_name AND t.column_name = l.column_name"
-        " WHERE t.detected_type = 'category' AND t.uniq <= 50"
+        " LEFT JOIN lists l ON t.table_name = l.table_name AND t.column_name = l.column_name AND t.uniq <= 50"
+        " WHERE t.detected_type = 'category'"
     )
 
 
-_NESTED_TABLES = {t: RAW[t] for t in ("orders", "customer", "part", "events")}
+_NESTED_TABLES = RAW
 
 QUERIES = {
     **{
@@ -413,6 +435,7 @@ QUERIES = {
         + "\nSELECT table_name, column_name, detected_type FROM typed",
     ),
     "filter_metadata": (filter_metadata, _filter_sql()),
+    "filter_values": (filter_values, _values_sql()),
     "schema_nested": (
         schema_nested,
         "WITH " + _types_sql(_NESTED_TABLES) + """

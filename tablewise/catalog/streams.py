@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, plain
@@ -9,6 +11,8 @@ from tablewise.catalog.sessions import requests
 from tablewise.session import configure, work_folder
 from tablewise.sources.tables import read_table
 from tablewise.streaming import jobs
+from tablewise.streaming.first_event import first_event_windows
+from tablewise.streaming.late import split_late
 
 DELAY = "1 day"
 
@@ -43,8 +47,52 @@ def stream_rate_flags(spark, folder):
     return plain(_finish(jobs.aligned_limit(_timed(spark, folder), "ts", "user_id", 2, "6 hours"), "limits"))
 
 
+def _rate_windows(events, spark, **how):
+    state = work_folder(spark, "windows-state")
+    day = dt.timedelta(days=1)
+    return plain(first_event_windows(events, "ts", "user_id", 2, day, day, state, **how))
+
+
 def stream_rate_windows(spark, folder):
-    return plain(_finish(jobs.first_event_limit(_timed(spark, folder), "ts", "user_id", 2, 86_400), "windows"))
+    return _rate_windows(_events(spark, folder), spark)
+
+
+def _arrivals(spark, folder, arrival, run):
+    """The events in three arrivals, each followed by a run of the same job on all that is there."""
+    configure(spark)
+    events = read_table(spark, folder, "events")
+    path = work_folder(spark, "arrivals")
+    for number in range(3):
+        events.filter(arrival == number).write.mode("append").parquet(path)
+        out = run(jobs.file_stream(spark, path, events.schema))
+    return out
+
+
+def stream_late_rows(spark, folder):
+    """Rows in time and late rows per type, and how late they came: together they are the input."""
+    path, state = work_folder(spark, "late"), work_folder(spark, "late-state")
+
+    def run(stream):
+        return split_late(stream, "ts", dt.timedelta(days=20), path, state)
+
+    in_time, late = _arrivals(spark, folder, F.col("event_id") % 3, run)
+    counted = in_time.groupBy("event_type").agg(F.count(F.lit(1)).alias("in_time"))
+    behind = late.groupBy("event_type").agg(F.count(F.lit(1)).alias("late"), F.min("late_by_us").alias("least_us"), F.max("late_by_us").alias("most_us"))
+    return plain(counted.join(behind, "event_type", "full"))
+
+
+def stream_rate_windows_by_arrival(spark, folder):
+    """Limit windows closed by the watermark alone, over events that arrive up to 23 hours out of order."""
+    root, state = work_folder(spark, "arrival-windows"), work_folder(spark, "arrival-windows-state")
+    day = dt.timedelta(days=1)
+
+    def run(stream):
+        return first_event_windows(stream, "ts", "user_id", 2, day, day, state, root, by_successor=False)
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = read_table(spark, folder, "events").agg(F.min(us), F.max(us)).first()
+    came = us + F.col("event_id") % 24 * 3_600_000_000
+    return plain(_arrivals(spark, folder, F.floor((came - low) / ((high - low + 86_400_000_000) / 3)), run))
 
 
 def stream_request_log(spark, folder):
@@ -54,11 +102,11 @@ def stream_request_log(spark, folder):
 
 def stream_alert_dedupe(spark, folder):
     alerts = _events(spark, folder).filter("event_type = 'error'").select(
-        F.concat(F.lit("u"), "user_id").alias("session_id"), F.lit("business_alert_low").alias("event_type"),
+        "ts", F.concat(F.lit("u"), "user_id").alias("session_id"), F.lit("business_alert_low").alias("event_type"),
         F.lit("Errors seen").alias("title"), F.get_json_object("props", "$.k").alias("message"),
     )
     keys = ("session_id", "event_type", "title", "message")
-    return jobs.alerts_once(alerts, work_folder(spark, "alerts"), work_folder(spark, "alerts-state"), keys)
+    return jobs.alerts_once(alerts, work_folder(spark, "alerts"), work_folder(spark, "alerts-state"), keys, time="ts")
 
 
 def stream_incremental_load(spark, folder):
@@ -110,6 +158,27 @@ counted AS (SELECT w.user_id, w.s, w.next, COUNT(*) AS n FROM ends w JOIN events
 SELECT CAST(user_id AS VARCHAR) AS user_id, s AS window_start, {big("n")} AS requests,
   {big("GREATEST(0, n - 2)")} AS rejected
 FROM counted WHERE next IS NOT NULL OR s + INTERVAL 1 DAY <= {_CLOSED}""",
+    ),
+    "stream_rate_windows_by_arrival": (
+        stream_rate_windows_by_arrival,
+        f"""WITH RECURSIVE mark AS (SELECT date_trunc('milliseconds', MAX(ts)) - INTERVAL 1 DAY AS t FROM events),
+w AS (
+  SELECT user_id, MIN(ts) AS s FROM events GROUP BY user_id
+  UNION ALL
+  SELECT w.user_id, MIN(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 1 DAY
+  WHERE w.s + INTERVAL 1 DAY <= (SELECT t FROM mark) GROUP BY w.user_id, w.s)
+SELECT CAST(w.user_id AS VARCHAR) AS user_id, s AS window_start, {big("COUNT(*)")} AS requests, {big("GREATEST(0, COUNT(*) - 2)")} AS rejected
+FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.s + INTERVAL 1 DAY
+WHERE s + INTERVAL 1 DAY <= (SELECT t FROM mark) GROUP BY w.user_id, w.s""",
+    ),
+    "stream_late_rows": (
+        stream_late_rows,
+        f"""WITH a AS (SELECT *, event_id % 3 AS arrival FROM events),
+newest AS (SELECT arrival, MAX(ts) AS ts FROM a GROUP BY arrival),
+marked AS (SELECT a.*, (SELECT date_trunc('milliseconds', MAX(n.ts)) - INTERVAL 20 DAY FROM newest n WHERE n.arrival < a.arrival) AS mark FROM a),
+late AS (SELECT event_type, coalesce(ts < mark, false) AS late, epoch_us(mark) - epoch_us(ts) AS by_us FROM marked)
+SELECT event_type, {big("COUNT(*) FILTER (NOT late)")} AS in_time, {big("COUNT(*) FILTER (late)")} AS late,
+  {big("MIN(by_us) FILTER (late)")} AS least_us, {big("MAX(by_us) FILTER (late)")} AS most_us FROM late GROUP BY event_type""",
     ),
     "stream_request_log": (
         stream_request_log,

@@ -72,7 +72,7 @@ def packed_column(df: DataFrame, column: str) -> DataFrame:
         for batch in batches:
             yield packed([batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)])
 
-    return df.select(column).mapInArrow(run, ROWS)
+    return df.select(column).mapInArrow(texts.lean(run), ROWS)
 
 
 def build(rows: DataFrame, twice: bool) -> Filter:
@@ -103,6 +103,6 @@ def build(rows: DataFrame, twice: bool) -> Filter:
 
     sliced = rows.repartition(SLICES, "slice").sortWithinPartitions("slice").select("slice", "several", "hashes")
     out = np.zeros(bits // 8, np.uint8)
-    for r in sliced.mapInArrow(run, "slice int, bits binary").toLocalIterator():
+    for r in sliced.mapInArrow(texts.lean(run), "slice int, bits binary").toLocalIterator():
         out[r["slice"] * slice_bits // 8 : (r["slice"] + 1) * slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return Filter(slice_bits, out)

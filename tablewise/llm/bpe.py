@@ -243,7 +243,7 @@ def _mapped(df: DataFrame, column: str, added: list[T.StructField], work: Callab
                 kept = [batch.column(i).slice(row, end - row) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[f.name for f in schema])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(texts.lean(run), schema)
 
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)

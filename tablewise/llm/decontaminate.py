@@ -139,7 +139,7 @@ def _counted(docs: DataFrame, items) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[used].view(np.int64)), pa.array(total[used])], names=["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(texts.lean(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in rows.collect()}  # at most the n-grams of the block
 
 
@@ -203,7 +203,7 @@ def _found(df: DataFrame, items, text: str) -> DataFrame:
             columns[place] = pa.array(leaks, kind)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(texts.lean(run), schema)
 
 
 def find_leaks(

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewise.llm import texts
 from tablewise.llm.common import stage, without
 from tablewise.llm.jaccard_join import _joined
 
@@ -84,7 +85,7 @@ def _named(df: DataFrame, vector: str, kept: list[str]) -> DataFrame:
                 names.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if usable else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(texts.lean(run), schema)
 
 
 def _keyed(classes: DataFrame, numbers: list[int]) -> DataFrame:
@@ -114,7 +115,7 @@ def _keyed(classes: DataFrame, numbers: list[int]) -> DataFrame:
                             names=["pass", "dim", "key", "id", "v"],
                         )
 
-    return classes.select("id", "v").mapInArrow(run, f"pass int, dim int, key bigint, id bigint, v {element}")
+    return classes.select("id", "v").mapInArrow(texts.lean(run), f"pass int, dim int, key bigint, id bigint, v {element}")
 
 
 def spanning(x: np.ndarray, y: np.ndarray, reach: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def _windows(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
         if held is not None:
             yield borders(2, held)
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(texts.lean(run), schema)
 
 
 def _compared(held: pa.RecordBatch | None, now: pa.RecordBatch, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +246,7 @@ def _centres(members: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t.tolist() for t in total.values()])], names=["root", "part"])
 
-    parts = members.select("root", "v").mapInArrow(sums, "root bigint, part array<double>")
+    parts = members.select("root", "v").mapInArrow(texts.lean(sums), "root bigint, part array<double>")
     add = F.aggregate(F.collect_list("part"), F.expr("cast(array() as array<double>)"), lambda t, p: F.zip_with(t, p, lambda x, y: F.coalesce(x, F.lit(0.0)) + y))
     return parts.groupBy("root").agg(add.alias("centre"))  # one row for each task and component
 
@@ -270,7 +271,7 @@ def _ringed(members: DataFrame) -> DataFrame:
                 ring[rows] = np.minimum(angle / math.pi * RINGS, RINGS - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ring)], names=["root", "id", "copies", "v", "ring"])
 
-    return joined.mapInArrow(run, f"root bigint, id bigint, copies bigint, v {element}, ring int")
+    return joined.mapInArrow(texts.lean(run), f"root bigint, id bigint, copies bigint, v {element}, ring int")
 
 
 def _large_counts(members: DataFrame, threshold: float) -> DataFrame:

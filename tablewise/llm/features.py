@@ -97,7 +97,7 @@ def featured(rows: DataFrame, extract, carried: list[str]) -> DataFrame:
                 kept = [batch.column(i).slice(row, end - row) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(words.astype(np.int64))], names=[*carried, "features", "words"])
 
-    return rows.select(*carried, "text").mapInArrow(run, schema)
+    return rows.select(*carried, "text").mapInArrow(texts.lean(run), schema)
 
 
 def sparse(features: np.ndarray, words: int, power: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,4 +125,4 @@ def scored(df: DataFrame, extract, weights: np.ndarray, bias: float, power: floa
                 columns = [batch.column(i).slice(row, end - row) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(texts.lean(run), schema)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablewise.llm import texts
 from tablewise.llm.common import without
 
 WIDEST = 200
@@ -834,4 +835,4 @@ def extract(df: DataFrame, column: str = "html") -> DataFrame:
                 columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *columns], names=[f.name for f in schema])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(texts.lean(run), schema)

@@ -95,7 +95,7 @@ def _probed(rows: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n", "class", "probes"],
                 )
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, class bigint, probes array<bigint>")
+    return rows.mapInArrow(texts.lean(run), "doc_id bigint, n bigint, class bigint, probes array<bigint>")
 
 
 def _candidates(docs: DataFrame, percent: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _candidates(docs: DataFrame, percent: int) -> DataFrame:
             ok = (found >= size - (n - _least(n, percent))) & _can_differ(n, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok))], names=["class"])
 
-    return docs.filter("probes is not null").select("class", "n", "probes").mapInArrow(run, "class bigint").distinct()
+    return docs.filter("probes is not null").select("class", "n", "probes").mapInArrow(texts.lean(run), "class bigint").distinct()
 
 
 def _bit_map(tokens: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def _survivors(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                     names=["class", "n", "tokens", "bits"],
                 )
 
-    found = rows.select("text").mapInArrow(run, "class bigint, n bigint, tokens array<bigint>, bits array<bigint>")
+    found = rows.select("text").mapInArrow(texts.lean(run), "class bigint, n bigint, tokens array<bigint>, bits array<bigint>")
     return found.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -206,7 +206,7 @@ def _signed(sets: DataFrame, percent: int) -> DataFrame:
             columns = [np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64), batch.column(0).to_numpy()[at], n[at], shared[at]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "class", "n", "shared"])
 
-    return known.mapInArrow(run, "sig bigint, class bigint, n bigint, shared bigint")
+    return known.mapInArrow(texts.lean(run), "sig bigint, class bigint, n bigint, shared bigint")
 
 
 def _least_column(n: Column, percent: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewise.llm import bloom
+from tablewise.llm import bloom, texts
 from tablewise.llm.common import stage, without
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -69,7 +69,7 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
         if size:
             yield bloom.packed(held)
 
-    return docs.select("text").mapInArrow(run, bloom.ROWS)
+    return docs.select("text").mapInArrow(texts.lean(run), bloom.ROWS)
 
 
 def _flagged(docs: DataFrame, seen, min_chars: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _flagged(docs: DataFrame, seen, min_chars: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), digests)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(texts.lean(run), schema)
 
 
 def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _dropped(docs: DataFrame, min_chars: int) -> DataFrame:
             columns[place] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(n, pa.int64())], names=[f.name for f in schema])
 
-    return docs.select(*keep, "__drop").mapInArrow(run, schema)
+    return docs.select(*keep, "__drop").mapInArrow(texts.lean(run), schema)
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

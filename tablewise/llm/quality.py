@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm import features
+from tablewise.llm import features, texts
 
 MAX_ROWS = 12_000  # labelled rows that are fitted
 PASSES = 3
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             [pa.array(np.append(used, -1)), pa.array(np.append(model.weights[used], model.bias))], names=["bucket", "weight"]
         )
 
-    fitted = rows.repartition(1).sortWithinPartitions("order", "label", "words").mapInArrow(train, "bucket bigint, weight double")
+    fitted = rows.repartition(1).sortWithinPartitions("order", "label", "words").mapInArrow(texts.lean(train), "bucket bigint, weight double")
     weights, bias = np.zeros(1 << features.BUCKET_BITS), 0.0
     for r in fitted.collect():  # at most one row per bucket
         if r["bucket"] < 0:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.llm import texts
 from tablewise.llm.common import stage
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -142,7 +143,7 @@ def _numbered(words: DataFrame, key: str, name: str) -> DataFrame:
 
     ranges = words.repartitionByRange(key).sortWithinPartitions(key).select(*carried, key)
     schema = ", ".join([*kinds, "key string, row bigint, nodes array<bigint>, open bigint"])
-    found = stage(ranges.mapInArrow(run, schema), name)
+    found = stage(ranges.mapInArrow(texts.lean(run), schema), name)
     return _across_borders(found)
 
 
@@ -201,7 +202,7 @@ def _pairs(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *carried, kind]], names=["head", "tail", "id", "n", "kind"])
                 at = end
 
-    return words.select("id", "n", "word", "heads", "tails").mapInArrow(run, "head bigint, tail bigint, id bigint, n bigint, kind tinyint")
+    return words.select("id", "n", "word", "heads", "tails").mapInArrow(texts.lean(run), "head bigint, tail bigint, id bigint, n bigint, kind tinyint")
 
 
 def near_words(pairs: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ come from one prefix sum; two different words meet with a chance of about 2**-64
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
-_SPAN_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+_SPAN_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -37,22 +38,39 @@ _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_tables: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, _SPAN_BYTES * 5 // 4)
-
-        def table(base):
-            steps = np.full(size, base, np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    """The base's powers and inverse powers up to ``_SPAN_BYTES``, made once in a worker."""
+    if not _tables:
+        for base in (_BASE, _INVERSE):
+            steps = np.full(_SPAN_BYTES + 1, base, np.uint64)
             steps[0] = 1
-            return np.cumprod(steps, dtype=np.uint64)
+            _tables.append(np.cumprod(steps, dtype=np.uint64))
+    return _tables
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on between tasks, and what the allocators keep of one
+    task's blocks would count against the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives its memory back when its task ends."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-        _powers, _inverses = table(_BASE), table(_INVERSE)
-    return _powers, _inverses
+    return work
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +114,23 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each span of bytes; ``fold`` treats A-Z as a-z. Spans are ordered and apart."""
     values = _FOLDED if fold else _VALUES
+    powers, inverses = _power_tables()
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        low = starts[at]
-        stop = max(at + 1, int(np.searchsorted(ends, low + _SPAN_BYTES, side="right")))
-        high = ends[stop - 1]
-        powers, inverses = _power_tables(int(high - low) + 1)
-        sums = np.empty(int(high - low) + 1, np.uint64)
+        low = int(starts[at])
+        stop = int(np.searchsorted(ends, low + _SPAN_BYTES, side="right"))
+        if stop <= at:  # a span beyond the tables: piece by piece, the power carried on
+            total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for piece in range(low, int(ends[at]), _SPAN_BYTES):
+                data = values[buf[piece : min(piece + _SPAN_BYTES, int(ends[at]))]]
+                total += power * (data * powers[: len(data)]).sum(dtype=np.uint64)
+                power *= powers[_SPAN_BYTES]
+            out[at] = total[0]
+            at += 1
+            continue
+        high = int(ends[stop - 1])
+        sums = np.empty(high - low + 1, np.uint64)
         sums[0] = 0
         np.cumsum(values[buf[low:high]] * powers[: high - low], out=sums[1:])
         s = starts[at:stop] - low

@@ -315,7 +315,7 @@ def align(df: DataFrame, ranks: str, json: str, model: str, pattern: str, text:
                 carried = [batch.column(i).slice(row, n) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*carried, *new, groups, pairs, times], names=schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(texts.lean(run), schema)
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], *NEW)
 
 

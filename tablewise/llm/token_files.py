@@ -187,7 +187,7 @@ def _tokenized(docs: DataFrame, source: str, end_id: int) -> DataFrame:
         if ids:
             yield chunk()
 
-    return docs.mapInArrow(run, _CHUNKS)
+    return docs.mapInArrow(texts.lean(run), _CHUNKS)
 
 
 def _counted(chunks: DataFrame) -> dict[int, int]:
@@ -202,7 +202,7 @@ def _counted(chunks: DataFrame) -> dict[int, int]:
                     total[i] = total.get(i, 0) + k
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-    rows = chunks.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = chunks.select("ids").mapInArrow(texts.lean(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in rows.collect()}
 
 
@@ -222,7 +222,7 @@ def _packed(chunks: DataFrame, book: dict[int, int]) -> DataFrame:
                 kept = [batch.column(k).slice(i, 1) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([points], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["part", "block", "doc_ids", "counts", "checkpoints", "payload"])
 
-    return chunks.select("part", "block", "doc_ids", "counts", "ids").mapInArrow(run, _BLOCKS)
+    return chunks.select("part", "block", "doc_ids", "counts", "ids").mapInArrow(texts.lean(run), _BLOCKS)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -268,7 +268,7 @@ def _decoded(folder: str, spark: SparkSession, schema: str, rows) -> DataFrame:
                 yield rows(part.as_py(), block.as_py(), doc_ids.values, counts, ids)
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    return blocks.select("part", "block", "doc_ids", "counts", "checkpoints", "payload").mapInArrow(run, schema)
+    return blocks.select("part", "block", "doc_ids", "counts", "checkpoints", "payload").mapInArrow(texts.lean(run), schema)
 
 
 def _with_start(found: DataFrame, folder: str, *columns: str) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.llm import texts
+
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 GROUP = 16  # dimensions added at a time
@@ -139,7 +141,7 @@ def _scored(candidates: DataFrame, queries: np.ndarray, query_ids: np.ndarray, f
         columns = [number, np.repeat(query_ids, counts), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best])]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
+    return candidates.mapInArrow(texts.lean(run), "query bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm import features
+from tablewise.llm import features, texts
 from tablewise.llm.quality import LinearModel, sampled_labels
 
 MODELS = 3
@@ -28,53 +28,93 @@ MAX_POSITIVE = 4_000  # confirmed rows that are fitted
 MAX_UNLABELLED = 9_000  # unlabelled rows that are fitted, over all models
 STEPS, BATCH, RATE, DECAY = 600, 512, 0.1, 1e-3
 LEAST_ROWS, LEAST_CONTRAST = 4, 4.0  # rows that have a bucket, and its standard score, for a weight
-TOLERANCE, SLOWER = 0.0, 1.0
 POWER = 0.5  # of the number of words that counts are divided by
 
 
-def nn_pu(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+def nn_pu(cells: Cells, positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets, weights and bias that minimise the non-negative risk with the logistic loss (Adam)."""
-    size = np.array([len(at) for at, _ in rows])
-    all_at, all_x = np.concatenate([at for at, _ in rows]), np.concatenate([x for _, x in rows])
-    used, place = np.unique(all_at, return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(size)])
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
-    keeps = _contrast(place, np.repeat(positive, size), len(used), len(p), len(u))
-    place = np.where(keeps[place], place, len(used))  # the last weight stays 0
+    used = cells.contrasting(positive)
+    size, begin = np.diff(cells.begin), cells.begin
     rng = np.random.default_rng(seed)
-    w, m, v = np.zeros(len(used) + 2), np.zeros(len(used) + 2), np.zeros(len(used) + 2)
+    w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)  # the last is the bias
     if len(p) == 0 or len(u) == 0:
-        w[-1] = np.log(prior / (1 - prior))
-        return used, w[:-2], w[-1]
+        return used, w[:-1], float(np.log(prior / (1 - prior)))
     w[-1] = -1.0
     for step in range(1, STEPS + 1):
         picked = np.concatenate([rng.choice(p, BATCH), rng.choice(u, BATCH)])
         counts = size[picked]
-        cells = np.arange(counts.sum()) + np.repeat(begin[picked] - (np.cumsum(counts) - counts), counts)
-        at, x, row = place[cells], all_x[cells], np.repeat(np.arange(len(picked)), counts)
-        f = np.bincount(row, w[at] * x, len(picked)) + w[-1]
-        up = 1 / (1 + np.exp(-np.clip(f, -35, 35)))  # derivative of log(1 + e^f)
-        cost = np.logaddexp(0, f)  # of f as a negative
-        unlabelled = cost[BATCH:].mean() - prior * cost[:BATCH].mean()
-        slope = np.zeros(len(picked))
-        if unlabelled >= -TOLERANCE:
-            slope[:BATCH] = (prior * (up[:BATCH] - 1) - prior * up[:BATCH]) / BATCH
-            slope[BATCH:] = up[BATCH:] / BATCH
-        else:
-            slope[:BATCH] = SLOWER * prior * up[:BATCH] / BATCH
-            slope[BATCH:] = -SLOWER * up[BATCH:] / BATCH
-        g = np.bincount(at, slope[row] * x, len(w))
-        g[-2], g[-1] = 0.0, slope.sum()
-        g[:-2] += DECAY * w[:-2] / len(picked)
+        at = np.arange(counts.sum()) + np.repeat(begin[picked] - (np.cumsum(counts) - counts), counts)
+        place, row = cells.place[at], np.repeat(np.arange(len(picked)), counts)
+        x = cells.n[at] / cells.scale[picked][row]
+        g = risk_gradient(w, place, x, row, prior)
+        g[:-1] += DECAY * w[:-1] / len(picked)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w[-2] = 0.0
     # the non-negative part holds margins back: the border goes down to where the prior's share of the unlabelled
     # rows lies above it, but no further than halfway from confirmed to ordinary rows, as a prior may be wrong
-    f = np.bincount(np.repeat(np.arange(len(rows)), size), w[place] * all_x, len(rows)) + w[-1]
+    row = np.repeat(np.arange(len(size)), size)
+    f = np.bincount(row, w[cells.place] * (cells.n / cells.scale[row]), len(size)) + w[-1]
     border = max(np.quantile(f[u], 1 - prior), (np.median(f[p]) + np.median(f[u])) / 2)
-    return used, w[:-2], float(w[-1] - min(border, 0.0))
+    return used, w[:-1], float(w[-1] - min(border, 0.0))
+
+
+def margins(w: np.ndarray, place: np.ndarray, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of ``2 * BATCH`` rows, confirmed ones first; the last weight is the bias."""
+    return np.bincount(row, w[place] * x, 2 * BATCH) + w[-1]
+
+
+def risk_gradient(w: np.ndarray, place: np.ndarray, x: np.ndarray, row: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the risk, or where its unlabelled part is below zero, of that part turned round."""
+    f = margins(w, place, x, row)
+    up = 1 / (1 + np.exp(-np.clip(f, -35, 35)))  # derivative of log(1 + e^f)
+    slope = np.empty(len(f))
+    if negative_part(f, prior) >= 0:
+        slope[:BATCH] = (prior * (up[:BATCH] - 1) - prior * up[:BATCH]) / BATCH
+        slope[BATCH:] = up[BATCH:] / BATCH
+    else:
+        slope[:BATCH] = prior * up[:BATCH] / BATCH
+        slope[BATCH:] = -up[BATCH:] / BATCH
+    g = np.bincount(place, slope[row] * x, len(w))
+    g[-1] = slope.sum()
+    return g
+
+
+def negative_part(f: np.ndarray, prior: float) -> float:
+    """What the unlabelled rows cost as negatives, less what the confirmed ones among them would."""
+    cost = np.logaddexp(0, f)
+    return cost[BATCH:].mean() - prior * cost[:BATCH].mean()
+
+
+class Cells:
+    """Counts of buckets of the sampled rows, in flat arrays: begin (of each row), bucket and n."""
+
+    def __init__(self) -> None:
+        self._parts, self._words = [], []
+
+    def add(self, features_: np.ndarray, words: int) -> None:
+        found, n = np.unique(features_, return_counts=True)
+        self._parts.append((found.astype(np.int32), n.astype(np.int32)))
+        self._words.append(max(words, 1))
+
+    def __len__(self) -> int:
+        return len(self._words)
+
+    def contrasting(self, positive: np.ndarray) -> np.ndarray:
+        """The buckets with a weight; others are dropped, and ``place`` tells a cell's weight."""
+        size = np.array([len(found) for found, _ in self._parts])
+        self.scale = np.array(self._words) ** POWER
+        bucket, self.n = (np.concatenate([part[k] for part in self._parts]) for k in (0, 1))
+        self._parts.clear()
+        keeps = _contrast(bucket, np.repeat(positive, size), 1 << features.BUCKET_BITS, int(positive.sum()), int((~positive).sum()))
+        used, kept = np.flatnonzero(keeps), keeps[bucket]
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)[kept]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))])
+        places = np.zeros(len(keeps), np.int32)
+        places[used] = np.arange(len(used))
+        self.place, self.n = places[bucket[kept]], self.n[kept]
+        return used
 
 
 def _contrast(place: np.ndarray, positive: np.ndarray, buckets: int, n_p: int, n_u: int) -> np.ndarray:
@@ -111,29 +151,35 @@ def fit(
 
     def train(key, table):
         positive = table.column("pool").to_numpy() < MODELS
-        lists, words = table.column("features").combine_chunks(), table.column("words").to_numpy()
-        data, kept, seen = [], [], set()
-        for i in np.lexsort((words, table.column("order").to_numpy())).tolist():
-            values = np.array(lists[i].values, np.int32)
-            mark = (bool(positive[i]), hash(values.tobytes()))
-            if len(values) and (mark not in seen):
+        words, order = table.column("words").to_numpy(), table.column("order").to_numpy()
+        lists = table.column("features").combine_chunks()
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        cells, kept, seen = Cells(), [], set()
+        for i in np.lexsort((words, order)).tolist():
+            own = values[offsets[i] : offsets[i + 1]]
+            mark = (bool(positive[i]), hash(own.tobytes()))
+            if len(own) and mark not in seen:
                 seen.add(mark)
-                data.append(features.sparse(values, int(words[i]), POWER))
+                cells.add(own, int(words[i]))
                 kept.append(i)
-        if not data:
-            return pa.table({"bucket": pa.array([-1], pa.int64()), "weight": pa.array([float(np.log(prior / (1 - prior)))])})
-        used, weights, bias = nn_pu(data, positive[kept], prior, seed=int(key[0].as_py()))
-        used, weights = used[weights != 0], weights[weights != 0]
-        return pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights, bias))})
+        if kept:
+            used, weights, bias = nn_pu(cells, positive[kept], prior, seed=int(key[0].as_py()))
+            used, weights = used[weights != 0], weights[weights != 0]
+        else:
+            used, weights, bias = np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
+        out = pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights, bias))})
+        del cells, lists, values
+        texts.give_back()
+        return out
 
     fitted = rows.select("model", "pool", "order", "features", "words").groupBy("model").applyInArrow(train, "bucket bigint, weight double")
-    weights, bias = np.zeros(1 << features.BUCKET_BITS), []
-    for r in fitted.groupBy("bucket").agg(F.sum("weight").alias("sum"), F.count(F.lit(1)).alias("n")).toLocalIterator():
+    weights, models, bias = np.zeros(1 << features.BUCKET_BITS), 0, float(np.log(prior / (1 - prior)))
+    for r in fitted.groupBy("bucket").agg(F.sum("weight").alias("sum"), F.count(F.lit(1)).alias("n")).collect():
         if r["bucket"] < 0:
-            bias.append(r["sum"] / r["n"])
+            models, bias = r["n"], r["sum"] / r["n"]
         else:
-            weights[r["bucket"]] = r["sum"] / MODELS  # at most one row per bucket
-    return LinearModel(weights, bias[0] if bias else float(np.log(prior / (1 - prior))))
+            weights[r["bucket"]] = r["sum"]  # at most one row per bucket
+    return LinearModel(weights / max(models, 1), bias)
 
 
 def score(docs: DataFrame, model: LinearModel, text: str = "text") -> DataFrame:

@@ -101,13 +101,6 @@ def comparable_text(df: DataFrame, name: str) -> Column:
     return F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
-def group_key(df: DataFrame, name: str) -> Column:
-    """A column to group by: atomic values as they are, texts and nested values comparable."""
-    if stored_as(df.schema[name].dataType) in ("text", "other"):
-        return comparable_text(df, name)
-    return F.col(f"`{name}`")
-
-
 def value_counts(values: DataFrame) -> DataFrame:
     """(column_name, value, n) for every distinct value of every column of one type, null
     included."""
@@ -381,7 +374,7 @@ def filter_values(df: DataFrame, table_name: str, profile: Sequence[ColumnProfil
     names = [p.column_name for p in profile if p.detected_type == "category"]
     if not names:
         return df.sparkSession.createDataFrame([], "`table` string, `column` string, value string")
-    texts = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in names))
+    texts = df.select(*(as_text(df, c).alias(c) for c in names))
     found = value_counts(texts).filter("value is not null")
     return found.select(F.lit(table_name).alias("table"), F.col("column_name").alias("column"), "value")
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions import rules
-from tablewise.functions.columns import ratio, real
-from tablewise.operators.profile import ColumnProfile, group_key
+from tablewise.functions.columns import ratio, real, row_digest
+from tablewise.operators.profile import ColumnProfile
 from tablewise.operators.quantiles import REST, exact_quantiles
 
 COLUMN_SCHEMA = T.StructType(
@@ -31,10 +31,9 @@ COLUMN_SCHEMA = T.StructType(
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows (nulls equal), as one row.
 
-    Partial counts collapse hot rows before the shuffle; long texts travel as digests.
+    A row travels as one digest, whatever it holds; partial counts collapse hot rows before the shuffle.
     """
-    keys = [group_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    groups = df.select(*keys).groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.count("*").alias("n"))
+    groups = df.select(row_digest(df).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),

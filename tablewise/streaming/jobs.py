@@ -2,24 +2,21 @@
 
 Every job runs over whatever files have arrived (``availableNow``) and can be started again
 from its checkpoint; sinks are idempotent, so a repeated micro-batch changes nothing. State is
-bounded by the watermark. ``max_files`` bounds the size of a micro-batch.
+bounded by the watermark. ``max_files`` bounds the size of a micro-batch. Windows that open at a client's first event are
+in :mod:`tablewise.streaming.first_event`, rows behind the watermark in :mod:`tablewise.streaming.late`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablewise.functions.columns import AMOUNT, duration_bucket, templated_path
 from tablewise.operators.kpi import Types
-from tablewise.sources.metadata import unseen
+from tablewise.streaming.digests import DigestIndex
 
 
 def file_stream(
@@ -66,19 +63,23 @@ def late_rows(query) -> int:
 
 
 def load_incrementally(
-    stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]
+    stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], prefix_bits: int = 8
 ) -> DataFrame:
     """Clean and store every arriving file once; a repeated batch overwrites its own partition.
 
-    Whole-row duplicates are left out across batches by their SHA-256, which the stream keeps as
-    state, so the result does not depend on how files fall into batches."""
-    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in stream.columns))), 256)
-    stream = stream.withColumn("__row", row).dropDuplicates(["__row"]).drop("__row")
+    Whole-row duplicates are left out across batches by their SHA-256, looked up in an index beside the
+    checkpoint (:mod:`tablewise.streaming.digests`), so the result does not depend on how files fall into batches and the stream
+    itself keeps no state."""
+    spark = stream.sparkSession
+    index = DigestIndex(spark, f"{checkpoint.rstrip('/')}-digests", prefix_bits)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare(batch).withColumn("batch_id", F.lit(batch_id))
+        new = index.without_known(batch, batch_id).persist()
+        prepared = prepare(new.drop("__digest", "__prefix")).withColumn("batch_id", F.lit(batch_id))
         writer = prepared.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("batch_id").parquet(path)
+        index.add(new, batch_id)
+        new.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -87,7 +88,7 @@ def load_incrementally(
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def metric_windows(
@@ -118,56 +119,6 @@ def aligned_limit(events: DataFrame, time: str, client: str, limit: int, length:
     )
 
 
-LIMIT_STATE = "requests long, started long"
-
-
-def first_event_limit(events: DataFrame, time: str, client: str, limit: int, seconds: int) -> DataFrame:
-    """Windows that open at a client's first event and reopen at the first event after they end.
-
-    Such windows follow from one another, so a client's events of one micro-batch meet in one
-    task, as bare 8-byte times; ``max_files`` of the source bounds how many those are."""
-    length = seconds * 1_000_000
-    out_schema = f"{client} string, window_start timestamp, requests long, rejected long"
-
-    def rows(key: str, windows: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                client: [key] * len(windows),
-                "window_start": pd.to_datetime([s for s, _ in windows], unit="us"),
-                "requests": [n for _, n in windows],
-                "rejected": [max(0, n - limit) for _, n in windows],
-            }
-        )
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name = str(key[0])
-        if state.hasTimedOut:
-            requests, started = state.get
-            state.remove()
-            yield rows(name, [(started, requests)])
-            return
-        times = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in batches]))
-        requests, started = state.get if state.exists else (0, int(times[0]))
-        closed, at = [], 0
-        while True:
-            upto = int(np.searchsorted(times, started + length, side="left"))
-            requests += upto - at
-            at = upto
-            if at == len(times):
-                break
-            closed.append((started, requests))
-            requests, started = 0, int(times[at])
-        state.update((requests, started))
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max((started + length) // 1000, watermark + 1))
-        yield rows(name, closed)
-
-    timed = events.select(F.col(client).cast("string").alias("client_key"), time, F.unix_micros(time).alias("us"))
-    return timed.groupBy("client_key").applyInPandasWithState(
-        advance, out_schema, LIMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def request_windows(requests: DataFrame, time: str, length: str) -> DataFrame:
     """Request counts per window, method, path template, status class and duration bucket."""
     return (
@@ -194,27 +145,30 @@ def request_rollup(requests: DataFrame) -> DataFrame:
     return requests.groupBy(*request_keys()).agg(F.count("*").alias("requests"))
 
 
-def alerts_once(alerts: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...]) -> DataFrame:
-    """Append each distinct alert once, ever: what earlier batches wrote is left out by an
-    anti-join, which also makes a repeated batch harmless."""
-    spark = alerts.sparkSession
-    schema = alerts.select(*keys).schema
+def alerts_once(
+    alerts: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], time: str | None = None, expiry: str = "400 days"
+) -> DataFrame:
+    """Append each distinct alert once until ``expiry`` after it came, by its ``time`` or else by when it arrived.
+
+    The stream keeps one time per alert as state and drops it when the watermark has passed, so a batch reads
+    neither the alerts written before nor state that grows for ever; a repeated batch overwrites its own files."""
+    event_time = F.current_timestamp() if time is None else F.col(time).cast("timestamp")
+    timed = alerts.withColumn("__at", event_time).select(*keys, "__at").withWatermark("__at", expiry)
+    once = timed.dropDuplicatesWithinWatermark(list(keys)).drop("__at")
+    schema = once.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            written = spark.read.schema(schema).parquet(path)
-        except AnalysisException:  # nothing written yet
-            written = spark.createDataFrame([], schema)
-        unseen(batch.select(*keys), written, keys).write.mode("append").parquet(path)
+        writer = batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     query = (
-        alerts.writeStream.foreachBatch(write)
+        once.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    return alerts.sparkSession.read.schema(T.StructType([*schema, T.StructField("batch_id", T.IntegerType())])).parquet(path).drop("batch_id")
 
 
 def compare_windows(windows: DataFrame, measure: str) -> DataFrame:

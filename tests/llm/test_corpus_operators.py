@@ -138,13 +138,51 @@ def test_toxicity_learns_from_positives(marked):
     assert np.mean(caught) > 0.95 and np.mean(wrong) < 0.02
 
 
+def _cells(rows):
+    cells = toxicity.Cells()
+    for buckets in rows:
+        cells.add(np.array(buckets, np.int32), len(buckets))
+    return cells
+
+
 def test_risk_estimator_turns_round():
-    rows = [(np.array([0]), np.array([1.0]))] * 30 + [(np.array([1]), np.array([1.0]))] * 60
     positive = np.arange(90) < 30
-    used, weights, bias = toxicity.nn_pu(rows, positive, 0.3, 1)
+    used, weights, bias = toxicity.nn_pu(_cells([[0]] * 30 + [[1]] * 60), positive, 0.3, 1)
     assert used.tolist() == [0, 1] and weights[0] + bias > 0 and np.isfinite(weights).all()
 
 
+def test_cells_are_counts_by_row():
+    rng, positive = np.random.default_rng(3), np.arange(60) < 20
+    rows = [np.append(rng.integers(2, 40, rng.integers(1, 30)), [i < 20] * 3).tolist() for i in range(60)]
+    cells = _cells(rows)
+    used = cells.contrasting(positive)
+    assert {0, 1} <= set(used.tolist())
+    for i, row in enumerate(rows):
+        own = slice(cells.begin[i], cells.begin[i + 1])
+        got = dict(zip(used[cells.place[own]].tolist(), cells.n[own].tolist()))
+        assert got == {b: row.count(b) for b in set(row) if b in used} and cells.scale[i] == len(row) ** toxicity.POWER
+
+
+@pytest.mark.parametrize("bias", [2.0, -1.0, -12.0])
+def test_risk_gradient_is_the_slope(bias, monkeypatch):
+    """Against differences of the risk, and of the unlabelled part alone (turned round) where that is below zero."""
+    monkeypatch.setattr(toxicity, "BATCH", 6)
+    rng, prior = np.random.default_rng(7), 0.4
+    place, row, x = rng.integers(0, 5, 48), np.repeat(np.arange(12), 4), rng.random(48)
+    w = np.append(rng.normal(size=5), bias)
+    if bias < -10:
+        w[:5] += 8 * (np.bincount(place[row < 6], minlength=5) > np.bincount(place[row >= 6], minlength=5))
+
+    def cost(w):
+        f = toxicity.margins(w, place, x, row)
+        part = toxicity.negative_part(f, prior)
+        return prior * np.logaddexp(0, -f[:6]).mean() + part if start >= 0 else -part
+
+    start = toxicity.negative_part(toxicity.margins(w, place, x, row), prior)
+    slopes = [(cost(w + e) - cost(w - e)) / 2e-6 for e in np.eye(6) * 1e-6]
+    assert np.allclose(toxicity.risk_gradient(w, place, x, row, prior), slopes, atol=1e-6)
+
+
 def test_quality_learns(marked):
     docs, labels = marked
     rows = quality.score(docs, quality.fit(docs, labels)).collect()

@@ -2,12 +2,13 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from tablewise.session import work_folder
-from tablewise.streaming import jobs
+from tablewise.streaming import digests, first_event, jobs, late
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -37,6 +38,11 @@ def brute_windows(times, limit, seconds):
     return out, (start, n)
 
 
+def limit_windows(spark, events, delay, seconds=60, **how):
+    state = work_folder(spark, "limit-state")
+    return first_event.first_event_windows(events, "ts", "client", 2, dt.timedelta(seconds=seconds), delay, state, **how)
+
+
 def test_first_event_limit_equals_brute_force_over_many_batches(spark, tmp_path):
     random.seed(3)
     path, schema = str(tmp_path / "in"), "ts timestamp, client string"
@@ -49,8 +55,7 @@ def test_first_event_limit_equals_brute_force_over_many_batches(spark, tmp_path)
             clients[client].append(at)
             rows.append((at, client))
         write(spark, rows, schema, path)
-    events = jobs.with_event_time(stream(spark, path, schema, max_files=1), "ts", "1 hour")
-    got = finish(spark, jobs.first_event_limit(events, "ts", "client", 2, 60), "limit").collect()
+    got = limit_windows(spark, stream(spark, path, schema, max_files=1), dt.timedelta(hours=1)).collect()
     expected = set()
     for client, times in clients.items():
         closed, _ = brute_windows(times, 2, 60)
@@ -63,8 +68,8 @@ def test_limit_resets_after_the_window(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "ts timestamp, client string"
     times = [T0, T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=2), T0 + dt.timedelta(seconds=61), T0 + dt.timedelta(days=1)]
     write(spark, [(t, "a") for t in times], schema, path)
-    events = jobs.with_event_time(stream(spark, path, schema), "ts", "1 minute")
-    got = sorted((r["requests"], r["rejected"]) for r in finish(spark, jobs.first_event_limit(events, "ts", "client", 2, 60), "reset").collect())
+    found = limit_windows(spark, stream(spark, path, schema), dt.timedelta(minutes=1))
+    got = sorted((r["requests"], r["rejected"]) for r in found.collect())
     assert got == [(1, 0), (3, 1)]
 
 
@@ -129,3 +134,92 @@ def test_window_metrics_equal_batch(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = jobs.metric_windows(events, "ts", "value", "1 day")
     assert batch.agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_windows_do_not_depend_on_batches(spark, tmp_path):
+    """Unordered events in time, in one batch and in six: the same windows, equal to brute force."""
+    rng = random.Random(5)
+    rows = [(T0 + dt.timedelta(seconds=rng.randrange(4000)), rng.choice(["hot", "hot", "a", "b"])) for _ in range(500)]
+    rows += [(None, "a")]
+    schema, found = "ts timestamp, client string", []
+    for parts in (1, 6):
+        path = str(tmp_path / f"in{parts}")
+        for i in range(parts):
+            write(spark, rows[i::parts], schema, path)
+        write(spark, [(T0 + dt.timedelta(hours=9), "a")], schema, path)
+        out = limit_windows(spark, stream(spark, path, schema, max_files=1), dt.timedelta(hours=8), by_successor=False)
+        found.append({(r["client"], r["window_start"], r["requests"]) for r in out.collect()})
+    want = set()
+    for client in ("hot", "a", "b"):
+        closed, (start, n) = brute_windows([t for t, c in rows if c == client and t], 2, 60)
+        want |= {(client, s, k) for s, k, _ in [*closed, (start, n, 0)] if s + dt.timedelta(seconds=60) <= T0 + dt.timedelta(hours=1)}
+    assert found == [want, want]
+
+
+def test_a_hot_client_is_cut_over_slices(spark):
+    """No group of (client, slice) holds more than twice the mean of a client with a third of the events."""
+    rows = [("hot", i * 7_000) for i in range(4000)] + [(f"c{i % 800}", i * 3_500) for i in range(8000)]
+    length = 1_000_000
+    counts = spark.createDataFrame([(c, t, 1) for c, t in rows], "client string, us long, n long")
+    sizes = counts.filter("client = 'hot'").groupBy(first_event._slice(F.col("us"), length)).count().select("count").collect()
+    assert max(r[0] for r in sizes) <= 2 * 4000 / len(sizes)
+    linked = {(r["client"], r["us"]): r for r in first_event.with_successors(counts, length).collect()}
+    times = sorted(t for c, t in rows if c == "hot")
+    for i, t in enumerate(times[::97]):
+        ahead = [x for x in times if x >= t + length]
+        r = linked["hot", t]
+        assert (r["next"], r["before"], r["upto"]) == (ahead[0] if ahead else None, i * 97, len(times) - len(ahead))
+
+
+def test_late_rows_go_to_a_side_table(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "ts timestamp, value double"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    arrivals = [[(T0 + dt.timedelta(days=5), 1.0), (None, 9.0)], [(T0, 2.0), (T0 + dt.timedelta(days=4, hours=23, minutes=30), 3.0), (T0 + dt.timedelta(days=9), 4.0)], [(T0 + dt.timedelta(days=5), 5.0)]]
+    for rows in arrivals:
+        write(spark, rows, schema, path)
+        in_time, behind = late.split_late(stream(spark, path, schema), "ts", dt.timedelta(hours=1), out, state)
+    assert sorted(r["value"] for r in in_time.collect()) == [1.0, 3.0, 4.0, 9.0]
+    hours = {r["value"]: r["late_by_us"] / 3.6e9 for r in behind.collect()}
+    assert hours[2.0] == 5 * 24 - 1 and hours[5.0] == 4 * 24 - 1
+    assert in_time.count() + behind.count() == 6
+
+
+def test_filters_cover_all_batches_before():
+    for batch in range(70):
+        covered = [b for last in digests.layers_before(batch) for b in range(last + 1 - digests.closed_batches(last), last + 1)]
+        assert sorted(covered) == list(range(batch)) and len(digests.layers_before(batch)) <= max(1, batch.bit_length())
+
+
+def test_filters_hold_what_was_put_in_and_little_else():
+    rng = np.random.default_rng(1)
+    inside, outside = (rng.integers(0, 1 << 63, (20_000, 4)).astype(np.uint64) for _ in range(2))
+    bits = digests.filled(inside)
+    assert digests.holds(bits, inside).all() and digests.holds(bits, outside).mean() < 2e-3
+    assert len(bits) * 8 == digests.filter_bits(20_000)
+
+
+def test_rows_are_loaded_once_over_twenty_batches(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "id string, region string"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(60)}", rng.choice("xyz")) for _ in range(300)]
+    for i in range(20):
+        write(spark, rows[i::20], schema, path)
+    loaded = jobs.load_incrementally(stream(spark, path, schema, max_files=1), out, state, lambda df: df, prefix_bits=2)
+    assert sorted((r["id"], r["region"]) for r in loaded.collect()) == sorted(set(rows))
+    index = digests.DigestIndex(spark, f"{state}-digests", 2)
+    again = index.with_digest(spark.createDataFrame([*set(rows), ("new", "n")], schema))
+    assert again.count() - 1 == index.known(again, 20).count()
+    first = index.with_digest(spark.createDataFrame(rows[:1], schema))
+    assert index.known(first, 0) is None  # a batch that runs again sees only earlier ones
+
+
+def test_alerts_read_no_history(spark, tmp_path, monkeypatch):
+    """What a batch reads does not grow with what was written: the output folder is not read until the end."""
+    path, schema = str(tmp_path / "in"), "ts timestamp, title string"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i in range(4):
+        write(spark, [(T0 + dt.timedelta(days=i), f"a{j}") for j in range(3)] + [(T0 + dt.timedelta(days=i), f"day{i}")], schema, path)
+    events = stream(spark, path, schema, max_files=1)
+    got = jobs.alerts_once(events, out, state, ("title",), time="ts", expiry="30 days")
+    assert sorted(r["title"] for r in got.collect()) == ["a0", "a1", "a2", "day0", "day1", "day2", "day3"]

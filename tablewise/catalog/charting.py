@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, over_mart, plain
 from tablewise.catalog.metrics import TYPES
+from tablewise.catalog.profiling import RAW
 from tablewise.catalog.relations import _LINKS
-from tablewise.operators import charts, insights, kpi
+from tablewise.operators import charts, insights, kpi, moments
 from tablewise.operators.filters import DashboardFilters, apply_filters
 from tablewise.operators.profile import profile_table
 from tablewise.plans import chart_choice
@@ -85,10 +86,55 @@ def chart_box(spark, folder):
     return data.withColumns({c: F.round(c, 6) for c in ("low", "q1", "median", "q3", "high")})
 
 
+BOXES = ("low", "q1", "median", "q3", "high")
+
+
+def chart_box_grouped(spark, folder):
+    data = charts.box_grouped(read_table(spark, folder, "lineitem"), "l_extendedprice", "l_partkey")
+    return data.withColumns({c: F.round(c, 6) for c in BOXES})
+
+
+def chart_box_few_groups(spark, folder):
+    data = charts.box_grouped(read_table(spark, folder, "lineitem"), "l_extendedprice", "l_returnflag")
+    return data.withColumns({c: F.round(c, 6) for c in BOXES})
+
+
+def _box_sql(group: str) -> str:
+    at = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    inner = ", ".join(f"ROUND(quantile_cont(l_extendedprice, {p}), 6) AS {name}" for name, p in at.items())
+    return (
+        f"SELECT 'l_extendedprice' AS x, CAST({group} AS VARCHAR) AS grp, {big('COUNT(l_extendedprice)')} AS value,"
+        f" ROUND(MIN(l_extendedprice), 6) AS low, {inner}, ROUND(MAX(l_extendedprice), 6) AS high FROM lineitem GROUP BY {group}"
+    )
+
+
 def chart_heatmap(spark, folder):
     return charts.heatmap(read_table(spark, folder, "lineitem"), HEAT)
 
 
+def _numbers(table: str) -> list[str]:
+    return [spec.split(":")[0] for spec in RAW[table] if spec.endswith((":whole", ":real"))]
+
+
+def heatmap_all_tables(spark, folder):
+    """Correlations of the numeric columns of every table of the folder."""
+
+    def one(name, df):
+        return charts.heatmap(df, moments.numeric_columns(df)).select(F.lit(name).alias("table_name"), "*")
+
+    frames = per_table(one, {t: read_table(spark, folder, t) for t in RAW if _numbers(t)})
+    return reduce(lambda a, b: a.unionByName(b), frames.values())
+
+
+def _heat_sql() -> str:
+    def cell(t, a, b):
+        spread = f"stddev_pop({a}) > 0 AND stddev_pop({b}) > 0"
+        r = f"CASE WHEN {spread} THEN ROUND(corr(CAST({min(a, b)} AS DOUBLE), CAST({max(a, b)} AS DOUBLE)), 3) + 0.0 END"
+        return f"SELECT '{t}' AS table_name, '{a}' AS x, '{b}' AS grp, {r} AS value FROM {t}"
+
+    return "\nUNION ALL ".join(cell(t, a, b) for t in RAW for a in _numbers(t) for b in _numbers(t))
+
+
 def chart_scatter_sample(spark, folder):
     return plain(charts.scatter(Mart(spark, folder).items, "price", "freight_value"))
 
@@ -199,7 +245,10 @@ SELECT bin, lo + bin * w AS lower, lo + (bin + 1) * w AS upper, {big("n")} AS va
   ROUND(quantile_cont(o_totalprice, 0.25), 6) AS q1, ROUND(quantile_cont(o_totalprice, 0.5), 6) AS median,
   ROUND(quantile_cont(o_totalprice, 0.75), 6) AS q3, ROUND(MAX(o_totalprice), 6) AS high FROM orders""",
     ),
+    "chart_box_grouped": (chart_box_grouped, _box_sql("l_partkey")),
+    "chart_box_few_groups": (chart_box_few_groups, _box_sql("l_returnflag")),
     "chart_heatmap": (chart_heatmap, _HEAT_CELLS),
+    "heatmap_all_tables": (heatmap_all_tables, _heat_sql()),
     "chart_scatter_sample": (chart_scatter_sample, None),
     "chart_cross_table": (
         chart_cross_table,

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tablewise.functions import rules
 from tablewise.functions.columns import exact_amount, is_text, month_of, ratio, real, to_moment
 from tablewise.operators.filters import DashboardFilters, apply_filters
+from tablewise.operators.group_quantiles import LIMIT, group_quantiles
+from tablewise.operators.moments import correlations
 from tablewise.operators.quantiles import REST, exact_quantiles
 
 
@@ -132,18 +134,22 @@ def box(df: DataFrame, x: str, limit: int = REST) -> DataFrame:
     )
 
 
+def box_grouped(df: DataFrame, x: str, group: str, limit: int = LIMIT) -> DataFrame:
+    """The exact five-number summary of every group."""
+    value = real(_col(x), df.schema[x].dataType)
+    found = group_quantiles(df, _col(group).cast("string"), value, (0.0, 0.25, 0.5, 0.75, 1.0), limit)
+    names = ("low", "q1", "median", "q3", "high")
+    return found.select(F.lit(x).alias("x"), F.col("g").alias("grp"), F.col("count").alias("value"), *(F.col(f"q{i}").alias(n) for i, n in enumerate(names)))
+
+
 def heatmap(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
-    """Pearson correlation of every pair, pairs with a missing side left out, in one aggregate
-    over all rows. Columns without any number are dropped."""
-    names = list(columns)
-    numbers = {c: real(_col(c), df.schema[c].dataType) for c in names}
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), numbers[a].alias("u"), numbers[b].alias("v")) for a, b in pairs]
-    # one short row per pair keeps the aggregate small enough to be compiled
-    found = df.select(F.inline(F.array(*cells))).groupBy("a", "b").agg(
-        F.round(F.corr("u", "v"), digits).alias("r"), F.count("u").alias("n"), F.count("v").alias("m")
-    )
-    usable = found.filter((F.col("n") > 0) & (F.col("m") > 0)).withColumn("value", F.col("r") + 0.0)
+    """Pearson correlation of every pair, pairs with a missing side left out, in one pass over all
+    rows. Columns without any number are dropped; a pair without rows or spread has null."""
+    names = list(dict.fromkeys(columns))
+    found = correlations(df, {c: real(_col(c), df.schema[c].dataType) for c in names})
+    known = found.filter("a = b AND n > 0").select("a")
+    usable = found.join(known, "a", "left_semi").join(known.withColumnRenamed("a", "b"), "b", "left_semi")
+    usable = usable.select("a", "b", (F.round("r", digits) + 0.0).alias("value"))
     both = usable.select(F.col("a").alias("x"), F.col("b").alias("grp"), "value")
     mirrored = usable.filter("a <> b").select(F.col("b").alias("x"), F.col("a").alias("grp"), "value")
     return both.unionByName(mirrored)
@@ -176,7 +182,7 @@ BUILDERS = {
     "histogram": lambda df, s: histogram(df, s.x_column),
     "treemap": lambda df, s: treemap(df, s.x_column, s.y_column),
     "heatmap": lambda df, s: heatmap(df, [c.strip() for c in s.x_column.split(",") if c.strip()]),
-    "box": lambda df, s: box(df, s.x_column),
+    "box": lambda df, s: box_grouped(df, s.x_column, s.group_by_column) if s.group_by_column else box(df, s.x_column),
     "funnel": lambda df, s: funnel(df, s.x_column, s.y_column),
 }
 

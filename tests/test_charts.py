@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.operators import charts, insights
+from tablewise.operators import charts, group_quantiles, insights, moments
 from tablewise.operators.charts import ChartSpec
 from tablewise.operators.profile import ColumnProfile
 from tablewise.operators.relate import Relationship
@@ -151,3 +151,58 @@ def test_samples(sales):
     assert insights.chart_sample(ChartSpec("pie", "t", "s", "g", aggregation="count"), sales).count() == 20
     assert insights.chart_sample(ChartSpec("histogram", "t", "s", "v", aggregation="count"), sales).count() == values
     assert insights.chart_sample(ChartSpec("heatmap", "t", "s", "v,w", aggregation="correlation"), sales) is None
+
+
+@pytest.mark.parametrize("limit", [20, 2000])
+def test_group_quantiles_equal_numpy(spark, limit):
+    rng, at = np.random.default_rng(limit), (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    groups = {
+        "hot": np.append(rng.normal(size=3000), [1e300, -1e300, 5e-324]), "ties": np.repeat([2.0, 3.0, -0.0], [500, 1, 400]),
+        "one": np.array([4.0]), "steep": 10.0 ** rng.integers(-30, 30, 90), **{f"g{i}": rng.exponential(size=i + 2) for i in range(60)},
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [(None, 1.0), ("one", None), ("one", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = group_quantiles.group_quantiles(df, F.col("g"), F.col("v"), at, limit).collect()
+    assert {r["g"]: r["count"] for r in found} == {g: len(v) for g, v in groups.items()}
+    for r in found:
+        assert np.allclose([r[f"q{i}"] for i in range(len(at))], np.quantile(groups[r["g"]], at), rtol=1e-9)
+    assert group_quantiles.group_quantiles(df.limit(0), F.col("g"), F.col("v"), at).count() == 0
+
+
+def test_box_by_group_is_the_box_of_each(spark, sales):
+    spec = ChartSpec("box", "t", "s", "v", group_by_column="g")
+    found = {r["grp"]: r for r in charts.chart_data(spec, {"s": sales}).collect()}
+    for grp, r in found.items():
+        alone = charts.box(sales.filter(F.col("g") == grp), "v").first()
+        assert (r["value"], r["low"], r["high"]) == (alone["value"], alone["low"], alone["high"])
+        assert np.allclose([r["q1"], r["median"], r["q3"]], [alone["q1"], alone["median"], alone["q3"]])
+
+
+def test_moments_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 4)) * [1, 1e-3, 1e6, 1] + [1e9, 0, -5, 0]
+    x[:, 3] = 7.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:300, 1] = np.nan  # a part without any row of a pair
+    total = None
+    for part in np.split(x, [300, 301, 650]):
+        moved = moments.batch_moments(part)
+        total = moved if total is None else moments.joined(total, moved)
+    for a in range(4):
+        for b in range(4):
+            both = x[~np.isnan(x[:, a]) & ~np.isnan(x[:, b])][:, [a, b]]
+            centred = both - both.mean(0)
+            want = [len(both), both[:, 0].mean(), both[:, 1].mean(), *(centred**2).sum(0), (centred[:, 0] * centred[:, 1]).sum()]
+            assert np.allclose([m[a, b] for m in total], want, rtol=1e-6, atol=1e-6 * (1 + abs(want[3]) ** 0.5 * abs(want[4]) ** 0.5))
+
+
+def test_heatmap_far_from_zero_and_without_spread(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 2))
+    rows = [(1e9 + float(a), float(0.5 * a + b), 3.0, None if i % 2 else float(b), None) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "p double, q double, flat double, half double, nothing double").repartition(6)
+    cells = {(r["x"], r["grp"]): r["value"] for r in charts.heatmap(df, df.columns, digits=6).collect()}
+    assert cells["p", "q"] == pytest.approx(np.corrcoef(x[:, 0], 0.5 * x[:, 0] + x[:, 1])[0, 1], abs=1e-5)
+    assert cells["flat", "p"] is None and cells["half", "half"] == 1.0 and not any("nothing" in k for k in cells)
+    assert cells["half", "q"] == pytest.approx(np.corrcoef(x[::2, 1], (0.5 * x[:, 0] + x[:, 1])[::2])[0, 1], abs=1e-5)
+    assert charts.heatmap(df.limit(0), ["p", "q"]).count() == 0

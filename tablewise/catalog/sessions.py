@@ -7,6 +7,7 @@ import zipfile
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, plain
@@ -63,13 +64,21 @@ def zip_ingest(spark, folder):
     )
 
 
+def _table_names(rows, key: str):
+    """``key`` and the table that a file of each name would become; the rule runs where the rows lie."""
+
+    def work(batches):
+        for batch in batches:
+            found = [names.table_name("a3f2c1d4-0000", name or "") for name in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[key, "table_name"])
+
+    return rows.toDF(key, "name").mapInArrow(work, f"{key} long, table_name string")
+
+
 def table_names(spark, folder):
     """File names derived from page addresses, as the table names they would get."""
-    stem = F.regexp_extract("url", r"([^/]+?)(\.[^./]*)?$", 1)
-    name = F.regexp_replace(F.regexp_replace(F.lower(stem), r"[\s.-]+", "_"), "[^a-z0-9_]", "")
-    name = F.regexp_replace(F.regexp_replace(name, "^_+|_+$", ""), "_+", "_")
-    named = F.concat(F.lit("a3f2c1d4_"), F.when(name == "", F.lit("table")).otherwise(name))
-    return read_table(spark, folder, "pages").select("page_id", named.alias("table_name"))
+    name = F.regexp_extract("url", "([^/]*)$", 1)
+    return _table_names(read_table(spark, folder, "pages").select(F.col("page_id").cast("long"), name), "page_id")
 
 
 def exact_amounts(spark, folder):
@@ -99,29 +108,39 @@ def multi_file_load(spark, folder):
 
 
 def archive_load(spark, folder):
-    """Members of one name in two archives, read as the tables that ``read_tables`` gives them."""
+    """Orders in two archives that tasks pack, loaded as a session loads them: a member of one name in either is a table."""
     root = work_folder(spark, "archives")
-    nations = read_table(spark, folder, "nation").toPandas()
-    packed = []
-    for i, part in enumerate((nations[nations.n_regionkey < 2], nations[nations.n_regionkey >= 2])):
-        raw = io.BytesIO()
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
-            out.writestr("nation.csv", part.to_csv(index=False))
-        packed.append((f"batch-{i}.zip", bytearray(raw.getvalue())))
-    content = spark.createDataFrame(packed, "archive string, content binary")
-    rows = archives.unzip_rows(content.select(F.col("archive").alias("path"), "content"), "nation.csv")
-    header = list(nations.columns)
-    table = archives.member_table(rows, "nation.csv", header)
-    return table.select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    which = F.when(F.col("o_orderkey") % 3 == 0, "batch-0").otherwise("batch-1")
+    paths = archives.pack(orders, which, "orders.csv", root)
+    tables, _, _ = files.read_tables(spark, paths, "a3f2c1d4-0000")
+    frames = [df.select(F.lit(name).alias("table_name"), *df.columns) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+def skipped_csv_rows(spark, folder):
+    """Events as a careless tool writes them, with bare commas in every seventh: the rows that a load keeps, and how many it
+    leaves out and counts."""
+    path = work_folder(spark, "careless")
+    note = F.when(F.col("event_id") % 7 == 0, "a,b").when(F.col("event_id") % 5 == 0, '"c,d"').otherwise("e")
+    lines = read_table(spark, folder, "events").select(F.concat_ws(",", F.col("event_id").cast("string"), note, "event_type").alias("value"))
+
+    def with_header(batches):
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array(["event_id,note,event_type"])], schema=batch.schema)
+            yield batch
+
+    lines.mapInArrow(with_header, "value string").write.text(path)
+    kept = files.read_csv(spark, path, multi_line=False).groupBy("note").agg(F.count(F.lit(1)).alias("rows"))
+    skipped = files.skipped_rows(spark, path, multi_line=False).select(F.lit(None).cast("string").alias("note"), F.col("skipped").alias("rows"))
+    return kept.unionByName(skipped)
 
 
 def file_table_names(spark, folder):
     """The table a file named after each nation would become."""
-    rows = [
-        (r["n_nationkey"], names.table_name("a3f2c1d4-0000", f"{r['n_name']} - {r['n_nationkey']}.v2.csv"))
-        for r in read_table(spark, folder, "nation").select("n_nationkey", "n_name").collect()
-    ]
-    return spark.createDataFrame(rows, "n_nationkey long, table_name string")
+    name = F.concat("n_name", F.lit(" - "), "n_nationkey", F.lit(".v2.csv"))
+    return _table_names(read_table(spark, folder, "nation").select(F.col("n_nationkey").cast("long"), name), "n_nationkey")
 
 
 _EVENT_STATUS = """
@@ -359,7 +378,13 @@ FROM orders GROUP BY 1""",
     ),
     "archive_load": (
         archive_load,
-        f"SELECT {big('n_nationkey')} AS n_nationkey, n_name, {big('n_regionkey')} AS n_regionkey FROM nation",
+        "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'a3f2c1d4_orders' ELSE 'a3f2c1d4_batch_1_orders' END AS table_name,"
+        f" {big('o_orderkey')} AS o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+    ),
+    "skipped_csv_rows": (
+        skipped_csv_rows,
+        f"""SELECT CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'c,d' ELSE 'e' END AS note, {big("COUNT(*)")} AS rows
+FROM events GROUP BY 1""",
     ),
     "file_table_names": (
         file_table_names,

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import json
 import posixpath
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tablewise.functions import rules
 from tablewise.sources.files import clean_header
 
 ROW_SCHEMA = "archive string, member string, row_no long, fields array<string>, problem string"
 ROWS_PER_BATCH = 5_000
+_ROWS = T.StructType([
+    T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()), T.StructField("row_no", T.LongType()),
+    T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("problem", T.StringType()),
+])
+_PIECE = 1 << 18  # bytes of a member that are inflated at once
 
 
 def wanted_member(name: str) -> bool:
@@ -87,13 +101,173 @@ def member_table(rows: DataFrame, member: str, header: list[str]) -> DataFrame:
 
 def members(spark: SparkSession, path: str) -> list:
     """archive, member, fields (the header), problem of every member; metadata for the driver."""
-    rows = unzip_rows(spark.read.format("binaryFile").load(path), headers=True)
+    found = spark.read.format("binaryFile").load(path).select("path")  # the listing alone
+    rows = rows_of_archives(spark, [r["path"] for r in found.collect()], headers=True)
     return rows.select("archive", "member", "fields", "problem").orderBy("archive", "member").collect()
 
 
+def rows_of_archives(spark: SparkSession, archives: list[str], member: str | None = None, headers: bool = False) -> DataFrame:
+    """The rows of archives, one task for each member, which is inflated as a stream. On stores that only Spark opens
+    whole archives go to the tasks, which must hold them."""
+    if not all(urlsplit(a).scheme in _STORES for a in archives):
+        return unzip_rows(spark.read.format("binaryFile").load(archives), member, headers)
+    spark.dataSource.register(ZipCsv)
+    reader = spark.read.format("zip_csv").option("archives", json.dumps(archives)).option("headers", headers)
+    return (reader if member is None else reader.option("member", member)).load()
+
+
 def one_table(spark: SparkSession, archive: str, member: str, header: list[str]) -> DataFrame:
-    rows = unzip_rows(spark.read.format("binaryFile").load(archive), member)
-    return member_table(rows, member, header)
+    return member_table(rows_of_archives(spark, [archive], member), member, header)
+
+
+def surplus_rows(rows: DataFrame, header: list[str]) -> DataFrame:
+    """How many rows of a member have more fields than its header, as one row."""
+    return rows.filter((F.col("row_no") > 0) & (F.size("fields") > len(header))).agg(F.count(F.lit(1)).alias("skipped"))
+
+
+# --- archives as a data source ------------------------------------------------------------------
+
+_STORES = {"": "file", "file": "file", "s3": "s3", "s3a": "s3", "gs": "gs", "hdfs": "hdfs"}
+
+
+def open_store(path: str):
+    """A file that can be read from any place, wherever it lies."""
+    parts = urlsplit(path)
+    if _STORES[parts.scheme] == "file":
+        return fs.LocalFileSystem().open_input_file(path.removeprefix("file://").removeprefix("file:"))
+    store, name = fs.FileSystem.from_uri(f"{_STORES[parts.scheme]}://{parts.netloc}{parts.path}")
+    return store.open_input_file(name)
+
+
+@dataclass(frozen=True)
+class Member(InputPartition):
+    archive: str
+    name: str | None
+    problem: str | None = None
+
+
+class _Whole(io.RawIOBase):
+    """Bytes that a text reader takes from a member's stream, without a byte order mark."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def encoding_of(stream) -> str:
+    """UTF-8 where the whole stream is valid UTF-8, else Latin-1; read in pieces."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        while piece := stream.read(_PIECE):
+            decoder.decode(piece)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return "latin-1"
+    return "utf-8-sig"
+
+
+class ZipCsvReader(DataSourceReader):
+    """A partition for every CSV member, found in the central directories alone."""
+
+    def __init__(self, options):
+        self.archives = json.loads(options["archives"])
+        self.member, self.headers = options.get("member"), str(options.get("headers", "false")).lower() == "true"
+
+    def partitions(self) -> list[Member]:
+        found = []
+        for archive in self.archives:
+            try:
+                with open_store(archive) as file, zipfile.ZipFile(file) as opened:
+                    names = [n for n in opened.namelist() if wanted_member(n) and self.member in (None, n)]
+            except zipfile.BadZipFile:
+                raise ValueError(f"'{archive}' is not a valid ZIP file.") from None
+            found += [Member(archive, n) for n in names]
+        return found or [Member("", None)]
+
+    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+        if partition.name is None:
+            return
+        csv.field_size_limit(1 << 30)
+        rows: list[list[str]] = []
+        first = 0
+
+        def batch(problem: str | None = None) -> pa.RecordBatch:
+            n = len(rows) if problem is None else 1
+            numbers = pa.array(range(first, first + n) if problem is None else [-1], pa.int64())
+            same = [pa.array([v] * n, pa.string()) for v in (partition.archive, partition.name, problem)]
+            fields = pa.array(rows if problem is None else [None], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([same[0], same[1], numbers, fields, same[2]], names=[f.name for f in _ROWS])
+
+        try:
+            with open_store(partition.archive) as file, zipfile.ZipFile(file) as opened:
+                with opened.open(partition.name) as stream:
+                    encoding = encoding_of(stream)
+                with opened.open(partition.name) as stream:
+                    text = io.TextIOWrapper(io.BufferedReader(_Whole(stream), _PIECE), encoding=encoding, newline="")
+                    size = 0
+                    for row in filter(None, csv.reader(text)):
+                        rows.append(row)
+                        size += sum(map(len, row))
+                        if self.headers:
+                            break
+                        if len(rows) == ROWS_PER_BATCH or size > _PIECE * 16:
+                            yield batch()
+                            first, size = first + len(rows), 0
+                            rows.clear()
+        except (zipfile.BadZipFile, RuntimeError, OSError, EOFError, zlib.error) as problem:
+            rows.clear()
+            yield batch(str(problem) or type(problem).__name__)  # a broken member does not stop the others
+            return
+        if rows:
+            yield batch()
+
+
+class ZipCsv(DataSource):
+    """``spark.read.format("zip_csv")``: rows of the CSV members of ZIP archives (options archives, member, headers)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_csv"
+
+    def schema(self) -> T.StructType:
+        return _ROWS
+
+    def reader(self, schema: T.StructType) -> ZipCsvReader:
+        return ZipCsvReader(self.options)
+
+
+def pack(rows: DataFrame, archive, member: str, folder: str) -> list[str]:
+    """Write rows as CSV members of archives, one task for each archive (named by the column ``archive``); their paths."""
+    columns = rows.columns
+    schema = "path string"
+
+    def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f"{folder}/{key[0].as_py()}.zip"
+        store = fs.LocalFileSystem()
+        parts = urlsplit(folder)
+        target = path.removeprefix("file://").removeprefix("file:")
+        if _STORES[parts.scheme] != "file":
+            store, target = fs.FileSystem.from_uri(f"{_STORES[parts.scheme]}://{parts.netloc}{parts.path}/{key[0].as_py()}.zip")
+        store.create_dir(posixpath.dirname(target), recursive=True)
+        with store.open_output_stream(target) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as out:
+            with out.open(member, "w", force_zip64=True) as stream:
+                text = io.TextIOWrapper(stream, encoding="utf-8", newline="")
+                writer = csv.writer(text)
+                writer.writerow(columns)
+                for batch in batches:
+                    writer.writerows(zip(*(c.to_pylist() for c in batch.columns[1:])))
+                text.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    texts = rows.select(archive.alias("__archive"), *(F.col(f"`{c}`").cast("string").alias(c) for c in columns))
+    return sorted(r["path"] for r in texts.groupBy("__archive").applyInArrow(write, schema).collect())
 
 
 def archive_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

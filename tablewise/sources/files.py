@@ -10,14 +10,13 @@ import posixpath
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewise.functions import names, rules
 
 CORRUPT = "_corrupt_record"
-# a comma outside quotes
-FIELD_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+QUOTED = r'"[^"]*"'
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -62,11 +61,24 @@ def read_csv(
     multi_line: bool | None = None,
     missing: Sequence[str] = rules.CSV_MISSING,
 ) -> DataFrame:
-    """A CSV table, all columns text. Rows with too many fields are skipped, short rows are
-    filled with nulls. Files stay splittable unless a quoted field spans lines, which is
+    """A CSV table, all columns text. Rows with too many fields are skipped (:func:`skipped_rows` counts them), short rows
+    are filled with nulls. Files stay splittable unless a quoted field spans lines, which is
     looked up when ``multi_line`` is not given."""
     if multi_line is None:
         multi_line = has_line_breaks_in_quotes(spark, path, encoding)
+    rows, header = _raw_rows(spark, path, encoding, multi_line)
+    values = [F.col("`" + c.replace("`", "``") + "`") for c in header]
+    # always true, but keeps a data column in the scan: Spark refuses to read the raw record alone
+    anchored = F.coalesce(F.length(values[0]), F.lit(0)) >= 0
+    kept = rows.filter(~_surplus(len(header)) & anchored)
+    columns = [
+        F.when(~value.isin(*missing), value).alias(clean_header(c)) for c, value in zip(header, values)
+    ]
+    return kept.select(*columns)
+
+
+def _raw_rows(spark: SparkSession, path: str | Sequence[str], encoding: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
+    """The rows with the text of records whose fields are not those of the header, and the header."""
     reader = spark.read.options(
         header=True, inferSchema=False, encoding=encoding, multiLine=multi_line, quote='"', escape='"',
         mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True,
@@ -75,16 +87,23 @@ def read_csv(
     )
     header = reader.csv(path).columns
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header) + f", {CORRUPT} string"
-    rows = reader.schema(schema).csv(path)
-    fields = F.size(F.split(F.col(CORRUPT), FIELD_BREAK))
-    values = [F.col("`" + c.replace("`", "``") + "`") for c in header]
-    # always true, but keeps a data column in the scan: Spark refuses to read the raw record alone
-    anchored = F.coalesce(F.length(values[0]), F.lit(0)) >= 0
-    kept = rows.filter((F.col(CORRUPT).isNull() | (fields <= len(header))) & anchored)
-    columns = [
-        F.when(~value.isin(*missing), value).alias(clean_header(c)) for c, value in zip(header, values)
-    ]
-    return kept.select(*columns)
+    return reader.schema(schema).csv(path), header
+
+
+def _surplus(fields: int) -> Column:
+    """Does a record have more fields? Commas are counted once quoted parts are gone, in one pass over the record."""
+    bare = F.regexp_replace(F.col(CORRUPT), QUOTED, "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return F.coalesce(commas >= fields, F.lit(False))
+
+
+def skipped_rows(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
+    """How many records :func:`read_csv` skips because they have more fields than the header, as one row."""
+    if multi_line is None:
+        multi_line = has_line_breaks_in_quotes(spark, path, encoding)
+    rows, header = _raw_rows(spark, path, encoding, multi_line)
+    anchored = F.coalesce(F.length(F.col("`" + header[0].replace("`", "``") + "`")), F.lit(0)) >= 0
+    return rows.filter(_surplus(len(header)) & anchored).agg(F.count(F.lit(1)).alias("skipped"))
 
 
 def clean_header(name: str) -> str:
@@ -94,12 +113,12 @@ def clean_header(name: str) -> str:
 def read_tables(
     spark: SparkSession, paths: Sequence[str], session_id: str
 ) -> tuple[dict[str, DataFrame], dict[str, dict], list[str]]:
-    """Tables by name, facts per file (name, size, encoding) and warnings for skipped files.
+    """Tables by name, facts per file (name, size, encoding) and warnings for skipped files and rows.
 
     CSV files are read with the encoding probed for them, Parquet keeps its types, ZIP archives
     contribute one table per CSV member. Files and members of the same name are all kept: the later ones
     are named after their folder or archive too, or numbered."""
-    from tablewise.sources.archives import members, one_table
+    from tablewise.sources.archives import members, one_table, rows_of_archives, surplus_rows
 
     tables: dict[str, DataFrame] = {}
     facts: dict[str, dict] = {}
@@ -114,6 +133,10 @@ def read_tables(
             name, number = f"{base}_{number}", number + 1
         return name
 
+    def warn_of(file_name: str, counted: DataFrame) -> None:
+        if skipped := counted.first()["skipped"]:
+            warnings.append(f"'{file_name}': {skipped} rows with surplus fields are left out")
+
     csvs = [p for p in paths if p.lower().endswith(".csv")]
     encodings, sizes = {}, {}
     if csvs:
@@ -125,7 +148,9 @@ def read_tables(
         name = free_name(file_name, posixpath.basename(posixpath.dirname(path.rstrip("/"))))
         if extension == ".csv":
             encoding = encodings.get(_plain_path(path), "UTF-8")
-            tables[name] = read_csv(spark, path, encoding)
+            multi_line = has_line_breaks_in_quotes(spark, path, encoding)
+            tables[name] = read_csv(spark, path, encoding, multi_line)
+            warn_of(file_name, skipped_rows(spark, path, encoding, multi_line))
             facts[name] = {"file": file_name, "size": sizes.get(_plain_path(path)), "encoding": encoding}
         elif extension == ".parquet":
             tables[name] = spark.read.parquet(path)
@@ -136,8 +161,9 @@ def read_tables(
                 if r["problem"] is not None:
                     warnings.append(f"Skipping '{base}' in '{file_name}': {r['problem']}")
                     continue
-                member_name = free_name(base, posixpath.splitext(posixpath.basename(r["archive"]))[0])
-                tables[member_name] = one_table(spark, r["archive"], r["member"], list(r["fields"]))
+                member_name, header = free_name(base, posixpath.splitext(posixpath.basename(r["archive"]))[0]), list(r["fields"])
+                tables[member_name] = one_table(spark, r["archive"], r["member"], header)
+                warn_of(base, surplus_rows(rows_of_archives(spark, [r["archive"]], r["member"]), header))
                 facts[member_name] = {"file": base, "size": None, "encoding": "zip"}
         else:
             warnings.append(f"Skipping unsupported file: '{file_name}'")

@@ -108,3 +108,49 @@ def test_unsupported_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     with pytest.raises(ValueError, match="No supported files"):
         files.read_tables(spark, [str(tmp_path / "a.txt")], "s")
+
+
+def test_surplus_rows_are_counted_and_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n1,2,3\n"x,y",2\n"p,""q""",2,3\n1\n')
+    (tmp_path / "b.zip").write_bytes(packed(**{"m.csv": "a,b\n1,2\n1,2,3\n"}))
+    assert files.skipped_rows(spark, str(tmp_path / "a.csv")).first()["skipped"] == 2
+    tables, _, warnings = files.read_tables(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.zip")], "abcd1234-x")
+    assert sorted(warnings) == ["'a.csv': 2 rows with surplus fields are left out", "'m.csv': 1 rows with surplus fields are left out"]
+    assert [df.count() for df in tables.values()] == [3, 1]
+
+
+def test_long_records_are_counted_in_one_pass(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("a,b\n" + ",".join(["1"] * 20_000) + "\n3,4\n")
+    assert files.skipped_rows(spark, str(tmp_path / "wide.csv"), multi_line=False).first()["skipped"] == 1
+    assert files.read_csv(spark, str(tmp_path / "wide.csv"), multi_line=False).filter("a = '3'").count() == 1
+
+
+def test_members_are_partitions_and_are_read_as_streams(spark, tmp_path, monkeypatch):
+    """A large member is never whole in memory: no piece that is asked for is larger than a piece."""
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("large.csv", "id,text\n" + "".join(f"{i},{'x' * 50}\n" for i in range(200_000)))
+        out.writestr("latin.csv", "n\nGröße\n".encode("latin-1"))
+        out.writestr("mark.csv", "\ufeffn\nGröße\n".encode())
+    reader = archives.ZipCsvReader({"archives": f'["{tmp_path}/big.zip"]'})
+    parts = reader.partitions()
+    assert [p.name for p in parts] == ["large.csv", "latin.csv", "mark.csv"]
+    asked, plain = [], zipfile.ZipExtFile.read
+    monkeypatch.setattr(zipfile.ZipExtFile, "read", lambda self, n=-1: asked.append(n) or plain(self, n))
+    batches = list(reader.read(parts[0]))
+    assert sum(b.num_rows for b in batches) == 200_001 and max(b.num_rows for b in batches) <= archives.ROWS_PER_BATCH
+    assert 0 < min(asked) and max(asked) <= archives._PIECE
+    assert batches[1].column(2)[0].as_py() == archives.ROWS_PER_BATCH
+    tables = archives.archive_tables(spark, str(tmp_path / "big.zip"))
+    assert tables["large.csv"].count() == 200_000
+    assert [tables[n].first()[0] for n in ("latin.csv", "mark.csv")] == ["Größe", "Größe"]
+    assert tables["mark.csv"].columns == ["n"]
+
+
+def test_packed_archives_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i % 3}", None if i % 4 else 'a "q", b') for i in range(60)], "id long, kind string, note string")
+    paths = archives.pack(rows, rows.kind, "rows.csv", str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["t0.zip", "t1.zip", "t2.zip"]
+    tables = archives.archive_tables(spark, f"{tmp_path}/*.zip")
+    assert sorted(tables) == ["t0.zip!rows.csv", "t1.zip!rows.csv", "t2.zip!rows.csv"]
+    back = sorted((int(r["id"]), r["kind"], r["note"]) for df in tables.values() for r in df.collect())
+    assert back == sorted((r["id"], r["kind"], r["note"]) for r in rows.collect())

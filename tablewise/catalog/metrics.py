@@ -195,13 +195,13 @@ named AS (SELECT *, CASE WHEN moved >= high THEN 'high' WHEN moved >= medium THE
 def _alert_rows(first: str, last: str) -> str:
     return f"""
 SELECT 'business_alert_' || severity AS event_type, severity, kpi_name, title,
-  title || ' from ' || format('{{:,.2f}}', previous_value) || ' to ' || format('{{:,.2f}}', current_value) || ' for '
-    || {first} || ' to ' || {last} || ', compared with the previous period.' AS message,
-  CASE WHEN lower(kpi_name) LIKE '%revenue%' THEN 'Review sales by product and region to locate the largest movement.'
-    WHEN lower(kpi_name) LIKE '%order%' THEN 'Check demand, order fulfillment, and cancellation trends.'
-    WHEN is_rate THEN 'Review the operational process represented by this rate.'
-    WHEN direction = 'down' THEN 'Check the affected business area and validate the source data.'
-    ELSE 'Review the affected business area and validate the source data.' END AS recommendation,
+  title || ' from ' || format('{{:,.2f}}', previous_value) || ' to ' || format('{{:,.2f}}', current_value) || ' between '
+    || {first} || ' and ' || {last} || ', against the period before.' AS message,
+  CASE WHEN lower(kpi_name) LIKE '%revenue%' THEN 'Break sales down by product and by region to see where the change comes from.'
+    WHEN lower(kpi_name) LIKE '%order%' THEN 'Compare demand, deliveries and cancelled orders of both periods.'
+    WHEN is_rate THEN 'Look into the work that this rate measures.'
+    WHEN direction = 'down' THEN 'Find out what fell, and whether all data of the period has arrived.'
+    ELSE 'Find out what rose, and whether data was loaded twice.' END AS recommendation,
   {first} AS period_from, {last} AS period_to
 FROM named"""
 
@@ -318,9 +318,9 @@ SELECT scenario, kpi_name, {rnd("base_value", 4)} AS base_value, {rnd("share * 1
     "scenario_summaries": (
         scenario_summaries,
         over_mart("""
-SELECT scenario, CASE WHEN kpi_name = 'Total Revenue' THEN 'Revenue' ELSE kpi_name END || ' would '
-  || CASE WHEN share > 0 THEN 'increase' ELSE 'decrease' END || ' by ' || printf('%.1f', ABS(share * 100))
-  || '% under the current scenario.' AS summary
+SELECT scenario, CASE WHEN kpi_name = 'Total Revenue' THEN 'Revenue' ELSE kpi_name END || ': '
+  || CASE WHEN share > 0 THEN 'a rise' ELSE 'a fall' END || ' of ' || printf('%.1f', ABS(share * 100))
+  || '% in this scenario.' AS summary
 FROM projected QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY ABS(share) DESC) = 1""", _SCENARIO),
     ),
 }

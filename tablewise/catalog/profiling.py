@@ -475,7 +475,7 @@ SELECT column_name, {big("total - filled")} AS null_count,
         outlier_notice,
         _with_scores("""
 SELECT 'anomaly_detected' AS event_type, 'Anomalies detected' AS title,
-       'Extreme values were flagged for review in ' || string_agg(table_name || ' (' || outlier_columns
+       'Values far from the rest were marked in ' || string_agg(table_name || ' (' || outlier_columns
          || ' column(s))', ', ' ORDER BY table_name) || '.' AS message
 FROM scores WHERE outlier_columns > 0 HAVING COUNT(*) > 0"""),
     ),

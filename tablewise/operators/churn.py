@@ -55,7 +55,7 @@ def churn_features(summary: DataFrame) -> DataFrame:
 def _check(df: DataFrame, columns) -> None:
     missing = sorted(set(columns) - set(df.columns) - set(OPTIONAL))
     if missing:
-        raise ValueError(f"Missing churn columns: {', '.join(missing)}")
+        raise ValueError(f"churn needs the columns {', '.join(missing)}")
 
 
 def _filled(df: DataFrame, features) -> tuple[DataFrame, tuple[str, ...]]:
@@ -92,7 +92,7 @@ def train_churn(
     labelled = df.withColumn(LABEL, F.col(LABEL).cast("double"))
     counts = {r[LABEL]: r["n"] for r in labelled.groupBy(LABEL).agg(F.count("*").alias("n")).limit(4).collect()}
     if set(counts) != {0.0, 1.0}:
-        raise ValueError("churn_label must contain exactly two classes")
+        raise ValueError("churn_label needs both of its classes")
     filled, features = _filled(labelled, rules.CHURN_FEATURES)
     train, holdout = stratified_split(filled, LABEL, 0.8, *features, LABEL, seed=seed)
     in_train = {r[LABEL]: r["n"] for r in train.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}

@@ -263,7 +263,7 @@ def outlier_notice(reports: DataFrame) -> DataFrame:
         F.lit("anomaly_detected").alias("event_type"),
         F.lit("Anomalies detected").alias("title"),
         F.concat(
-            F.lit("Extreme values were flagged for review in "),
+            F.lit("Values far from the rest were marked in "),
             F.array_join(F.transform("parts", lambda p: p["part"]), ", "),
             F.lit("."),
         ).alias("message"),

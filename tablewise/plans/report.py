@@ -19,12 +19,12 @@ def scope_text(sessions: DataFrame, filters: DashboardFilters | None) -> DataFra
         F.concat(F.lit("Rows: "), F.format_number("total_rows", 0)),
     ]
     if filters is None or not filters.active:
-        parts.append(F.lit("Filters: none"))
+        parts.append(F.lit("no filter"))
     else:
         if filters.date_from or filters.date_to:
-            parts.append(F.lit(f"Date filter: {filters.date_from or 'any'} to {filters.date_to or 'any'}"))
+            parts.append(F.lit(f"from {filters.date_from or 'the first day'} until {filters.date_to or 'the last'}"))
         if filters.category_value:
-            parts.append(F.lit(f"Category filter: {filters.category_value}"))
+            parts.append(F.lit(f"only {filters.category_value}"))
     return sessions.select("session_id", F.concat(F.concat_ws(" | ", *parts), F.lit(".")).alias("scope"))
 
 

@@ -51,7 +51,7 @@ def _member_rows(archive: str, content: bytes, member: str | None, headers: bool
     try:
         opened = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
-        raise ValueError(f"'{archive}' is not a valid ZIP file.") from None
+        raise ValueError(f"'{archive}' cannot be read as a ZIP archive") from None
     with opened:
         for name in filter(wanted_member, opened.namelist()):
             if member not in (None, name):
@@ -187,7 +187,7 @@ class ZipCsvReader(DataSourceReader):
                 with open_store(archive) as file, zipfile.ZipFile(file) as opened:
                     names = [n for n in opened.namelist() if wanted_member(n) and self.member in (None, n)]
             except zipfile.BadZipFile:
-                raise ValueError(f"'{archive}' is not a valid ZIP file.") from None
+                raise ValueError(f"'{archive}' cannot be read as a ZIP archive") from None
             found += [Member(archive, n) for n in names]
         return found or [Member("", None)]
 

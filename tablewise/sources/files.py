@@ -159,16 +159,16 @@ def read_tables(
             for r in members(spark, path):
                 base = posixpath.basename(r["member"])
                 if r["problem"] is not None:
-                    warnings.append(f"Skipping '{base}' in '{file_name}': {r['problem']}")
+                    warnings.append(f"'{base}' of '{file_name}' is left out: {r['problem']}")
                     continue
                 member_name, header = free_name(base, posixpath.splitext(posixpath.basename(r["archive"]))[0]), list(r["fields"])
                 tables[member_name] = one_table(spark, r["archive"], r["member"], header)
                 warn_of(base, surplus_rows(rows_of_archives(spark, [r["archive"]], r["member"]), header))
                 facts[member_name] = {"file": base, "size": None, "encoding": "zip"}
         else:
-            warnings.append(f"Skipping unsupported file: '{file_name}'")
+            warnings.append(f"'{file_name}' is of no known kind and is left out")
     if not tables:
-        raise ValueError("No supported files found.")
+        raise ValueError("none of the files can be loaded")
     return tables, facts, warnings
 
 

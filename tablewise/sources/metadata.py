@@ -124,7 +124,7 @@ class MetadataStore:
 
     def rename(self, session_id: str, name: str) -> None:
         if not name.strip():
-            raise ValueError("Session name cannot be empty.")
+            raise ValueError("a session's name must not be blank")
         self.set_status(session_id, None, session_name=name.strip())
 
     def sessions(self) -> DataFrame:

@@ -125,7 +125,7 @@ def test_mixed_type_points(spark):
 def test_outlier_notice(spark):
     reports = spark.createDataFrame([("orders", 2), ("customers", 0)], "table_name string, outlier_columns long")
     notice = quality.outlier_notice(reports).first()
-    assert notice["message"] == "Extreme values were flagged for review in orders (2 column(s))."
+    assert notice["message"] == "Values far from the rest were marked in orders (2 column(s))."
     assert quality.outlier_notice(reports.filter("outlier_columns = 0")).count() == 0
 
 

@@ -33,7 +33,7 @@ def upload(spark, tmp_path_factory):
 def test_run(spark, upload):
     store, done = upload
     assert done.status == "done" and not done.errors
-    assert done.warnings == ["Skipping unsupported file: 'notes.txt'"]
+    assert done.warnings == ["'notes.txt' is of no known kind and is left out"]
     assert done.row_counts == {"feedbeef_orders_2024": 150, "feedbeef_customers": 30}
     (link,) = done.relationships
     assert (link.from_table, link.to_table, link.match_percent) == ("feedbeef_orders_2024", "feedbeef_customers", 100.0)
@@ -94,12 +94,12 @@ def test_notices_of_a_session_stay_off_the_driver(spark, folder, monkeypatch):
 def test_report(upload):
     store, done = upload
     sections = report.report_tables(store, done.session_id, done.tables, done.types, done.charts)
-    assert sections["scope"].first()["scope"] == "Status: done | Rows: 180 | Filters: none."
+    assert sections["scope"].first()["scope"] == "Status: done | Rows: 180 | no filter."
     assert sections["files"].count() == 2 and sections["kpis"].count() > 3
     assert all(frame.count() <= 12 for name, frame in sections.items() if name.startswith("chart"))
     filters = DashboardFilters("order_date", dt.date(2024, 1, 1), None, "order_status", "Delivered")
     scoped = report.report_tables(store, done.session_id, done.tables, done.types, [], filters)
-    assert "Date filter: 2024-01-01 to any | Category filter: Delivered" in scoped["scope"].first()["scope"]
+    assert "from 2024-01-01 until the last | only Delivered" in scoped["scope"].first()["scope"]
 
 
 def test_public_dashboard(upload):
@@ -134,9 +134,9 @@ def test_sessions_and_names(spark, tmp_path):
 
 def test_failures(spark, tmp_path):
     store = MetadataStore(spark, str(tmp_path)).create()
-    with pytest.raises(ValueError, match="No supported files"):
+    with pytest.raises(ValueError, match="none of the files"):
         run.run_session(spark, store, [str(tmp_path / "x.txt")], session_id="dead0000")
-    assert store.status("dead0000").first()["error_message"] == "No supported files found."
+    assert store.status("dead0000").first()["error_message"] == "none of the files can be loaded"
 
 
 def test_unseen(spark):

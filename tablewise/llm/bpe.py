@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from tablewise.llm import texts
 from tablewise.llm.common import without
 
-KNOWN_WORDS = 1 << 21  # entries of a task's word table; it starts anew beyond
+KNOWN_WORDS = 1 << 19  # entries of a task's word table; it starts anew beyond
+NEW_WORDS = 1 << 13  # that are encoded at once
 
 # The normalisation and the pieces of the word BPE file.
 SPECIAL_TOKENS = ("<|startoftext|>", "<|endoftext|>")
@@ -184,10 +185,11 @@ class WordTable:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == unique[inside]
         if not known.all():
-            new = example[~known]
-            data = buf.tobytes()
-            ids, counts = self.encode_words([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            self._add(unique[~known], ids, counts)
+            new, hashes_of = example[~known], unique[~known]
+            for k in range(0, len(new), NEW_WORDS):
+                part = new[k : k + NEW_WORDS]
+                words = [buf[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+                self._add(hashes_of[k : k + NEW_WORDS], *self.encode_words(words))
             at = np.searchsorted(self.keys, unique)
         counts = self.counts[at][inverse]
         upto = np.concatenate([[0], np.cumsum(counts)])
@@ -211,6 +213,7 @@ def _table(source: str) -> tuple[WordBpe, WordTable]:
     if key not in _tables:
         _tables.clear()
         model = WordBpe(source)
+        texts.give_back()  # what reading the file took
         _tables[key] = (model, WordTable(model.encode_words))
     return _tables[key]
 
@@ -227,8 +230,8 @@ def _ids_array(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 def decode_ids(strings: list[str], ids: np.ndarray, offsets: np.ndarray) -> list[str]:
     """The token strings of each row's ids, joined by one space."""
-    names, at = ids.tolist(), offsets.tolist()
-    return [" ".join([strings[i] for i in names[a:b]]) for a, b in zip(at, at[1:])]
+    at = offsets.tolist()
+    return [" ".join([strings[i] for i in ids[a:b].tolist()]) for a, b in zip(at, at[1:])]
 
 
 def _mapped(df: DataFrame, column: str, added: list[T.StructField], work: Callable) -> DataFrame:

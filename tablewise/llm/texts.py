@@ -8,13 +8,14 @@ come from one prefix sum; two different words meet with a chance of about 2**-64
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _SPAN_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -62,11 +63,17 @@ def give_back() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """A function over batches that gives its memory back when its task ends."""
+    """A function over batches that gives its memory back every second and when its task ends."""
 
     def work(batches):
+        given = time.monotonic()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                del batch
+                if time.monotonic() > given + 1:
+                    give_back()
+                    given = time.monotonic()
         finally:
             give_back()
 

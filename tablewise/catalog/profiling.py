@@ -10,8 +10,9 @@ from tablewise.catalog.common import big, plain, rnd
 from tablewise.catalog.dirt import COLUMNS, DIRTY_SQL, dirty_orders
 from tablewise.functions import rules
 from tablewise.operators import profile as prof
+from tablewise.operators import profile_state as state
 from tablewise.operators import quality
-from tablewise.session import per_table
+from tablewise.session import per_table, stage
 from tablewise.sources.mart import Mart
 from tablewise.sources.tables import read_table
 
@@ -238,6 +239,45 @@ def _values_sql() -> str:
     )
 
 
+def profile_merged(spark, folder):
+    """The profile of every table from the states of three parts of its rows, each read once."""
+
+    def one(name, df):
+        parts, first = None, F.pmod(F.xxhash64(F.col(f"`{df.columns[0]}`")), F.lit(3))
+        for part in range(3):
+            parts = stage(state.add_part(parts, df.filter(first == part), name), "profile-state")
+        return parts
+
+    states = per_table(one, {t: read_table(spark, folder, t) for t in RAW})
+    found = state.profile_of(reduce(lambda a, b: a.unionByName(b), states.values()))
+    texts = [f"{t}.{spec.split(':')[0]}" for t, specs in RAW.items() for spec in specs if spec.endswith(":text")]
+    is_text = F.concat_ws(".", "table_name", "column_name").isin(texts)
+    samples = F.array_join(F.transform("samples", lambda v: F.md5(v.cast("binary"))), "|")
+    return found.select(
+        "table_name", "column_name", "total_rows", "null_count", "null_percent", "numbers", "low", "high",
+        F.when(is_text, F.col("longest")).alias("longest"), F.when(is_text, samples).alias("samples"),
+    )
+
+
+def _merged_sql() -> str:
+    parts = []
+    for t, specs in RAW.items():
+        for spec in specs:
+            name, kind = spec.split(":")
+            c = f'"{name}"'
+            v = number_sql(c) if kind == "text" else f"CAST({c} AS DOUBLE)" if kind in ("whole", "real") else "CAST(NULL AS DOUBLE)"
+            longest, samples = "NULL", "NULL"
+            if kind == "text":
+                longest = f"MAX(length({c}))"
+                marks = f"(SELECT DISTINCT md5({c}) AS m FROM {t} WHERE {c} IS NOT NULL ORDER BY m LIMIT {rules.SAMPLE_VALUES})"
+                samples = f"(SELECT string_agg(m, '|' ORDER BY m) FROM {marks} AS marks)"
+            parts.append(f"""
+SELECT '{t}' AS table_name, '{name}' AS column_name, {big("COUNT(*)")} AS total_rows, {big(f"COUNT(*) - COUNT({c})")} AS null_count,
+  {rnd(f"CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) * 100")} AS null_percent, {big(f"COUNT({v})")} AS numbers,
+  MIN({v}) + 0.0 AS low, MAX({v}) + 0.0 AS high, {big(longest)} AS longest, CAST({samples} AS VARCHAR) AS samples FROM {t}""")
+    return "\nUNION ALL ".join(parts)
+
+
 def schema_nested(spark, folder):
     frames = [_profile(read_table(spark, folder, t), t) for t in RAW]
     nested = prof.nested_schema(reduce(lambda a, b: a.unionByName(b), frames))
@@ -436,6 +476,7 @@ QUERIES = {
     ),
     "filter_metadata": (filter_metadata, _filter_sql()),
     "filter_values": (filter_values, _values_sql()),
+    "profile_merged": (profile_merged, _merged_sql()),
     "schema_nested": (
         schema_nested,
         "WITH " + _types_sql(_NESTED_TABLES) + """

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, div, over_mart, plain, rnd
-from tablewise.catalog.profiling import KEYED_SQL
-from tablewise.operators import joins, relate
+from tablewise.catalog.profiling import KEYED_SQL, RAW
+from tablewise.operators import joins, key_search, relate
 from tablewise.operators.profile import profile_table
 from tablewise.plans import generated
 from tablewise.session import per_table
 from tablewise.sources.mart import Mart
+from tablewise.sources.tables import read_table
 
 ITEM_TYPES = {
     "order_id": "id", "product_id": "id", "seller_id": "id", "order_item_id": "numeric",
@@ -129,7 +130,32 @@ _TURNED = [(b, a) for a, b in _LISTED]
 _REL = f"""CASE WHEN match >= 0.8 THEN 'high' WHEN match >= 0.5 THEN 'medium' ELSE 'low' END AS confidence,
   {rnd("match * 100")} AS match_percent"""
 
+KEY_COLUMNS = {
+    t: [spec.split(":")[0] for spec in specs if spec.endswith("key:whole") or spec.endswith("id:whole")] for t, specs in RAW.items()
+}
+
+
+def key_containments(spark, folder):
+    """Every pair of key columns of the folder of which one holds half of the other's values or more, names left aside."""
+    columns = {t: names for t, names in KEY_COLUMNS.items() if names}
+    found = key_search.containments({t: read_table(spark, folder, t) for t in columns}, columns)
+    return found.withColumn("match", F.round("match", 6))
+
+
+def _containments_sql() -> str:
+    values = "\nUNION ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, names in KEY_COLUMNS.items() for c in names
+    )
+    return f"""WITH held AS ({values}),
+sizes AS (SELECT t, c, COUNT(*) AS n FROM held GROUP BY t, c),
+shared AS (SELECT a.t AS at_, a.c AS ac, b.t AS bt, b.c AS bc, COUNT(*) AS n FROM held a JOIN held b ON a.v = b.v AND a.t <> b.t GROUP BY ALL)
+SELECT s.at_ AS from_table, s.ac AS from_column, s.bt AS to_table, s.bc AS to_column, {big("x.n")} AS from_keys, {big("y.n")} AS to_keys,
+  {big("s.n")} AS shared, ROUND(CAST(s.n AS DOUBLE) / x.n, 6) AS match
+FROM shared s JOIN sizes x ON x.t = s.at_ AND x.c = s.ac JOIN sizes y ON y.t = s.bt AND y.c = s.bc WHERE 2 * s.n >= x.n"""
+
+
 QUERIES = {
+    "key_containments": (key_containments, _containments_sql()),
     "fk_match": (
         fk_match,
         _overlap_sql(PAIRS) + f"""SELECT from_table, from_column, to_table, to_column, {big("from_keys")} AS from_keys,

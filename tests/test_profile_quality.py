@@ -1,9 +1,12 @@
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewise.operators import profile as prof
-from tablewise.operators import quality
+from tablewise.operators import profile_state, quality
 from tablewise.operators.quantiles import exact_quantiles
 
 
@@ -137,3 +140,22 @@ def test_search_and_summary(spark):
     summary = prof.dataset_summary(frame, scores).first()
     assert (summary["tables"], summary["fields"], summary["total_rows"], summary["overall_quality"]) == (2, 3, 15, 85)
     assert summary["completeness"] == 66.67
+
+
+def test_states_of_parts_are_the_state_of_the_whole(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["x", None, "12", " 3.5", "long " * 30]), rng.choice([None, -0.0, 1.5, 1e6]), f"v{rng.randrange(4000)}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, word string, amount double, many string")
+    whole = {r["column_name"]: r for r in profile_state.profile_of(profile_state.column_state(df, "t")).collect()}
+    parts = None
+    for k in range(3):
+        parts = profile_state.add_part(parts, df.filter(F.col("id") % 3 == k), "t")
+    joined = {r["column_name"]: r for r in profile_state.profile_of(parts).collect()}
+    assert joined == whole and set(whole) == {"id", "word", "amount", "many"}
+    values = [r[3] for r in rows]
+    assert abs(whole["many"]["distinct_estimate"] / len(set(values)) - 1) < 0.05  # three standard errors
+    assert whole["many"]["samples"] == sorted(set(values), key=lambda v: hashlib.md5(v.encode()).digest())[:5]
+    assert (whole["word"]["numbers"], whole["word"]["high"]) == (sum(r[1] in ("12", " 3.5") for r in rows), 12.0)
+    assert whole["amount"]["null_count"] == sum(r[2] is None for r in rows)
+    empty = profile_state.profile_of(profile_state.add_part(parts, df.limit(0), "t")).collect()
+    assert {r["column_name"]: r for r in empty} == whole

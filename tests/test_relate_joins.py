@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from tablewise.operators import joins, relate
+from tablewise.operators import joins, key_search, relate
 from tablewise.operators.profile import profile_table
 from tablewise.plans import generated
 
@@ -92,7 +94,7 @@ def test_create_join_views(spark, shop):
     result = joins.create_join_views("abcd1234-x", shop, [*found, low])
     assert result.master_name == "master_view_abcd1234" and not result.errors
     assert spark.table("view_s_orders_customers").count() == 60
-    assert any(line.startswith("Skipped low-confidence") for line in result.log)
+    assert any(line.startswith("left out, too uncertain") for line in result.log)
     broken = relate.Relationship("s_orders", "nope", "s_customers", "customer_id", "high", 90.0, "view_broken")
     assert joins.create_join_views("abcd1234-x", shop, [broken]).errors
     assert joins.create_join_views("x", shop, []).log == ["no table refers to another; no views are built"]
@@ -121,3 +123,23 @@ def test_hot_key_fills_all_tasks(spark):
     out = joins.master_fact_rows({"s_f": fact, "s_m": many}, links(("s_f", "k", "s_m", "k")))
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) > 50_000 and max(sizes) < 2 * sum(sizes) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_key_search_loses_no_pair(spark):
+    """All ordered pairs of columns against the exact shares, with sketches much smaller than the columns."""
+    rng = random.Random(9)
+    held = {f"t{i}": {"k": rng.sample(range(3000), rng.choice([5, 40, 900, 2500])), "m": rng.sample(range(200), 30)} for i in range(6)}
+    held["t6"] = {"k": [7], "m": []}
+    rows = {t: [(c.get("k")[i] if i < len(c["k"]) else None, c["m"][i] if i < len(c["m"]) else None) for i in range(max(len(c["k"]), len(c["m"])))] for t, c in held.items()}
+    tables = {t: spark.createDataFrame([(a, None if b is None else f" {b}") for a, b in r], "k long, m string") for t, r in rows.items()}
+    want = {}
+    for t, own in held.items():
+        for u, other in held.items():
+            for c in own:
+                for d in other:
+                    if t != u and own[c] and 2 * len(set(own[c]) & set(other[d])) >= len(own[c]):
+                        want[t, c, u, d] = len(set(own[c]) & set(other[d]))
+    for sketch in (64, 4000):
+        found = key_search.containments(tables, {t: ["k", "m"] for t in held}, sketch=sketch).collect()
+        assert {(r["from_table"], r["from_column"], r["to_table"], r["to_column"]): r["shared"] for r in found} == want
+    assert 0.25 < key_search.slack(64) < 0.5 and key_search.slack(256) < 0.25

@@ -33,12 +33,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    groups = jaccard_join.link(rows, width=5, percent=80, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    first = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
-    extra = groups.join(first.select("first.__row"), "__row", "left_anti").select("__row")
-    return rows.join(extra, "__row", "left_anti").select(*docs.columns)
+    row = "__row"
+    while row in (c.lower() for c in docs.columns):  # a name of its own among the columns
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard_join.link(rows, width=5, percent=80, doc_id=row).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
+    extra = groups.join(first.select(f"first.{row}"), row, "left_anti").select(row)
+    return rows.join(extra, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Exact top-k by inner product: columnar branch and bound.
 
 Each component x becomes ``floor(scale * x)``; scores are integer inner products, so results are exact.
-The stated queries go through in blocks of ``QUERY_BLOCK`` (a few MB, the bound of what is broadcast);
-for every block each task turns its candidates into column-wise blocks and adds up products one
+Queries and candidates are cut into blocks, and each block of queries meets each block of candidates in one cell of a grid, which
+one task works on: nothing is broadcast or passes the driver, and a task holds about ``QUERY_BLOCK`` queries
+and ``CELL`` candidates at most. A cell turns its candidates into column-wise blocks and adds up products one
 group of dimensions after another. Candidates whose partial score plus the largest possible rest
 (Cauchy-Schwarz on the remaining mass of both vectors) stays under the k-th best score so far are
-dropped and the others moved together. Every task returns k rows per query, and the best k of all are kept.
+dropped and the others moved together. Every cell returns k rows per query, and the best k of all are kept.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
 Of vectors of different lengths the shorter is extended by zeros. Query rows that agree in id and vector are one
@@ -21,9 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm import texts
+from tablewise.llm.common import stage
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 8192  # queries of a cell, at most
+CELL = 1 << 16  # candidates of a cell, at most
+CANDIDATE_BLOCK = LEAST_BLOCK = 8192  # candidates worked on at once; cells are not made smaller for the sake of tasks
 GROUP = 16  # dimensions added at a time
 
 
@@ -98,72 +101,63 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids:
         best[i] = (all_scores[top], all_ids[top])
 
 
-def _block(rows: list) -> tuple[np.ndarray, np.ndarray, int]:
-    width = max((len(r["v"]) for r in rows), default=0)
-    out = np.zeros((width, len(rows)), np.int64)
-    for i, r in enumerate(rows):
-        out[: len(r["v"]), i] = r["v"]
-    return out, np.array([r["id"] for r in rows], np.int64), width
+def _vectors(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """A group's vectors and ids; the columns of an empty side are not given."""
+    if not table.num_rows:
+        return pa.array([], pa.list_(pa.int64())), np.zeros(0, np.int64)
+    return table.column("v").combine_chunks(), table.column("id").to_numpy()
 
 
-def _scored(candidates: DataFrame, queries: np.ndarray, query_ids: np.ndarray, first: int, k: int) -> DataFrame:
-    """query (its number), query_id, vec_id, score: the k best of every task for a block of queries."""
-    shared = candidates.sparkSession.sparkContext.broadcast((queries, query_ids))
+def _cell(k: int):
+    """The k best candidates of a cell for every query of it: query (its number), query_id, vec_id, score."""
+    names = ["query", "query_id", "vec_id", "score"]
 
-    def run(batches):
-        held, held_ids, size = [], [], 0
-        queries, query_ids = shared.value
+    def run(key, mine: pa.Table, stated: pa.Table) -> pa.Table:
+        vectors, ids = _vectors(mine)
+        asked, query_ids = _vectors(stated)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
-
-        def search():
-            width = max(len(queries), max(len(b) for b in held))
-            block = np.concatenate([np.pad(b, ((0, width - len(b)), (0, 0))) for b in held], axis=1)
-            wide = np.pad(queries, ((0, width - len(queries)), (0, 0)))
-            if width:
-                _search(wide, query_ids, block, np.concatenate(held_ids), best, k)
-            else:
-                _search(np.zeros((1, len(query_ids)), np.int64), query_ids, np.zeros((1, block.shape[1]), np.int64), np.concatenate(held_ids), best, k)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
-                part = batch.slice(at, CANDIDATE_BLOCK)
-                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                held.append(_matrix(part.column(1), int(lengths.max(initial=0))))
-                held_ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                size += part.num_rows
-                if size >= CANDIDATE_BLOCK:
-                    search()
-                    held, held_ids, size = [], [], 0
-        if size:
-            search()
+        if len(query_ids):
+            lengths = [c.value_lengths().to_numpy(zero_copy_only=False).max(initial=1) for c in (vectors, asked)]
+            width = max(int(max(lengths)), 1)
+            wanted = _matrix(asked, width)
+            for at in range(0, len(ids), CANDIDATE_BLOCK):
+                part = vectors.slice(at, CANDIDATE_BLOCK)
+                _search(wanted, query_ids, _matrix(part, width), ids[at : at + CANDIDATE_BLOCK], best, k)
         counts = [len(s) for s, _ in best]
-        number = np.repeat(np.arange(first, first + len(best)), counts)
-        columns = [number, np.repeat(query_ids, counts), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
+        number = stated.column("query").to_numpy() if len(query_ids) else query_ids
+        empty = [np.zeros(0, np.int64)]
+        columns = [np.repeat(number, counts), np.repeat(query_ids, counts)]
+        columns += [np.concatenate(empty + [b[i] for b in best]) for i in (1, 0)]
+        out = pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+        texts.give_back()
+        return out
+
+    return run
+
 
-    return candidates.mapInArrow(texts.lean(run), "query bigint, query_id bigint, vec_id bigint, score bigint")
+def cells(queries: int, candidates: int, tasks: int) -> tuple[int, int]:
+    """Blocks of queries and of candidates: each block of queries meets each block of candidates in one cell. Blocks are
+    of bounded size, and small enough for every task to have some."""
+    most = max(1, -(-candidates // LEAST_BLOCK))
+    return max(1, -(-queries // QUERY_BLOCK)), max(1, -(-candidates // CELL), min(2 * tasks, most))
 
 
 def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best other rows for every row with ``is_query``."""
     candidates = _integers(df, vec_id, vector, scale)
     queries = _integers(df.filter(is_query), vec_id, vector, scale).distinct()
-    found, rows, first = None, [], 0
-
-    def add():
-        nonlocal found, first
-        block, ids, _ = _block(rows)
-        part = _scored(candidates, block, ids, first, k)
-        found = part if found is None else found.unionAll(part)
-        first += len(rows)
-        rows.clear()
-
-    for row in queries.toLocalIterator():
-        rows.append(row)
-        if len(rows) == QUERY_BLOCK:
-            add()
-    if rows or found is None:
-        add()
+    queries = stage(queries.withColumn("query", F.monotonically_increasing_id()), "topk-queries")
+    of_queries, of_candidates = cells(queries.count(), candidates.count(), df.sparkSession.sparkContext.defaultParallelism)
+
+    def times(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(of_candidates)).cast("int")  # even, whatever repeats
+    mine = candidates.withColumn("c_block", own).withColumn("q_block", times(of_queries))
+    stated = queries.withColumn("q_block", F.pmod(F.col("query"), F.lit(of_queries)).cast("int")).withColumn("c_block", times(of_candidates))
+    cell = ["q_block", "c_block"]
+    schema = "query bigint, query_id bigint, vec_id bigint, score bigint"
+    found = mine.groupBy(*cell).cogroup(stated.groupBy(*cell)).applyInArrow(_cell(k), schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

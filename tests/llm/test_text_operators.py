@@ -278,6 +278,8 @@ def test_search_of_few_rows(spark):
 
 def test_search_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CELL", 7)
+    assert topk.cells(10, 100, 4) == (4, 15)
     rng = np.random.default_rng(6)
     rows = [(i * 10, [float(x) for x in rng.normal(size=20)]) for i in range(100)]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)

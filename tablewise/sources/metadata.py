@@ -3,6 +3,11 @@
 Plain Parquet has no row updates, so state changes are appended as events and the latest
 state is an aggregate (``max_by``); snapshots of one session are replaced by overwriting its
 partition.
+
+The log of status events is kept in generations. :meth:`MetadataStore.compact` (once a day, say) opens the next one and writes a snapshot of
+all that are closed for a whole round already, so that a slow writer of the last one loses nothing: of each session
+the few events that still decide its state. The manifest, one row per compaction, says which generation is open and where the
+log begins behind the snapshot; reading takes the snapshot and the log from there on, whatever came before.
 """
 
 from __future__ import annotations
@@ -10,7 +15,9 @@ from __future__ import annotations
 import datetime as dt
 import time
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +63,7 @@ SCHEMAS = {
     ),
     "notification_reads": "session_id string, read_at timestamp",
 }
+MANIFEST = "open int, begins int"
 NOTICE_KEYS = ("session_id", "event_type", "title", "message")
 
 
@@ -71,6 +79,44 @@ class MetadataStore:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    # ---- generations of the status log ----
+
+    def _manifest(self) -> tuple[int, int]:
+        """The open generation, and the first one that is not in the snapshot."""
+        try:
+            rows = self.spark.read.schema(MANIFEST).parquet(self.path("status_manifest"))
+        except AnalysisException:  # a store without a compaction
+            return 0, 0
+        newest = rows.agg(F.max(F.struct("open", "begins")).alias("m")).first()["m"]
+        return (newest["open"], newest["begins"]) if newest else (0, 0)
+
+    def _generation(self, number: int) -> str:
+        return f"{self.path('status_events')}/generation={number}"
+
+    def _open(self, number: int) -> None:
+        """A generation's folder, so that it can be read before its first event."""
+        empty = self.spark.createDataFrame([], STATUS_EVENTS)
+        empty.write.mode("append").partitionBy("session_id").parquet(self._generation(number))
+
+    def _status_log(self, without_open: bool = False) -> DataFrame:
+        open_, begins = self._manifest()
+        schema = T.StructType.fromDDL(STATUS_EVENTS)
+        names = schema.fieldNames()
+        log = [self.spark.read.schema(schema).parquet(self._generation(g)).select(*names) for g in range(begins, open_ + (not without_open))]
+        if begins:
+            log.append(self.spark.read.schema(schema).parquet(f"{self.path('status_snapshots')}/begins={begins}").select(*names))
+        return reduce(lambda a, b: a.unionByName(b), log)
+
+    def compact(self) -> None:
+        """Open the next generation and write the snapshot of those that were closed before this round."""
+        open_, _ = self._manifest()
+        if open_:  # the generation that is open now may still get an event of a slow writer
+            snapshot = deciding(self._status_log(without_open=True))
+            snapshot.write.mode("overwrite").parquet(f"{self.path('status_snapshots')}/begins={open_}")
+        self._open(open_ + 1)
+        row = self.spark.createDataFrame([(open_ + 1, open_)], MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(self.path("status_manifest"))
+
     def _shaped(self, table: str, df: DataFrame) -> DataFrame:
         fields = T.StructType.fromDDL(SCHEMAS[table]).fields
         stamp = F.lit(now()).cast("timestamp")
@@ -85,13 +131,17 @@ class MetadataStore:
 
     def create(self) -> MetadataStore:
         """Empty tables, so that reading works before the first write."""
+        self._open(0)
         for table, schema in SCHEMAS.items():
+            if table == "status_events":
+                continue
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("append").partitionBy("session_id").parquet(self.path(table))
         return self
 
     def append(self, table: str, df: DataFrame) -> None:
-        self._shaped(table, df).write.mode("append").partitionBy("session_id").parquet(self.path(table))
+        path = self._generation(self._manifest()[0]) if table == "status_events" else self.path(table)
+        self._shaped(table, df).write.mode("append").partitionBy("session_id").parquet(path)
 
     def replace(self, table: str, df: DataFrame, session_id: str) -> None:
         """Replace one session's rows in one pass over them. A row of nulls, which :meth:`read` skips,
@@ -104,7 +154,10 @@ class MetadataStore:
 
     def read(self, table: str, session_id: str | None = None) -> DataFrame:
         schema = T.StructType.fromDDL(SCHEMAS[table])
-        df = self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.fieldNames())
+        if table == "status_events":
+            df = self._status_log()
+        else:
+            df = self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.fieldNames())
         others = [F.col(c).isNotNull() for c in schema.fieldNames() if c != "session_id"]
         filled = others[0]
         for test in others[1:]:
@@ -169,6 +222,22 @@ def unseen(new: DataFrame, old: DataFrame, keys=NOTICE_KEYS) -> DataFrame:
     return new.dropDuplicates(list(keys)).join(old.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def deciding(events: DataFrame) -> DataFrame:
+    """The events that decide what :func:`latest_sessions` says, at most five of a session."""
+    order = F.struct("event_at", "event_no")
+    whole = F.struct(*T.StructType.fromDDL(STATUS_EVENTS).fieldNames())
+
+    def last(test: Column) -> Column:
+        return F.max_by(F.when(test, whole), F.when(test, order))
+
+    kept = F.array(
+        last(F.col("status").isNotNull()), last(F.col("total_files") > 0), last(F.col("total_rows") > 0),
+        last(F.col("session_name").isNotNull()), F.min_by(whole, order),
+    )
+    found = events.groupBy("session_id").agg(F.array_distinct(F.array_compact(kept)).alias("kept"))
+    return found.select(F.explode("kept").alias("e")).select("e.*")
+
+
 def latest_sessions(events: DataFrame) -> DataFrame:
     """The current state per session from its event log: last status, last counts above zero,
     last name given. One aggregation with map-side combine."""

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from tablewise.catalog import sessions
 from tablewise.operators import insights
 from tablewise.operators.filters import DashboardFilters
 from tablewise.plans import report, run, sqlaccess
-from tablewise.sources.metadata import MetadataStore, latest_sessions, unseen
+from tablewise.sources.metadata import SCHEMAS, MetadataStore, latest_sessions, unseen
 
 
 @pytest.fixture(scope="module")
@@ -170,3 +171,34 @@ def test_guard_passes_and_runs(spark):
     assert sqlaccess.run_query(spark, "SELECT id FROM 5eed0042_numbers", rows=50).count() == 50
     context = sqlaccess.schema_context(spark, "5eed0042").collect()
     assert [(r["object_name"], r["column_name"], r["data_type"]) for r in context] == [("5eed0042_numbers", "id", "bigint")]
+
+
+def test_compaction_keeps_every_state_and_bounds_what_is_read(spark, tmp_path):
+    rng = random.Random(3)
+    plain, store = (MetadataStore(spark, str(tmp_path / n)).create() for n in ("plain", "compacted"))
+    start, number = dt.datetime(2024, 1, 1), 0
+    for day in range(5):
+        rows = []
+        for _ in range(60):
+            number += 1
+            rows.append((
+                f"s{rng.randrange(8)}", start + dt.timedelta(minutes=number), number, rng.choice(["loading", "done", "error", None]),
+                rng.choice([0, 3, 7]), rng.choice([0, 100]), None, None, rng.choice([None, None, f"name {number}"]),
+            ))
+        events = spark.createDataFrame(rows, SCHEMAS["status_events"])
+        for s in (plain, store):
+            s.append("status_events", events)
+        store.compact()
+        assert sorted(map(str, store.sessions().collect())) == sorted(map(str, plain.sessions().collect()))
+    # an event that a slow writer adds to the generation before the open one still counts
+    late = spark.createDataFrame([("s1", start + dt.timedelta(days=9), 10**6, "slow", 1, 1, None, None, None)], SCHEMAS["status_events"])
+    late.write.mode("append").partitionBy("session_id").parquet(store._generation(4))
+    assert {r["session_id"]: r["status"] for r in store.sessions().collect()}["s1"] == "slow"
+    store.compact()
+    assert {r["session_id"]: r["status"] for r in store.sessions().collect()}["s1"] == "slow"
+    store.compact()
+    log = store._status_log()
+    assert log.count() <= 5 * 8 and len(plain._status_log().inputFiles()) > len(log.inputFiles())
+    assert store._manifest() == (7, 6)
+    store.set_status("s2", "renewed")
+    assert store.status("s2").first()["status"] == "renewed"

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tablewise.llm import texts
 from tablewise.llm.common import without
 
-KNOWN_WORDS = 1 << 19  # entries of a task's word table; it starts anew beyond
+KNOWN_WORDS = 1 << 21  # entries of a task's word table; it starts anew beyond
 NEW_WORDS = 1 << 13  # that are encoded at once
 
 # The normalisation and the pieces of the word BPE file.
@@ -170,7 +170,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +185,13 @@ class WordTable:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == unique[inside]
         if not known.all():
-            new, hashes_of = example[~known], unique[~known]
+            new, found = example[~known], []
             for k in range(0, len(new), NEW_WORDS):
                 part = new[k : k + NEW_WORDS]
-                words = [buf[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
-                self._add(hashes_of[k : k + NEW_WORDS], *self.encode_words(words))
+                found.append(self.encode_words([buf[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]))
+            self._add(unique[~known], *(np.concatenate([x[i] for x in found]) for i in (0, 1)))
             at = np.searchsorted(self.keys, unique)
-        counts = self.counts[at][inverse]
+        counts = self.counts[at][inverse].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(counts)])
         return texts.gather(self.ids, self.starts[at][inverse], counts), upto[first]
 

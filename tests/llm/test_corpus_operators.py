@@ -373,3 +373,5 @@ def test_one_row_of_near_copies_stays(spark):
     assert left.columns == docs.columns
     want = [(1, a), (2, b), (3, c), (None, d), (5, e), (None, "alone here"), (4, "")]
     assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    own = docs.withColumn("__Row", F.lit("own"))
+    assert corpus_pipeline.drop_near_copies(spark, own, "").filter("__Row = 'own'").count() == len(want)

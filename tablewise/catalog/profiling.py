@@ -329,7 +329,8 @@ def _score_tables(spark, folder):
 
 
 def _outliers(name, df):
-    profile = prof.profile_table(df, name, samples=False)
+    likely = df.select(*(F.col(f"`{c}`") for c in prof.number_candidates(df)))
+    profile = prof.profile_table(likely, name, samples=False) if likely.columns else []
     columns = [p.column_name for p in profile if p.detected_type in ("numeric", "currency")]
     return [(name, c, n) for c, n in quality.count_outliers(df, columns).items()]
 
@@ -433,6 +434,36 @@ def _with_scores(body: str) -> str:
     return "WITH " + ",\n".join([DIRTY_SQL, _types_sql(_OUTLIER_SPECS), _outlier_sql(), _SCORES]) + body
 
 
+def _summaries_sql() -> str:
+    """The sentences of every table's findings, in their order."""
+    fills = " ".join(f"WHEN '{kind}' THEN '{text}'" for kind, text in rules.IMPUTATION_TEXT.items())
+    return _with_scores(f""",
+issues AS (
+  SELECT table_name, 1 AS at_, CAST(-1 AS BIGINT) AS place, printf('%d rows repeat others (%.1f%%)', duplicate_rows, duplicate_rows * 100.0 / total_rows) AS found,
+    printf('Cleaning removes %d repeated rows', duplicate_rows) AS done FROM dup WHERE duplicate_rows > 0
+  UNION ALL
+  SELECT table_name, 2, column_order, column_name || ' holds no value at all', column_name || ': cleaning writes ''Unknown'''
+  FROM typed WHERE filled = 0 AND total > 0
+  UNION ALL
+  SELECT table_name, 2, column_order, printf('%s lacks %d values (%.1f%%)', column_name, total - filled, ROUND((total - filled) * 100.0 / total, 2)),
+    column_name || ': ' || CASE detected_type {fills} END FROM typed WHERE filled > 0 AND total - filled > 0.05 * total
+  UNION ALL
+  SELECT t.table_name, 3, column_order, printf('%s holds %d extreme values (%.1f%%)', t.column_name, outlier_count, outlier_count * 100.0 / total),
+    t.column_name || ': cleaning marks them in is_outlier_' || t.column_name || ' and keeps them'
+  FROM typed t JOIN outliers o ON t.table_name = o.table_name AND t.column_name = o.column_name WHERE outlier_count > 0
+  UNION ALL
+  SELECT table_name, 4, column_order, column_name || ' mixes numbers with other text', column_name || ': cleaning reads the numbers and fills the rest'
+  FROM typed WHERE kind = 'text' AND detected_type IN ('numeric', 'currency') AND numbers < filled),
+told AS (SELECT table_name, string_agg(found, ' | ' ORDER BY at_, place) AS issues, string_agg(done, ' | ' ORDER BY at_, place) AS actions FROM issues GROUP BY 1),
+parts AS (SELECT *, {_LEVEL} AS level, concat_ws(', ', CASE WHEN duplicate_rows > 0 THEN duplicate_rows || ' repeated rows' END,
+    CASE WHEN columns_with_nulls > 0 THEN columns_with_nulls || ' columns with gaps' END,
+    CASE WHEN outlier_columns > 0 THEN outlier_columns || ' columns with extreme values' END) AS text FROM scores)
+SELECT p.table_name, 'Quality: ' || level || ', ' || quality_score || ' of 100 points. '
+    || CASE WHEN text = '' THEN 'Nothing was found.' ELSE 'Found: ' || text || '. Cleaning takes care of them.' END AS summary,
+  coalesce(issues, '') AS issues, coalesce(actions, '') AS actions
+FROM parts p LEFT JOIN told t ON p.table_name = t.table_name""")
+
+
 _FILTER_TABLES = RAW
 
 
@@ -511,7 +542,7 @@ SELECT column_name, {big("total - filled")} AS null_count,
         + f"\nSELECT table_name, column_name, {big('outlier_count')} AS outlier_count FROM outliers",
     ),
     "quality_scores": (quality_scores, _with_scores(f"\nSELECT *, {_LEVEL} AS level FROM scores")),
-    "quality_summaries": (quality_summaries, None),
+    "quality_summaries": (quality_summaries, _summaries_sql()),
     "outlier_notice": (
         outlier_notice,
         _with_scores("""

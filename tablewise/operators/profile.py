@@ -321,6 +321,17 @@ def profile_table(
     return out
 
 
+def number_candidates(df: DataFrame) -> list[str]:
+    """Columns that may be numeric or currency: numbers, and texts of which 95 % of the filled ones are numbers. One pass
+    that shuffles no values, so long texts cost their reading alone."""
+    kinds = {f.name: stored_as(f.dataType) for f in df.schema.fields}
+    texts = [c for c, k in kinds.items() if k == "text"]
+    counts = [F.count(F.col(f"`{c}`")) for c in texts] + [F.count(to_number(F.col(f"`{c}`"))) for c in texts]
+    found = list(df.agg(*counts).first()) if texts else []
+    likely = {c for c, filled, numbers in zip(texts, found, found[len(texts):]) if filled and numbers >= rules.NUMERIC_TEXT_MIN_SHARE * filled}
+    return [c for c, k in kinds.items() if k in ("whole", "real") or c in likely]
+
+
 def types_of(profile: Sequence[ColumnProfile]) -> dict[str, str]:
     return {p.column_name: p.detected_type for p in profile}
 

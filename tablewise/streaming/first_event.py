@@ -74,12 +74,10 @@ def openings(linked: DataFrame) -> DataFrame:
     reached = stage(first, "windows-reached")
     jumps = linked.filter("next is not null").select("client", "us", F.col("next").alias("to"))
     while not jumps.isEmpty():
-        jumps = stage(jumps, "windows-jumps")
         more = reached.join(jumps, ["client", "us"]).select("client", F.col("to").alias("us"))
-        longer = stage(reached.unionByName(more), "windows-reached")
+        reached = stage(reached.unionByName(more), "windows-reached")
         ahead = jumps.select("client", F.col("us").alias("to"), F.col("to").alias("further"))
-        jumps = jumps.join(ahead, ["client", "to"]).select("client", "us", F.col("further").alias("to"))
-        reached = longer
+        jumps = stage(jumps.join(ahead, ["client", "to"]).select("client", "us", F.col("further").alias("to")), "windows-jumps")
     return linked.join(reached, ["client", "us"], "left_semi")
 
 
@@ -103,8 +101,8 @@ class FirstEventWindows:
         writer.partitionBy("batch_id").parquet(f"{self.root}/{name}")
 
     def batch(self, events: DataFrame, batch_id: int) -> None:
-        """Fold a batch of (client, us) in: closed windows and what stays open are written."""
-        fresh = stage(events.filter("us is not null").groupBy("client", "us").agg(F.count(F.lit(1)).alias("n")), "windows-fresh")
+        """Fold a batch of (client, us) in (rows without either take no part): closed windows and what stays open are written."""
+        fresh = events.filter("us is not null and client is not null").groupBy("client", "us").agg(F.count(F.lit(1)).alias("n"))
         kept = self._pending(batch_id)
         mark = self.marks.at_start(batch_id)
         if mark is not None:
@@ -112,10 +110,8 @@ class FirstEventWindows:
         if self.by_successor:  # an open window takes what comes before its start
             opened = kept.groupBy("client").agg(F.min("us").alias("opened"))
             fresh = fresh.join(opened, "client", "left").select("client", F.greatest("us", "opened").alias("us"), "n")
-        counts = kept.unionByName(fresh).groupBy("client", "us").agg(F.sum("n").alias("n"))
-        newest = fresh.agg(F.max("us")).first()[0]
-        mark = self.marks.note(batch_id, newest)
-        counts = stage(counts, "windows-counts")
+        counts = stage(kept.unionByName(fresh).groupBy("client", "us").agg(F.sum("n").alias("n")), "windows-counts")
+        mark = self.marks.note(batch_id, counts.agg(F.max("us")).first()[0])  # what is kept is no newer than what was noted
         windows = openings(with_successors(counts, self.length))
         closed = F.lit(False) if mark is None else F.col("us") + self.length <= mark
         if self.by_successor:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewise.catalog.common import big, div, over_mart, plain, rnd
 from tablewise.catalog.profiling import KEYED_SQL, RAW
-from tablewise.operators import joins, key_search, relate
+from tablewise.operators import joins, key_search, profile, relate
 from tablewise.operators.profile import profile_table
 from tablewise.plans import generated
 from tablewise.session import per_table
@@ -130,6 +130,17 @@ _TURNED = [(b, a) for a, b in _LISTED]
 _REL = f"""CASE WHEN match >= 0.8 THEN 'high' WHEN match >= 0.5 THEN 'medium' ELSE 'low' END AS confidence,
   {rnd("match * 100")} AS match_percent"""
 
+def schema_with_relationships(spark, folder):
+    """The nested schema of a session of text keys, each table with its columns and the relationships it takes part in."""
+    tables = _keyed(spark, folder)
+    profiles = _profiled(tables)
+    found = relate.relationship_frame(tables, profiles)
+    nested = profile.nested_schema(profile.profiles_to_frame(spark, profiles), relationships=found)
+    link = F.transform("relationships", lambda r: F.concat_ws(" ", r["from_table"], r["from_column"], r["to_table"], r["to_column"], r["confidence"]))
+    names = F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["detected_type"]))
+    return nested.select("table_name", F.array_join(names, "|").alias("columns"), F.array_join(link, "|").alias("relationships"))
+
+
 KEY_COLUMNS = {
     t: [spec.split(":")[0] for spec in specs if spec.endswith("key:whole") or spec.endswith("id:whole")] for t, specs in RAW.items()
 }
@@ -155,6 +166,7 @@ FROM shared s JOIN sizes x ON x.t = s.at_ AND x.c = s.ac JOIN sizes y ON y.t = s
 
 
 QUERIES = {
+    "schema_with_relationships": (schema_with_relationships, None),
     "key_containments": (key_containments, _containments_sql()),
     "fk_match": (
         fk_match,

@@ -118,7 +118,7 @@ def stream_incremental_load(spark, folder):
     )
     types = {"event_id": "id", "event_type": "category", "value": "currency", "ts": "datetime"}
     loaded = jobs.load_incrementally(
-        texts, work_folder(spark, "loaded"), work_folder(spark, "loaded-state"), jobs.cleaned_rows(types)
+        texts, work_folder(spark, "loaded"), work_folder(spark, "loaded-state"), jobs.cleaned_rows(types), prefix_bits=4
     )
     return plain(loaded.drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 

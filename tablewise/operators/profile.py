@@ -367,17 +367,25 @@ def search_fields(profiles: DataFrame, query: str) -> DataFrame:
     return profiles.filter(haystack.contains(query.strip().lower()))
 
 
-def nested_schema(profiles: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """One row per table with its ordered columns as an array of structs (metadata-sized)."""
+def nested_schema(profiles: DataFrame, quality: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+    """One row per table with its ordered columns as an array of structs (metadata-sized), with its quality report and with the
+    relationships that it has on either side, where these are given."""
     column = F.struct(
         "column_order", "column_name", "detected_type", "null_count", "null_percent",
         "unique_count", *(["sample_values"] if "sample_values" in profiles.columns else []),
     )
     nested = profiles.groupBy("table_name").agg(F.sort_array(F.collect_list(column)).alias("columns"))
-    if quality is None:
-        return nested
-    report = F.struct(*(c for c in quality.columns if c not in ("table_name", "session_id")))
-    return nested.join(quality.select("table_name", report.alias("quality")), "table_name", "left")
+    if quality is not None:
+        report = F.struct(*(c for c in quality.columns if c not in ("table_name", "session_id")))
+        nested = nested.join(quality.select("table_name", report.alias("quality")), "table_name", "left")
+    if relationships is not None:
+        link = F.struct("from_table", "from_column", "to_table", "to_column", "confidence", "match_percent")
+        sides = F.explode(F.array_distinct(F.array("from_table", "to_table"))).alias("table_name")
+        links = relationships.select(sides, link.alias("link")).groupBy("table_name").agg(F.sort_array(F.collect_list("link")).alias("links"))
+        nested = nested.join(links, "table_name", "left")
+        none = F.array().cast(links.schema["links"].dataType)
+        nested = nested.withColumn("links", F.coalesce("links", none)).withColumnRenamed("links", "relationships")
+    return nested
 
 
 def filter_values(df: DataFrame, table_name: str, profile: Sequence[ColumnProfile]) -> DataFrame:

@@ -159,3 +159,19 @@ def test_states_of_parts_are_the_state_of_the_whole(spark):
     assert whole["amount"]["null_count"] == sum(r[2] is None for r in rows)
     empty = profile_state.profile_of(profile_state.add_part(parts, df.limit(0), "t")).collect()
     assert {r["column_name"]: r for r in empty} == whole
+
+
+def test_nested_schema_tells_relationships_on_both_sides(spark):
+    profiles = spark.createDataFrame(
+        [("a", 0, "k", "id", 0, 0.0, 3), ("b", 1, "v", "text", 0, 0.0, 2), ("b", 0, "k", "id", 0, 0.0, 3), ("c", 0, "x", "text", 0, 0.0, 1)],
+        "table_name string, column_order long, column_name string, detected_type string, null_count long, null_percent double, unique_count long",
+    )
+    links = spark.createDataFrame(
+        [("a", "k", "b", "k", "high", 100.0, "view_a_b")],
+        "from_table string, from_column string, to_table string, to_column string, confidence string, match_percent double, view_name string",
+    )
+    rows = {r["table_name"]: r for r in prof.nested_schema(profiles, relationships=links).collect()}
+    assert [c["column_name"] for c in rows["b"]["columns"]] == ["k", "v"]
+    assert rows["a"]["relationships"] == rows["b"]["relationships"] and rows["a"]["relationships"][0]["match_percent"] == 100.0
+    assert rows["c"]["relationships"] == []
+    assert "relationships" not in prof.nested_schema(profiles).columns

@@ -91,6 +91,10 @@ def test_display(spark):
     assert many(spark, [None, 2048, 3 * 1024 * 1024], c.file_size_text, "long") == ["-", "2.0 KB", "3.0 MB"]
 
 
+def test_compact_values_of_a_trillion_have_no_separator(spark):
+    assert many(spark, [2.2514e12, -1.5e12], c.compact_value, "double") == ["2251.4B", "-1500.0B"]
+
+
 def test_table_names():
     session = "a3f2c1d4-9b8e-4f2a-b1c3-d4e5f6a7b8c9"
     assert names.table_name(session, "Sales Data 2024.csv") == "a3f2c1d4_sales_data_2024"

@@ -125,6 +125,17 @@ def test_mixed_type_points(spark):
     assert report(spark, rows, "quantity string")["issues_found"][-1].startswith("quantity mixes numbers")
 
 
+def test_percents_are_told_by_their_exact_value(spark):
+    """0.85 as a double is a little less than 85 hundredths; 6.25 lies halfway."""
+    measured = spark.createDataFrame(
+        [(0, "a", "numeric", 625, 6.25, False, 85, 10_000, 25)], quality.COLUMN_SCHEMA
+    )
+    texts = {r["issue_type"]: r["description"] for r in quality.issue_rows(measured).collect()}
+    assert texts["outliers"] == "a holds 85 extreme values (0.8%)"
+    assert texts["nulls"] == "a lacks 625 values (6.2%)"
+    assert texts["duplicates"] == "25 rows repeat others (0.2%)"
+
+
 def test_outlier_notice(spark):
     reports = spark.createDataFrame([("orders", 2), ("customers", 0)], "table_name string, outlier_columns long")
     notice = quality.outlier_notice(reports).first()

@@ -172,6 +172,16 @@ def test_states_of_parts_are_the_state_of_the_whole(spark):
     assert {r["column_name"]: r for r in empty} == whole
 
 
+def test_samples_look_at_few_values_of_many(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("t0"), (F.col("id") % 3).cast("string").alias("t1"))
+    looked_at = profile_state._candidates(df, {0: profile_state.CANDIDATES / 20_000}).count()
+    assert 5 <= looked_at <= 3 * profile_state.CANDIDATES
+    want = [v for _, v in sorted((hashlib.md5(str(i).encode()).hexdigest(), str(i)) for i in range(20_000))[:5]]
+    for estimate in (20_000, 2_000_000):  # of the latter's share too few are left at first
+        samples = {r[0]: [s["value"] for s in r[1]] for r in profile_state._samples(df, {0: estimate, 1: 3}).collect()}
+        assert samples[0] == want and sorted(samples[1]) == ["0", "1", "2"]
+
+
 def test_nested_schema_tells_relationships_on_both_sides(spark):
     profiles = spark.createDataFrame(
         [("a", 0, "k", "id", 0, 0.0, 3), ("b", 1, "v", "text", 0, 0.0, 2), ("b", 0, "k", "id", 0, 0.0, 3), ("c", 0, "x", "text", 0, 0.0, 1)],

@@ -182,6 +182,33 @@ def test_samples_look_at_few_values_of_many(spark):
         assert samples[0] == want and sorted(samples[1]) == ["0", "1", "2"]
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_duplicates_by_hash_and_by_digest(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW_HASHES", few)
+    rows = [(i, None, "x", 0.0, [1.0]) for i in range(500)] + [(7, None, "x", -0.0, [1.0])] * 3 + [(None, 7, "x", 0.0, None)] * 2
+    df = spark.createDataFrame(rows, "a long, b long, c string, d double, e array<double>")
+    assert tuple(quality.duplicate_count(df).first()) == (505, 4)
+    assert tuple(quality.duplicate_count(df.limit(0)).first()) == (0, 0)
+
+
+def test_a_repeated_edge_is_counted_once(spark, monkeypatch):
+    """Eight columns' quartiles took 128 counts of every row; now two for each different edge."""
+    from tablewise.operators import quantiles
+
+    counts, plain = [], quantiles.F.count_if
+    monkeypatch.setattr(quantiles.F, "count_if", lambda test: counts.append(1) or plain(test))
+    df = spark.range(5_000).select(*(((F.col("id") * (i + 7)) % 4999).cast("double").alias(f"c{i}") for i in range(8)))
+    found = exact_quantiles(df, {c: F.col(c) for c in df.columns}, (0.25, 0.75), limit=100)
+    assert all(q.count == 5_000 for q in found.values()) and len(counts) <= 96
+
+
+def test_counted_values_have_narrow_keys(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-02 03:04:05' AS a, CAST(NULL AS timestamp_ntz) AS b FROM range(6)")
+    assert dict(prof._counted(df).dtypes) == {"place": "int", "value": "timestamp_ntz", "n": "bigint"}
+    stats = {r["column_name"]: (r["total_rows"], r["filled"], r["unique_count"]) for r in prof.column_stats(df).collect()}
+    assert stats == {"a": (6, 6, 1), "b": (6, 0, 0)}
+
+
 def test_nested_schema_tells_relationships_on_both_sides(spark):
     profiles = spark.createDataFrame(
         [("a", 0, "k", "id", 0, 0.0, 3), ("b", 1, "v", "text", 0, 0.0, 2), ("b", 0, "k", "id", 0, 0.0, 3), ("c", 0, "x", "text", 0, 0.0, 1)],

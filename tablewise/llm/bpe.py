@@ -163,10 +163,17 @@ def _apart(hit: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of words met before, found by the word's hash; begins anew when ``limit`` words are exceeded."""
+    """Ids of words met before, found by the word's hash; begins anew when ``limit`` words are exceeded.
 
-    def __init__(self, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = KNOWN_WORDS):
-        self.encode_words, self.limit = encode_words, limit
+    ``cuts`` gives places in a block where words may be cut further."""
+
+    def __init__(
+        self,
+        encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+        limit: int = KNOWN_WORDS,
+        cuts: Callable[[np.ndarray], np.ndarray] | None = None,
+    ):
+        self.encode_words, self.limit, self.cuts = encode_words, limit, cuts
         self._clear()
 
     def _clear(self) -> None:
@@ -175,7 +182,7 @@ class WordTable:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block in one array, and the offsets of the rows in it."""
-        starts, ends, first = texts.word_spans(buf, offsets)
+        starts, ends, first = texts.word_spans(buf, offsets, self.cuts(buf) if self.cuts else None)
         hashes = texts.hash_spans(buf, starts, ends)
         unique, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > self.limit:

@@ -103,13 +103,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the index of its first word (one more at the end)."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each row the index of its first word (one more at the end).
+
+    ``cuts`` are places in words where a new one begins."""
     inside = np.zeros(len(buf) + 2, bool)
     np.logical_not(SEPARATOR[buf], out=inside[1:-1])
     begins = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
-    borders = offsets[1:-1]
+    borders = offsets[1:-1] if cuts is None else np.concatenate([offsets[1:-1], cuts])
     borders = borders[(borders > 0) & (borders < len(buf))]
     cut = borders[inside[borders] & inside[borders + 1]]  # a word may not run on into the next row
     begins[cut] = True

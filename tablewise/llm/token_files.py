@@ -19,6 +19,7 @@ are bounded by the vocabulary, not by the documents.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.llm import texts
-from tablewise.llm.bpe import WordTable, read_tokenizer
+from tablewise.llm.bpe import PIECE, SPECIAL_TOKENS, WordTable, read_tokenizer
 
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 256
@@ -132,12 +133,42 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
 
 # --- write --------------------------------------------------------------------------------------
 
-_library: dict[int, WordTable] = {}
+_library: dict[int, tuple[WordTable, bool]] = {}
 
+MARK = b"\x01"  # stands between words that go to the library in one text; a piece and an id of its own
+MARKED_WORDS = 512
+_KIND = np.zeros(256, np.uint8)  # 1: ASCII letters, 2: signs that no contraction or special token holds
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
 
-def _encoder(source: str) -> WordTable:
+
+def _known_pieces(source: str) -> bool:
+    """Is this the word BPE file, whose rules for pieces ``_folded`` and ``_cuts`` rely on?"""
+    spec = json.loads(source)
+    special = {t["content"] for t in spec["added_tokens"]}
+    rules = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
+    return special <= set(SPECIAL_TOKENS) and json.dumps(PIECE.format(L=r"\p{L}", N=r"\p{N}")) in rules and '"Lowercase"' in rules
+
+
+def _folded(buf: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, as the tokenizer makes them, so that fewer words differ. It composes letters and marks before,
+    so letters before a mark stay; so do blocks that may hold special tokens, which have a case."""
+    if ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any():
+        return buf
+    upper = (buf >= 65) & (buf <= 90)
+    upper[:-1] &= buf[1:] < 128
+    return buf | (upper.astype(np.uint8) << 5)
+
+
+def _cuts(buf: np.ndarray) -> np.ndarray:
+    """Where an ASCII letter meets a sign: a piece ends there, whatever stands around it."""
+    kind = _KIND[buf]
+    return np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+
+
+def _encoder(source: str) -> tuple[WordTable, bool]:
     """The tokenizers library behind a table of words met before (words end at white space, where this
-    tokenizer file never joins pieces)."""
+    tokenizer file never joins pieces), and whether texts may be folded."""
     key = hash(source)
     if key not in _library:
         import os
@@ -148,14 +179,24 @@ def _encoder(source: str) -> WordTable:
         tokenizer = Tokenizer.from_str(source)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        known = _known_pieces(source)
+        mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+
+        def encode_texts(found: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
         def encode_words(words):
-            ids = [e.ids for e in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-            counts = np.array([len(i) for i in ids], np.int64)
-            return np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum())), counts
+            if not known or len(mark) != 1 or any(MARK in w for w in words):
+                ids = encode_texts([w.decode() for w in words])
+                return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+            between = b" " + MARK + b" "
+            joined = [between.join(words[k : k + MARKED_WORDS]).decode() for k in range(0, len(words), MARKED_WORDS)]
+            ids = np.concatenate([np.append(i, mark) for i in encode_texts(joined)])
+            ends = np.flatnonzero(ids == mark[0])
+            return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
         _library.clear()
-        _library[key] = WordTable(encode_words)
+        _library[key] = WordTable(encode_words, cuts=_cuts if known else None), known
     return _library[key]
 
 
@@ -163,7 +204,7 @@ def _tokenized(docs: DataFrame, source: str, end_id: int) -> DataFrame:
     """Chunks of whole documents in ascending doc_id order; ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block = _encoder(source), TaskContext.get().partitionId(), 0
+        (table, fold), part, block = _encoder(source), TaskContext.get().partitionId(), 0
         ids, counts, held = [], [], []
 
         def chunk():
@@ -178,7 +219,7 @@ def _tokenized(docs: DataFrame, source: str, end_id: int) -> DataFrame:
 
         for batch in batches:
             for row, end, buf, offsets in texts.blocks(batch.column(1), 1 << 20):
-                found, at = table.encode(buf, offsets)
+                found, at = table.encode(_folded(buf) if fold else buf, offsets)
                 ids.append(np.insert(found, at[1:], end_id))
                 counts.append(np.diff(at) + 1)
                 held.append(batch.column(0).slice(row, end - row).to_pylist())

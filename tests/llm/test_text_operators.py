@@ -147,6 +147,30 @@ def test_token_files(spark, odd, library):
     assert all(ids[-1] == 2 for ids in lists.values()) and len(lists) == len(ODD)
 
 
+def test_token_files_know_words_by_their_parts(library, monkeypatch):
+    """Words are folded and cut before they are looked up; the ids stay those of the library on whole texts."""
+    monkeypatch.setattr(token_files, "_library", {})
+    table, fold = token_files._encoder(bpe.read_tokenizer(TOKENIZER))
+    assert fold
+
+    def ids_of(found):
+        buf, offsets = texts.flat(pa.array(found))
+        ids, at = table.encode(token_files._folded(buf), offsets)
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    def wanted(found):
+        return [library.encode(t, add_special_tokens=False).ids for t in found]
+
+    few = ["The the THE", "(the) the! the,THE"]
+    assert ids_of(few) == wanted(few) and len(table.keys) == 5  # the ( ) ! ,
+    parts = ["a", "B", "H", "The", "'s", "'LL", "'", "!", "=", "-", "_", "7", " ", "\n", "\x01", "\xa0", "\u0301", "\u0331", "\u0338", "é", "É", "Σ", "ß", "…", "<", "|", ">", "<|endoftext|>", "<|EndOfText|>", "日", "\U0001f600"]
+    draw = np.random.default_rng(3)
+    for rare in (False, True):  # in most blocks neither special tokens nor marks stand
+        some = parts if rare else [p for p in parts if p not in ("\x01", "|") and "<|" not in p]
+        found = ["".join(draw.choice(some, draw.integers(0, 12))) for _ in range(4000)]
+        assert ids_of(found) == wanted(found)
+
+
 def test_token_files_of_nothing(spark):
     folder = work_folder(spark, "token-files-empty")
     token_files.write(spark.createDataFrame([], DOCS), folder, TOKENIZER)

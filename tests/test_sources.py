@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewise.sources import archives, files
 
@@ -154,3 +155,32 @@ def test_packed_archives_come_back(spark, tmp_path):
     assert sorted(tables) == ["t0.zip!rows.csv", "t1.zip!rows.csv", "t2.zip!rows.csv"]
     back = sorted((int(r["id"]), r["kind"], r["note"]) for df in tables.values() for r in df.collect())
     assert back == sorted((r["id"], r["kind"], r["note"]) for r in rows.collect())
+
+
+def test_packing_holds_no_archive_in_a_task(spark, tmp_path):
+    """One task writes an archive, but neither sorts nor gathers its rows."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).peakExecutionMemory() for i in range(found.size())}
+
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 5 == 0, "few").otherwise("many").alias("kind"), F.sha2(F.col("id").cast("string"), 256).alias("note"))
+    before = stages()
+    paths = archives.pack(rows, rows.kind, "rows.csv", str(tmp_path))
+    assert max(peak for stage, peak in stages().items() if stage not in before) < 4 << 20
+    counts = [archives.one_table(spark, p, "rows.csv", rows.columns).agg(F.count("id"), F.countDistinct("note")).first() for p in paths]
+    assert [tuple(c) for c in counts] == [(40_000, 40_000), (160_000, 160_000)]
+
+
+def test_pieces_of_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "_PIECE", 1_000)
+    monkeypatch.setattr(archives, "_HELD", 5_000)
+    rows = spark.range(0, 30_000, 1, 2).select(F.concat(F.lit("a"), F.col("id") % 40).alias("kind"), "id")
+    paths = archives.pack(rows, rows.kind, "rows.csv", str(tmp_path))
+    assert len(paths) == 40
+    lines = [line for p in paths for line in zipfile.ZipFile(p).read("rows.csv").decode().split("\r\n")[1:-1]]
+    assert sorted(lines) == sorted(f"a{i % 40},{i}" for i in range(30_000))
+    none = rows.filter("id < 0")
+    assert archives.pack(none, none.kind, "rows.csv", str(tmp_path)) == []

@@ -206,3 +206,14 @@ def test_heatmap_far_from_zero_and_without_spread(spark):
     assert cells["flat", "p"] is None and cells["half", "half"] == 1.0 and not any("nothing" in k for k in cells)
     assert cells["half", "q"] == pytest.approx(np.corrcoef(x[::2, 1], (0.5 * x[:, 0] + x[:, 1])[::2])[0, 1], abs=1e-5)
     assert charts.heatmap(df.limit(0), ["p", "q"]).count() == 0
+
+
+def test_group_quantiles_order_values_by_one_sort(spark):
+    """Brackets of few values are ordered where their group lies; no hash table or join sort holds all values."""
+    values = spark.range(1_000).select((F.col("id") % 50).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    small = spark.range(50).select(F.col("id").cast("string").alias("g"), F.lit(3).alias("rank"), F.col("id").cast("double").alias("low"), (F.col("id") + 950.0).alias("high"), F.lit(3).alias("offset"))
+    found = group_quantiles._ordered(values, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Window") == 1
+    assert not [line for line in plan.splitlines() if "Aggregate(" in line and " v#" in line.split("functions=")[0]]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((str(i), 3, i + 150.0) for i in range(50))
